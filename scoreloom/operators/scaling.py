@@ -12,23 +12,31 @@ GROUP_ROWS = 200_000       # a group above this many rows is ranked in several t
 SALTS = 32
 
 
+def is_small(dim: DataFrame, max_rows: int | None = None) -> bool:
+    limit = BROADCAST_ROWS if max_rows is None else max_rows
+    return dim.limit(limit + 1).count() <= limit
+
+
 def dim_join(
     fact: DataFrame,
     dim: DataFrame,
     keys: list[str],
     how: str = "left",
     max_rows: int | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
     """Join a per-group table to its rows.
 
-    The table is broadcast only after its row count is checked. Above the bound both sides
-    shuffle, with the group key salted so that no single group lands in one task.
+    The table is broadcast only after its row count is checked, unless the caller has already
+    done so. Above the bound both sides shuffle, with the group key salted so that no single
+    group lands in one task.
     """
-    limit = BROADCAST_ROWS if max_rows is None else max_rows
-    dim = dim.persist()
-    if dim.limit(limit + 1).count() <= limit:
+    if small is None:
+        dim = dim.persist()
+        small = is_small(dim, max_rows)
+    if small:
         return fact.join(F.broadcast(dim), keys, how)
-    spread = F.pmod(F.xxhash64(*[c for c in fact.columns]), F.lit(SALTS)).cast("int")
+    spread = F.pmod(F.xxhash64(*fact.columns), F.lit(SALTS)).cast("int")
     copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return fact.withColumn("_salt", spread).join(copies, [*keys, "_salt"], how).drop("_salt")
 
