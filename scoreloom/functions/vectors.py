@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -142,8 +142,19 @@ def layer_plan(n_layers: int, dim: int, method: int = 1, seed: int = 1234) -> li
 
 def layer_mix(layers: list[Column], plan: list[list[int]]) -> Column:
     """Concatenate the planned dimensions of every layer."""
-    parts = []
-    for layer, dims in zip(layers, plan):
-        index = F.array(*[F.lit(d) for d in dims]) if dims else F.array().cast("array<int>")
-        parts.append(F.transform(index, lambda i, v=layer: F.get(v, i).cast("double")))
-    return F.concat(*parts)
+    def pick(layer: Column, dims: list[int]) -> Column:
+        if not dims:
+            return F.array().cast("array<double>")
+        index = F.array(*[F.lit(d) for d in dims])
+        return F.transform(index, lambda i: F.get(layer, i).cast("double"))
+
+    return F.concat(*[pick(layer, dims) for layer, dims in zip(layers, plan)])
+
+
+def merge_layer_batches(df: DataFrame, keys: list[str], layer: str = "layer", vector: str = "vector") -> DataFrame:
+    """One row per record with a map layer -> vector, from one row per record and layer.
+
+    A record has as many rows as the model has selected layers.
+    """
+    entries = F.sort_array(F.collect_list(F.struct(F.col(layer), F.col(vector))))
+    return df.groupBy(*keys).agg(F.map_from_entries(entries).alias("layers"))

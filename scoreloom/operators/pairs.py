@@ -79,7 +79,9 @@ def pair_diffs(pairs: DataFrame) -> DataFrame:
 
 # --- tournament ----------------------------------------------------------------------------
 
-def place_records(df: DataFrame, seed, group_rows: int | None = None) -> DataFrame:
+def place_records(
+    df: DataFrame, seed, group_rows: int | None = None, largest: int | None = None
+) -> DataFrame:
     """Give the records of each item random places 0..n-1; columns beyond these are dropped."""
     slim = df.select(
         "item", (F.col("split") != "train").cast("int").alias("later"),
@@ -88,7 +90,7 @@ def place_records(df: DataFrame, seed, group_rows: int | None = None) -> DataFra
     )
     placed = rank_within(
         slim, ["item"], hash32(seed, "item", "later", "idx"), ["later", "idx"], "slot", "n",
-        group_rows,
+        group_rows, largest,
     )
     return placed.withColumns({
         "slot": (F.col("slot") - 1).cast("bigint"), "n": F.col("n").cast("bigint"),
@@ -437,17 +439,17 @@ def greedy_pairs(
     tasks, until cutoff or until few records are open, and give the same pairs.
     """
     shared_dir(df.sparkSession)
-    placed = place_records(df, p.seed, group_rows)
+    sizes = df.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.agg(F.max("n")).head()[0] or 0
+    placed = place_records(df, p.seed, group_rows, largest)
+    item_type = dict(placed.dtypes)["item"]
     zero = F.lit(0).cast("bigint")
-    small = placed.where(F.col("n") <= item_rows).withColumns(
-        {"deg": F.lit(0), "neg": zero, "pos": zero, "turn": F.lit(0)}
-    )
-    out = _finish(small, p, dict(placed.dtypes)["item"])
-    sizes = df.groupBy("item").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > item_rows)
-    if sizes.isEmpty():
-        return out
-    large = placed.where(F.col("n") > item_rows).checkpoint()
-    for part in _rounds(large, p, group_rows, tail_rows):
+    start = {"deg": F.lit(0), "neg": zero, "pos": zero, "turn": F.lit(0)}
+    if largest <= item_rows:
+        return _finish(placed.withColumns(start), p, item_type)
+    placed = placed.checkpoint()
+    out = _finish(placed.where(F.col("n") <= item_rows).withColumns(start), p, item_type)
+    for part in _rounds(placed.where(F.col("n") > item_rows), p, group_rows, tail_rows):
         out = out.unionByName(part)
     return out
 
@@ -499,11 +501,15 @@ def mine_pairs(
     seed=932, valid_share: float = 0.05, **sizes,
 ) -> DataFrame:
     """Pairs of both splits: items are divided, mined with the parameters of their split and
-    capped. ``split`` names the split of a pair, ``split1``/``split2`` those of its records."""
+    capped. ``split`` names the split of a pair, ``split1``/``split2`` those of its records.
+
+    The accepted pairs are stored once, since capping and shuffling read them repeatedly.
+    """
     records = split_by_item(df.select("item", "split", "idx", "score", "pred"), seed, valid_share)
     parts = []
     for name, p in (("train", train), ("validation", valid)):
         pairs = greedy_pairs(records.where(F.col("part") == name).drop("part"), p, **sizes)
+        pairs = pairs.checkpoint()
         parts.append(cap_easy(pairs, p.easy_max, seed).withColumn("split", F.lit(name)))
     return parts[0].unionByName(parts[1])
 

@@ -98,12 +98,13 @@ def per_item_seed(df: DataFrame, seed) -> DataFrame:
 
 
 def kfold_assign(
-    df: DataFrame, k: int, seed, keys: list[str] = ("item", "idx"), group_rows: int | None = None
+    df: DataFrame, k: int, seed, keys: list[str] = ("item", "idx"), group_rows: int | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Random folds 0..k-1 per item; the first n % k folds hold one row more."""
     ranked = rank_within(
         df, ["item"], hash32(seed, *keys), [c for c in keys if c != "item"], "_rank", "_size",
-        group_rows,
+        group_rows, largest,
     )
     at = F.col("_rank") - 1
     small = F.floor(F.col("_size") / k)

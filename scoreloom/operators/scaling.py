@@ -49,16 +49,21 @@ def rank_within(
     rank: str = "rank",
     size: str = "size",
     group_rows: int | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """1-based rank of each row in its group by the 32-bit hash ``u``, and the group size.
 
     Groups above ``group_rows`` are cut into equal hash ranges; each range is ranked on its
-    own and shifted by the sizes of the ranges before it.
+    own and shifted by the sizes of the ranges before it. ``largest`` is the size of the largest
+    group where the caller knows it.
     """
     limit = GROUP_ROWS if group_rows is None else group_rows
     df = df.withColumn("_u", u)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(size)).persist()
-    if sizes.where(F.col(size) > limit).isEmpty():
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(size))
+    if largest is None:
+        sizes = sizes.persist()
+        largest = sizes.agg(F.max(size)).head()[0] or 0
+    if largest <= limit:
         group = Window.partitionBy(*keys)
         return df.select(
             "*",

@@ -7,7 +7,7 @@ import importlib
 from .catalog import PLANS, SQL
 
 MODULES = (
-    "agreement", "records", "items", "sampling", "mining", "text", "storage",
+    "agreement", "records", "items", "sampling", "mining", "storage",
     "tokens", "vectors", "ranking", "evaluation",
 )
 

@@ -1 +1,96 @@
+"""Embedding tables, out-of-fold evaluation, checkpoints."""
 
+from pyspark.sql import functions as F
+
+from ..operators import encode as en
+from ..operators import evaluate as ev
+from . import bindings as b
+from .agreement import QWK_SQL
+from .catalog import query
+
+
+@query("embed_table", f"""WITH {b.RESPONSES}, w AS (
+  SELECT idx, h % 64 AS dim, CASE WHEN h // 64 % 2 = 0 THEN 1 ELSE -1 END AS s FROM (
+    SELECT idx, {b.u32("w")} AS h FROM (
+      SELECT idx, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS w FROM responses))),
+sums AS (SELECT idx, dim, sum(s)::DOUBLE AS v FROM w GROUP BY idx, dim),
+norms AS (SELECT idx, sqrt(sum(v * v)) AS len FROM sums GROUP BY idx),
+grid AS (SELECT item, idx, score, unnest(range(64)) AS dim FROM responses)
+SELECT item, g.idx, score, CAST(g.dim AS INT) AS dim,
+  round(CAST(CAST(coalesce(v, 0) / CASE WHEN coalesce(len, 0) = 0 THEN 1 ELSE len END AS FLOAT) AS DOUBLE), 5) + 0.0 AS x
+FROM grid g LEFT JOIN sums s ON s.idx = g.idx AND s.dim = g.dim LEFT JOIN norms n ON n.idx = g.idx""")
+def embed_table(spark, sf):
+    out = en.embed_table(b.responses(spark, sf))
+    rows = out.select("item", "idx", "score", F.posexplode("embedding").alias("dim", "x"))
+    return rows.withColumn("x", F.round(F.col("x").cast("double"), 5) + 0.0)
+
+
+@query("oof_predict")
+def oof_predict(spark, sf):
+    out = ev.oof_predict(b.vectors(spark, sf))
+    return out.select("item", "idx", "fold", "score", F.round("pred", 4).alias("pred"))
+
+
+@query("holdout_predict")
+def holdout_predict(spark, sf):
+    part = F.when(F.col("idx") % 4 == 0, "valid").otherwise("train")
+    out = ev.holdout_predict(b.vectors(spark, sf).withColumn("split", part))
+    return out.select("item", "idx", "split", "score", F.round("pred", 4).alias("pred"))
+
+
+@query("item_qwk", f"WITH {b.RATINGS}, {QWK_SQL} SELECT item, n, round(qwk, 4) AS qwk FROM item_qwk")
+def item_qwk(spark, sf):
+    return ev.item_qwk(b.ratings(spark, sf))
+
+
+@query("generate_predictions")
+def generate_predictions(spark, sf):
+    """Labelled documents; sources that hold a toxic one count as done."""
+    labelled = b.responses(spark, sf).where("score IS NOT NULL")
+    toxic = b.table(spark, sf, "labels").where("toxic = 1")
+    done = b.table(spark, sf, "documents").join(toxic, "doc_id").groupBy(F.col("source").alias("item")).agg(
+        F.count(F.lit(1)).alias("n")).where("n > 4")
+    return ev.generate_predictions(labelled, done=done)
+
+
+CHECKPOINTS = b.CHECKPOINT_PREDS + """, r AS (
+  SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM checkpoint_preds
+  WINDOW w AS (PARTITION BY checkpoint, item)),
+c AS (SELECT checkpoint, item, score AS a, greatest(lo, least(hi, pred)) AS b FROM r),
+scores AS (
+  SELECT checkpoint, item, count(*) AS n,
+    round(1 - avg((a - b) * (a - b)) / nullif(var_pop(a) + var_pop(b) + pow(avg(a) - avg(b), 2), 0), 4) AS qwk
+  FROM c GROUP BY checkpoint, item),
+board AS (
+  SELECT checkpoint, round(avg(qwk), 4) AS mean_qwk, count(qwk) AS items FROM scores GROUP BY checkpoint)"""
+
+
+@query("scan_checkpoints", f"WITH {CHECKPOINTS} SELECT checkpoint, item, n, qwk FROM scores")
+def scan_checkpoints(spark, sf):
+    return ev.scan_checkpoints(b.checkpoint_preds(spark, sf))
+
+
+@query("checkpoint_leaderboard", f"""WITH {CHECKPOINTS}
+SELECT *, CAST(rank() OVER (ORDER BY mean_qwk DESC) AS INT) AS place FROM board""")
+def checkpoint_leaderboard(spark, sf):
+    return ev.checkpoint_leaderboard(ev.scan_checkpoints(b.checkpoint_preds(spark, sf)))
+
+
+@query("leaderboard_lines", f"""WITH {CHECKPOINTS}
+SELECT checkpoint, concat_ws(chr(9), 'checkpoint-' || checkpoint, printf('%.4f', avg(qwk)), '',
+  
+  coalesce(printf('%.4f', max(qwk) FILTER (item = 3)), 'nan'), coalesce(printf('%.4f', max(qwk) FILTER (item = 8)), 'nan')) AS line
+FROM scores WHERE item IN (3, 8) GROUP BY checkpoint""")
+def leaderboard_lines(spark, sf):
+    return ev.leaderboard_lines(ev.scan_checkpoints(b.checkpoint_preds(spark, sf)), [3, 8])
+
+
+@query("next_checkpoint", f"""WITH {CHECKPOINTS}, q AS (
+  SELECT checkpoint, CASE WHEN checkpoint % 150 <> 0 THEN NULL ELSE mean_qwk END AS qwk FROM board),
+n AS (SELECT *, greatest(lag(qwk) OVER (ORDER BY checkpoint), lead(qwk) OVER (ORDER BY checkpoint)) AS beside FROM q)
+SELECT checkpoint, beside FROM n WHERE qwk IS NULL AND beside IS NOT NULL
+ORDER BY beside DESC, checkpoint LIMIT 1""")
+def next_checkpoint(spark, sf):
+    board = ev.checkpoint_leaderboard(ev.scan_checkpoints(b.checkpoint_preds(spark, sf)))
+    visited = F.when(F.col("checkpoint") % 150 == 0, F.col("mean_qwk"))
+    return ev.next_checkpoint(board.select("checkpoint", visited.alias("qwk")))

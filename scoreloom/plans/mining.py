@@ -88,18 +88,21 @@ def trained(spark, sf):
     return pm.greedy_pairs(b.ratings(spark, sf), P)
 
 
-# The greedy pass as a fold over each item's pairs in visiting order.
-GREEDY = f"""{ALL_PAIRS}, open_pairs AS (
-  SELECT item, n, round, visit, lo, hi, score1 = score2 AS same, idx1, idx2, h FROM all_pairs
+def greedy_sql(ct: str = str(P.ct_max)) -> str:
+    """The greedy pass as a fold over each item's pairs in visiting order; ``ct`` is the degree
+    cap as an expression over the item."""
+    return f"""{ALL_PAIRS}, open_pairs AS (
+  SELECT item, n, {ct} AS ct, round, visit, lo, hi, score1 = score2 AS same FROM all_pairs
   WHERE NOT (score1 = 0 AND score2 = 0) AND (h > 0 OR luck < {P.easy_prob} * {PRIME})),
 lists AS (
-  SELECT item, any_value(n) AS n, list({{'lo': lo, 'hi': hi, 'same': same, 'neg': 0::BIGINT,
-      'pos': 0::BIGINT, 'deg': []::BIGINT[], 'acc': []::BIGINT[]}} ORDER BY round, visit, lo) AS ps
+  SELECT item, any_value(n) AS n, any_value(ct) AS ct,
+    list({{'lo': lo, 'hi': hi, 'same': same, 'neg': 0::BIGINT, 'pos': 0::BIGINT,
+      'deg': []::BIGINT[], 'acc': []::BIGINT[]}} ORDER BY round, visit, lo) AS ps
   FROM open_pairs GROUP BY item),
 folded AS (
   SELECT item, list_reduce(ps, lambda s, x:
-    CASE WHEN s.deg[x.lo + 1] >= {P.ct_max} OR s.deg[x.hi + 1] >= {P.ct_max}
-           OR (s.neg + s.pos) / ({P.ct_max} * n)::DOUBLE > {P.cutoff}
+    CASE WHEN s.deg[x.lo + 1] >= ct OR s.deg[x.hi + 1] >= ct
+           OR (s.neg + s.pos) / (ct * n)::DOUBLE > {P.cutoff}
            OR (x.same AND (s.neg + 1) / (s.pos + 1)::DOUBLE < {P.np_min}) THEN s
     ELSE {{'lo': s.lo, 'hi': s.hi, 'same': s.same,
       'neg': s.neg + CASE WHEN x.same THEN 0 ELSE 1 END,
@@ -114,6 +117,9 @@ greedy AS (
   SELECT p.* FROM all_pairs p JOIN accepted a ON p.item = a.item AND a.code = p.lo * p.n + p.hi)"""
 
 
+GREEDY = greedy_sql()
+
+
 @query("greedy_degree_cap", f"""WITH {b.RATINGS}, {GREEDY}
 SELECT item, round, visit, split1, idx1, score1, split2, idx2, score2, h FROM greedy""")
 def greedy_degree_cap(spark, sf):
@@ -215,7 +221,25 @@ def degree_histogram(spark, sf):
     return pm.degree_histogram(r, pm.greedy_pairs(r, P))
 
 
-@query("mine_pairs")
+VALID = pm.VALID_PARAMS
+PARTS = f"""parts AS (
+  SELECT item, CASE WHEN r <= CAST(floor(n * 0.05) AS INT) THEN 'validation' ELSE 'train' END AS part
+  FROM (SELECT item, row_number() OVER (ORDER BY {b.u32(f"'{SEED}|' || item")}, item) AS r, count(*) OVER () AS n
+        FROM (SELECT DISTINCT item FROM ratings)))"""
+
+
+@query("mine_pairs", f"""WITH {b.RATINGS}, {RANGES}, {PARTS},
+{greedy_sql(f"CASE WHEN item IN (SELECT item FROM parts WHERE part = 'train') THEN {P.ct_max} ELSE {VALID.ct_max} END")},
+ranked AS (
+  SELECT g.*, part, count(*) FILTER (h > 0) OVER (PARTITION BY g.item) AS hard,
+    row_number() OVER (PARTITION BY g.item, h = 0 ORDER BY
+      {PAIR_U.replace("|| item ||", "|| g.item ||")}, split1, idx1, split2, idx2) AS r
+  FROM greedy g JOIN parts USING (item))
+SELECT part AS split, k.item, mode, idx1, idx2, score1, score2, h, abs(score1 - score2) AS diff_abs,
+  round(abs((score1 - lo_s)::DOUBLE / nullif(hi_s - lo_s, 0) - (score2 - lo_s)::DOUBLE / nullif(hi_s - lo_s, 0)), 6)
+    AS diff_norm
+FROM ranked k JOIN ranges USING (item) JOIN ratings t ON t.item = k.item AND t.idx = k.idx1
+WHERE h > 0 OR r <= least(hard, CASE part WHEN 'train' THEN {P.easy_max} ELSE {VALID.easy_max} END)""")
 def mine_pairs(spark, sf):
     """Both splits with their own parameters, differences attached, shuffled."""
     r = b.ratings(spark, sf)

@@ -67,14 +67,3 @@ def metrics_log(metrics: DataFrame, root: str) -> None:
         "metric", F.col("value").cast("double"), F.col("step").cast("bigint")
     ).write.mode("append").parquet(root)
 
-
-def leaderboard_lines(board: DataFrame) -> DataFrame:
-    """Tab-separated text lines: checkpoint, mean, per-item values."""
-    values = F.array_join(F.transform("qwks", lambda q: F.format_number(q, "0.0000")), "\t")
-    return board.select(
-        "checkpoint",
-        F.concat(
-            F.lit("checkpoint-"), F.col("checkpoint").cast("string"), F.lit("\t"),
-            F.format_number("mean_qwk", "0.0000"), F.lit("\t\t"), values,
-        ).alias("line"),
-    )

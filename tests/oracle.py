@@ -42,6 +42,18 @@ def rows_of(columns, rows):
     return sorted((tuple(cell(r[i]) for i in order) for r in rows), key=repr)
 
 
+SAME_TYPE = {
+    "tinyint": "TINYINT", "smallint": "SMALLINT", "int": "INTEGER", "bigint": "BIGINT",
+    "double": "DOUBLE", "float": "FLOAT", "string": "VARCHAR", "boolean": "BOOLEAN",
+}
+
+
+def type_notes(df, cursor):
+    """Columns whose types differ between the engines."""
+    other = {d[0]: str(d[1]) for d in cursor.description}
+    return [f"{n}: {t} / {other[n]}" for n, t in df.dtypes if SAME_TYPE.get(t) != other.get(n)]
+
+
 def compare(spark, con, plan, sql, sf):
     """Return (rows, seconds, problem or None)."""
     start = time.time()
@@ -59,6 +71,9 @@ def compare(spark, con, plan, sql, sf):
     if len(a) != len(b):
         return len(got), took, f"{len(a)} rows != {len(b)} rows"
     bad = [(x, y) for x, y in zip(a, b) if x != y]
+    notes = type_notes(df, cursor)
+    if notes:
+        print("     types", notes)
     if bad:
         return len(got), took, f"{len(bad)} rows differ, first {bad[0]}"
     return len(got), took, None
