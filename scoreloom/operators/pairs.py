@@ -187,94 +187,85 @@ def _stop_at(ct_max, cutoff, n):
     return z
 
 
-def _allowance(negatives, np_min):
-    """Same-score pairs that so many different-score pairs allow."""
-    if np_min <= 0:
-        return np.full_like(negatives, np.iinfo(np.int64).max // 4)
-    return np.floor((negatives + 1) / np_min).astype(np.int64)
-
-
-def _hopeless(scores, negatives, positives, p: MineParams) -> bool:
+def _hopeless(scores: np.ndarray, negatives: int, positives: int, p: MineParams) -> bool:
     """Can no pair of the open records be accepted any more?"""
     barred = {tuple(sorted(x)) for x in p.blacklist}
     values, counts = np.unique(scores, return_counts=True)
     if any((int(s), int(t)) not in barred for i, s in enumerate(values) for t in values[i + 1:]):
         return False
-    room = int(_allowance(np.array([negatives]), p.np_min)[0]) > positives
-    return not (room and any(
+    return (negatives + 1) / (positives + 1) < p.np_min or not any(
         c > 1 and (int(s), int(s)) not in barred for s, c in zip(values, counts)
-    ))
+    )
 
 
-def _meetings(slots: np.ndarray, n: int, first: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Row positions that meet in each round from ``first`` on."""
+def _meetings(
+    slots: np.ndarray, n: int, first: int, size: int = 1 << 14
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Round and row positions of the meetings from round ``first`` on, in blocks of rounds."""
     seats = n + n % 2
     ring = seats - 1
     rows = np.arange(len(slots))
     if len(slots) == n:
         at = np.full(seats, -1)
         at[slots] = rows
-        for turn in range(first, ring):
+        step = max(1, size // n)
+        for start in range(first, ring, step):
+            turn = np.arange(start, min(start + step, ring))[:, None]
             met = (turn - slots) % ring
             met = np.where(met == slots, ring, met)
             met = np.where(slots == ring, turn * (seats // 2) % ring, met)
             other = at[met]
-            left = np.flatnonzero(other > rows)
-            yield turn, left, other[left]
+            t, left = np.nonzero(other > rows)
+            yield t + start, left, other[t, left]
         return
     i, j = np.triu_indices(len(slots), 1)
     low, high = np.minimum(slots[i], slots[j]), np.maximum(slots[i], slots[j])
     turn = np.where(high == ring, 2 * low % ring, (low + high) % ring)
-    i, j, turn = (x[turn >= first] for x in (i, j, turn))
-    order = np.argsort(turn, kind="stable")
-    i, j, turn = i[order], j[order], turn[order]
-    starts = np.flatnonzero(np.r_[True, turn[1:] != turn[:-1]]) if len(turn) else []
-    for s, e in zip(starts, [*starts[1:], len(turn)]):
-        yield int(turn[s]), i[s:e], j[s:e]
+    later = turn >= first
+    yield turn[later], i[later], j[later]
 
 
 def _greedy(pdf: pd.DataFrame, p: MineParams) -> pd.DataFrame:
-    """Accept pairs among the open records of one item, from its current state on."""
+    """Accept pairs among the open records of one item, from its current state on.
+
+    What a pair is by itself is computed for a block of rounds at once; only the running
+    counts are walked through pair by pair.
+    """
     n, salt = int(pdf["n"].iat[0]), int(pdf["salt"].iat[0])
     negatives, positives = int(pdf["neg"].iat[0]), int(pdf["pos"].iat[0])
     stop = _stop_at(p.ct_max, p.cutoff, n)
     slots, score = pdf["slot"].to_numpy(np.int64), pdf["score"].to_numpy(np.int64)
-    err, deg = pdf["err"].to_numpy(np.int64), pdf["deg"].to_numpy(np.int64).copy()
-    found = []
-    for count, (turn, i, j) in enumerate(_meetings(slots, n, int(pdf["turn"].iat[0]))):
-        if count % 16 == 0:
-            open_rows = deg < p.ct_max
-            if open_rows.sum() < 2 or _hopeless(score[open_rows], negatives, positives, p):
-                break
-        free = (deg[i] < p.ct_max) & (deg[j] < p.ct_max)
-        i, j = i[free], j[free]
+    err, deg = pdf["err"].to_numpy(np.int64), pdf["deg"].tolist()
+    found: list[tuple[int, int, int, int]] = []
+    for turn, i, j in _meetings(slots, n, int(pdf["turn"].iat[0])):
+        spare = np.array(deg) < p.ct_max
+        if negatives + positives >= stop or _hopeless(score[spare], negatives, positives, p):
+            break
         low, high = np.minimum(slots[i], slots[j]), np.maximum(slots[i], slots[j])
         s, t = np.minimum(score[i], score[j]), np.maximum(score[i], score[j])
-        h = err[i] + err[j]
-        ok = (h > 0) | (pair_hash(low, high, salt + 1) < p.easy_prob * PRIME)
+        ok = spare[i] & spare[j]
+        ok &= (err[i] + err[j] > 0) | (pair_hash(low, high, salt + 1) < p.easy_prob * PRIME)
         for a, b in p.blacklist:
             ok &= ~((s == min(a, b)) & (t == max(a, b)))
+        turn, i, j, low, high, same = (x[ok] for x in (turn, i, j, low, high, s == t))
         visit = pair_hash(low, high, salt)
-        order = np.lexsort((low, visit))
-        order = order[ok[order]]
-        same = (s == t)[order]
-        cum_neg = negatives + np.cumsum(~same)
-        cum_same = np.cumsum(same)
-        room = _allowance(cum_neg, p.np_min) - cum_same
-        floor = np.minimum(positives, np.minimum.accumulate(room)) if len(room) else room
-        before = np.r_[positives, floor[:-1]] if len(room) else room
-        taken = (~same | (room >= before)) & (cum_neg + cum_same + floor <= stop)
-        kept = order[taken]
-        deg[i[kept]] += 1
-        deg[j[kept]] += 1
-        positives += int((taken & same).sum())
-        negatives += int((taken & ~same).sum())
-        found.append((np.full(len(kept), turn), visit[kept], i[kept], j[kept]))
-        if negatives + positives >= stop:
-            break
-    turn, visit, i, j = (
-        np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else [()] * 4)
-    )
+        order = np.lexsort((low, visit, turn))
+        columns = (x[order].tolist() for x in (turn, visit, i, j, same))
+        for r, v, a, b, alike in zip(*columns):
+            if deg[a] >= p.ct_max or deg[b] >= p.ct_max:
+                continue
+            if alike:
+                if (negatives + 1) / (positives + 1) < p.np_min:
+                    continue
+                positives += 1
+            else:
+                negatives += 1
+            deg[a] += 1
+            deg[b] += 1
+            found.append((r, v, a, b))
+            if negatives + positives >= stop:
+                break
+    turn, visit, i, j = np.array(found, dtype=np.int64).reshape(-1, 4).T
     later, idx = pdf["later"].to_numpy(np.int64), pdf["idx"].to_numpy(np.int64)
     swap = (later[i] > later[j]) | ((later[i] == later[j]) & (idx[i] > idx[j]))
     i, j = np.where(swap, j, i), np.where(swap, i, j)
@@ -441,6 +432,10 @@ def greedy_pairs(
     shared_dir(df.sparkSession)
     sizes = df.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.agg(F.max("n")).head()[0] or 0
+    # The per-item pass is heavy for its few bytes: one task per core, not per megabyte.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if largest <= item_rows:
+        df = df.repartition(tasks, "item")
     placed = place_records(df, p.seed, group_rows, largest)
     item_type = dict(placed.dtypes)["item"]
     zero = F.lit(0).cast("bigint")
@@ -519,18 +514,17 @@ def shuffled_pairs(pairs: DataFrame, seed) -> DataFrame:
 
 
 def pair_coverage_report(records: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Per item: share of records used, pair counts by class, ratio, and share of hard pairs."""
-    degree = record_degrees(records, pairs)
-    used = degree.groupBy("item").agg(
-        F.count(F.lit(1)).alias("records"), F.count_if(F.col("degree") > 0).alias("used")
-    )
-    counts = pairs.groupBy("item").agg(
-        F.count(F.lit(1)).alias("pairs"), F.count_if(pair_polarity()).alias("pos"),
-        F.count_if(F.col("h") > 0).alias("hard"),
+    """Per item: share of records used, pair counts by class, ratio, and share of hard pairs.
+
+    The pairs are read once: every count is half the sum over the records at both ends.
+    """
+    per_item = record_degrees(records, pairs).groupBy("item").agg(
+        F.count(F.lit(1)).alias("records"), F.count_if(F.col("degree") > 0).alias("used"),
+        *[(F.sum(c) / 2).cast("bigint").alias(n) for c, n in (
+            ("degree", "pairs"), ("same_ends", "pos"), ("hard_ends", "hard"))],
     )
-    both = used.join(counts, "item", "left").na.fill(0, ["pairs", "pos", "hard"])
     neg = F.col("pairs") - F.col("pos")
-    return both.select(
+    return per_item.select(
         "item", "records", "used", (F.col("used") / F.col("records")).alias("coverage"),
         "pairs", "pos", neg.alias("neg"), ((neg + 1) / (F.col("pos") + 1)).alias("np_ratio"),
         "hard", (F.col("hard") / F.nullif(F.col("pairs"), F.lit(0))).alias("hard_share"),
@@ -538,14 +532,21 @@ def pair_coverage_report(records: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def record_degrees(records: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs per record, 0 included."""
-    ends = pairs.select("item", F.explode(F.array(
-        F.struct(F.col("split1").alias("split"), F.col("idx1").alias("idx")),
-        F.struct(F.col("split2").alias("split"), F.col("idx2").alias("idx")),
-    )).alias("r")).select("item", "r.split", "r.idx")
-    per_record = ends.groupBy("item", "split", "idx").agg(F.count(F.lit(1)).alias("degree"))
+    """Pairs per record, 0 included, and how many of them are same-score and hard."""
     keys = ["item", "split", "idx"]
-    return records.select(*keys).join(per_record, keys, "left").na.fill(0, ["degree"])
+    ends = pairs.select(
+        "item", pair_polarity().alias("same"), (F.col("h") > 0).alias("hard"),
+        F.explode(F.array(*[
+            F.struct(F.col(f"split{i}").alias("split"), F.col(f"idx{i}").alias("idx")) for i in (1, 2)
+        ])).alias("r"),
+    ).select("item", "r.split", "r.idx", "same", "hard")
+    per_record = ends.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("degree"), F.count_if("same").alias("same_ends"),
+        F.count_if("hard").alias("hard_ends"),
+    )
+    return records.select(*keys).join(per_record, keys, "left").na.fill(
+        0, ["degree", "same_ends", "hard_ends"]
+    )
 
 
 def degree_histogram(records: DataFrame, pairs: DataFrame) -> DataFrame:

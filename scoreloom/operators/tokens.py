@@ -22,10 +22,10 @@ class Tokenizer(Protocol):
     def encode_batch(self, texts: list[str]) -> list[list[int]]: ...
 
 
-def hashed_ids(text, vocabulary: int = VOCABULARY) -> Column:
-    """Default tokenizer: words to hashed ids 1..vocabulary-1, all inside the JVM."""
+def hashed_ids(tokens: Column, vocabulary: int = VOCABULARY) -> Column:
+    """Words to hashed ids 1..vocabulary-1, all inside the JVM."""
     return F.transform(
-        words(text),
+        tokens,
         lambda w: (
             F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % (vocabulary - 1) + 1
         ).cast("int"),
@@ -33,14 +33,16 @@ def hashed_ids(text, vocabulary: int = VOCABULARY) -> Column:
 
 
 def token_ids(text: Column, tokenizer: Tokenizer | None = None, max_length: int | None = None) -> Column:
+    """Ids of a text, at most ``max_length``; whitespace words with hashed ids by default."""
     if tokenizer is None:
-        ids = hashed_ids(text)
-    else:
-        @F.pandas_udf("array<int>")
-        def encode(texts: pd.Series) -> pd.Series:
-            return pd.Series(tokenizer.encode_batch(texts.fillna("").tolist()))
+        tokens = words(text)
+        return hashed_ids(F.slice(tokens, 1, max_length) if max_length else tokens)
 
-        ids = encode(text)
+    @F.pandas_udf("array<int>")
+    def encode(texts: pd.Series) -> pd.Series:
+        return pd.Series(tokenizer.encode_batch(texts.fillna("").tolist()))
+
+    ids = encode(text)
     return F.slice(ids, 1, max_length) if max_length else ids
 
 

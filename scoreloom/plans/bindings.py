@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash32
+from ..sources.readers import scan_table
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents, spread over the cores for work on whole texts."""
+    return scan_table(spark, f"{sf}/documents.parquet", "doc_id")
+
+
 def ratings(spark: SparkSession, sf: str) -> DataFrame:
     """Scored records with a prediction in -1..4, split 4:1 by key."""
     base = F.floor(F.col("value") / 20)
@@ -32,7 +37,7 @@ def ratings(spark: SparkSession, sf: str) -> DataFrame:
 def responses(spark: SparkSession, sf: str) -> DataFrame:
     """Texts with a score where one is known."""
     return (
-        table(spark, sf, "documents")
+        documents(spark, sf)
         .join(table(spark, sf, "labels"), "doc_id", "left")
         .select(
             F.col("source").alias("item"), F.col("doc_id").alias("idx"),

@@ -48,7 +48,7 @@ def generate_predictions(spark, sf):
     """Labelled documents; sources that hold a toxic one count as done."""
     labelled = b.responses(spark, sf).where("score IS NOT NULL")
     toxic = b.table(spark, sf, "labels").where("toxic = 1")
-    done = b.table(spark, sf, "documents").join(toxic, "doc_id").groupBy(F.col("source").alias("item")).agg(
+    done = b.documents(spark, sf).join(toxic, "doc_id").groupBy(F.col("source").alias("item")).agg(
         F.count(F.lit(1)).alias("n")).where("n > 4")
     return ev.generate_predictions(labelled, done=done)
 
@@ -76,13 +76,16 @@ def checkpoint_leaderboard(spark, sf):
     return ev.checkpoint_leaderboard(ev.scan_checkpoints(b.checkpoint_preds(spark, sf)))
 
 
-@query("leaderboard_lines", f"""WITH {CHECKPOINTS}
+@query("leaderboard_lines", f"""WITH {CHECKPOINTS}, filled AS (
+  SELECT checkpoint, item, coalesce(qwk, 0) AS qwk FROM scores WHERE item IN (3, 8, 11))
 SELECT checkpoint, concat_ws(chr(9), 'checkpoint-' || checkpoint, printf('%.4f', avg(qwk)), '',
-  
-  coalesce(printf('%.4f', max(qwk) FILTER (item = 3)), 'nan'), coalesce(printf('%.4f', max(qwk) FILTER (item = 8)), 'nan')) AS line
-FROM scores WHERE item IN (3, 8) GROUP BY checkpoint""")
+  coalesce(printf('%.4f', max(qwk) FILTER (item = 3)), 'nan'),
+  coalesce(printf('%.4f', max(qwk) FILTER (item = 8)), 'nan'),
+  coalesce(printf('%.4f', max(qwk) FILTER (item = 11)), 'nan')) AS line
+FROM filled GROUP BY checkpoint""")
 def leaderboard_lines(spark, sf):
-    return ev.leaderboard_lines(ev.scan_checkpoints(b.checkpoint_preds(spark, sf)), [3, 8])
+    scores = ev.scan_checkpoints(b.checkpoint_preds(spark, sf)).na.fill(0.0, ["qwk"])
+    return ev.leaderboard_lines(scores, [3, 8, 11])
 
 
 @query("next_checkpoint", f"""WITH {CHECKPOINTS}, q AS (

@@ -48,7 +48,7 @@ def filter_item_list(spark, sf):
     return item_rows(few.unionByName(rest))
 
 
-@query("scan_rater_agreement", f"WITH {HH_SQL} SELECT item, round(qwk_hh, 4) AS qwk_hh FROM hh")
+@query("scan_rater_agreement", f"WITH {HH_SQL} SELECT CAST(item AS INT) AS item, round(qwk_hh, 4) AS qwk_hh FROM hh")
 def scan_rater_agreement(spark, sf):
     from ..session import scratch_path
     from ..sources.readers import scan_rater_agreement as scan
@@ -73,11 +73,11 @@ def join_rater_agreement(spark, sf):
 
 
 @query("filter_rater_agreement", f"""WITH {HH_SQL}
-SELECT item, count(*) AS n FROM ratings WHERE item IN (SELECT item FROM hh WHERE qwk_hh >= 0.70005)
+SELECT item, count(*) AS n FROM ratings WHERE item IN (SELECT item FROM hh WHERE qwk_hh >= 1.15005)
 GROUP BY item""")
 def filter_rater_agreement(spark, sf):
     dim = it.item_agreement(agreement_rows(spark, sf))
-    return item_rows(it.filter_rater_agreement(b.ratings(spark, sf), dim, 0.70005))
+    return item_rows(it.filter_rater_agreement(b.ratings(spark, sf), dim, 1.15005))
 
 
 @query("restrict_dimension", f"""WITH {HH_SQL}
@@ -92,14 +92,14 @@ def restrict_dimension(spark, sf):
 @query("filter_max_words", """SELECT doc_id FROM documents
 WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) <= 200""")
 def filter_max_words(spark, sf):
-    return it.filter_max_words(b.table(spark, sf, "documents"), 200).select("doc_id")
+    return it.filter_max_words(b.documents(spark, sf), 200).select("doc_id")
 
 
 @query("filter_max_tokens", """SELECT doc_id FROM documents
 WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) <= 300
   AND len(string_split(text, chr(10))) <= 12""")
 def filter_max_tokens(spark, sf):
-    docs = b.table(spark, sf, "documents").select(
+    docs = b.documents(spark, sf).select(
         "doc_id", words("text").alias("input_ids_1"), F.split("text", "\n").alias("input_ids_2")
     )
     short = it.filter_max_tokens(docs, 300, ["input_ids_1"])

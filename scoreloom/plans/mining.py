@@ -74,7 +74,7 @@ def blacklist_pairs(spark, sf):
 
 
 @query("priority_order", f"""WITH {b.RATINGS}, {ALL_PAIRS}
-SELECT item, round, idx1, idx2, row_number() OVER (PARTITION BY item, round ORDER BY visit, lo) AS place
+SELECT item, round, idx1, idx2, CAST(row_number() OVER (PARTITION BY item, round ORDER BY visit, lo) AS INT) AS place
 FROM all_pairs WHERE round < 2""")
 def priority_order(spark, sf):
     from pyspark.sql import Window

@@ -108,7 +108,7 @@ def tag_split_type(spark, sf):
   CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS INT) AS words
 FROM documents""")
 def word_count(spark, sf):
-    return b.table(spark, sf, "documents").select("doc_id", tx.word_count("text").alias("words"))
+    return b.documents(spark, sf).select("doc_id", tx.word_count("text").alias("words"))
 
 
 @query("reduce_whitespace", f"""WITH spaced AS (
@@ -119,7 +119,7 @@ def reduce_whitespace(spark, sf):
     spaced = F.concat(
         F.lit(LONG_SPACE), F.replace("text", F.lit(". "), F.lit("." + LONG_SPACE)), F.lit("  ")
     )
-    return b.table(spark, sf, "documents").select(
+    return b.documents(spark, sf).select(
         "doc_id", F.md5(tx.reduce_whitespace(spaced)).alias("digest")
     )
 
@@ -137,7 +137,7 @@ runs AS (SELECT doc_id, c, g, min(p) AS start, count(*) AS len FROM marks GROUP
 def stretched(spark, sf):
     t = F.replace("text", F.lit(" la "), F.lit(" laaaaaaaaaaaa "))
     t = F.replace(t, F.lit("the"), F.lit("theeeeeeeee"))
-    return b.table(spark, sf, "documents").select("doc_id", t.alias("t"))
+    return b.documents(spark, sf).select("doc_id", t.alias("t"))
 
 
 @query("longest_char_run", f"""WITH {RUNS}
@@ -171,7 +171,7 @@ SELECT doc_id, md5(CASE WHEN longest = 1 AND length(fixed) / old_len > 0.8
 FROM r JOIN m USING (batch)""")
 def truncate_longest_to_median(spark, sf):
     extra = F.repeat(F.lit("a"), (1000 * (F.col("doc_id") % 5)).cast("int"))
-    docs = b.table(spark, sf, "documents").select(
+    docs = b.documents(spark, sf).select(
         "doc_id", F.floor(F.col("doc_id") / 8).alias("batch"),
         F.when(F.col("doc_id") % 3 == 0, F.concat("text", extra)).otherwise(F.col("text")).alias("text"),
     )

@@ -30,19 +30,19 @@ def written_items(spark, sf):
 
 
 @query("sink_item_split_jsonl", f"""WITH {b.RATINGS}
-SELECT item, split, idx, score, pred, min(score) FILTER (split = 'train') OVER (PARTITION BY item) AS min_score
+SELECT CAST(item AS INT) AS item, split, idx, score, pred, min(score) FILTER (split = 'train') OVER (PARTITION BY item) AS min_score
 FROM ratings""")
 def sink_item_split_jsonl(spark, sf):
     return written_items(spark, sf).select("item", "split", "idx", "score", "pred", "min_score")
 
 
-@query("scan_items", f"WITH {b.RATINGS} SELECT DISTINCT item FROM ratings WHERE split = 'train'")
+@query("scan_items", f"WITH {b.RATINGS} SELECT DISTINCT CAST(item AS INT) AS item FROM ratings WHERE split = 'train'")
 def scan_items(spark, sf):
     return readers.scan_items(written_items(spark, sf))
 
 
 @query("scan_predictions", f"""WITH {b.RATINGS}
-SELECT item, idx, pred FROM ratings WHERE item % 3 = 0""")
+SELECT CAST(item AS INT) AS item, idx, pred FROM ratings WHERE item % 3 = 0""")
 def scan_predictions(spark, sf):
     path = scratch_path(spark, "preds")
     r = b.ratings(spark, sf)
@@ -53,7 +53,7 @@ def scan_predictions(spark, sf):
 
 
 @query("sink_predictions", f"""WITH {b.RATINGS}
-SELECT item, idx, score, CAST(round_even(pred + 0.5, 0) AS INT) AS pred FROM ratings""")
+SELECT CAST(item AS INT) AS item, idx, score, CAST(round_even(pred + 0.5, 0) AS INT) AS pred FROM ratings""")
 def sink_predictions(spark, sf):
     path = scratch_path(spark, "preds")
     halves = b.ratings(spark, sf).withColumn("pred", F.col("pred") + 0.5)
@@ -80,7 +80,7 @@ def sink_pair_dataset(spark, sf):
 def materialize_once(spark, sf):
     """The second call must find the first one's table: its builder would fail."""
     root, tag = scratch_path(spark, "once"), writers.dataset_tag("someone/docs", "lab/small")
-    docs = b.table(spark, sf, "documents").select("doc_id", tx.word_count("text").alias("words"))
+    docs = b.documents(spark, sf).select("doc_id", tx.word_count("text").alias("words"))
     writers.materialize_once(spark, tag, lambda: docs, root)
     again = writers.materialize_once(spark, tag, lambda: docs.select(F.raise_error(F.lit("built twice"))), root)
     return again.withColumn("tag", F.lit(tag))

@@ -20,7 +20,7 @@ SELECT doc_id, CAST(len(ids) AS INT) AS n, CAST(len(ids) AS BIGINT) AS mask_sum,
        md5(array_to_string(ids, ',')) AS ids,
        md5(array_to_string(ids[1:64], ',')) AS cut_ids FROM tokens""")
 def tokenize_text(spark, sf):
-    docs = tk.tokenize_text(b.table(spark, sf, "documents"))
+    docs = tk.tokenize_text(b.documents(spark, sf))
     again = tk.tokenize_text(docs)   # already tokenized: unchanged
     cut = tk.tokenize_text(again, max_length=64, suffix="_cut")
     return cut.select(
@@ -32,7 +32,7 @@ def tokenize_text(spark, sf):
 
 def text_pairs(spark, sf):
     """Each document beside its successor by id."""
-    docs = b.table(spark, sf, "documents").select("doc_id", "text")
+    docs = b.documents(spark, sf).select("doc_id", "text")
     after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("txt2"))
     return docs.withColumnRenamed("text", "txt1").join(after, "doc_id").withColumn(
         "diff", (F.col("doc_id") % 4).cast("int"))
@@ -125,5 +125,5 @@ def start_token_check(spark, sf):
         .when(F.col("source") != "src3", F.concat(F.array(F.lit(8)), ids))
         .otherwise(F.concat(F.array(F.lit(8)), ids, F.array(F.lit(8))))
     )
-    docs = tk.tokenize_text(b.table(spark, sf, "documents")).withColumn("input_ids", marked)
+    docs = tk.tokenize_text(b.documents(spark, sf)).withColumn("input_ids", marked)
     return tk.start_token_check(docs, ["source", "lang"])

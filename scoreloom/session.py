@@ -25,6 +25,8 @@ def local_session(cores: int | str = 8, name: str = "scoreloom") -> SparkSession
         builder = builder.config(key, value)
     return (
         builder.config("spark.sql.shuffle.partitions", str(cores))
+        # Small test tables: keep a task per core instead of one per megabyte.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.driver.memory", "12g")
         .config("spark.log.level", "ERROR")
         .getOrCreate()

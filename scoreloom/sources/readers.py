@@ -9,6 +9,21 @@ from ..operators.items import item_agreement, last_predictions
 from . import schemas
 
 
+SPREAD_BYTES = 32 << 20
+
+
+def scan_table(spark: SparkSession, path: str, spread_on: str | None = None) -> DataFrame:
+    """A Parquet table. A small one may sit in a single row group, which one task would read
+    alone: with ``spread_on`` such a table is redistributed by that key before heavy work.
+    Tables with at least 32 MB per core are left as they lie."""
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if spread_on is None or cores == 1:
+        return df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, spread_on) if size < cores * SPREAD_BYTES else df
+
+
 def scan_jsonl(
     spark: SparkSession, path: str | list[str], schema: str, quarantine: bool = False
 ) -> DataFrame:
