@@ -36,9 +36,15 @@ def dim_join(
         small = is_small(dim, max_rows)
     if small:
         return fact.join(F.broadcast(dim), keys, how)
-    spread = F.pmod(F.xxhash64(*fact.columns), F.lit(SALTS)).cast("int")
     copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return fact.withColumn("_salt", spread).join(copies, [*keys, "_salt"], how).drop("_salt")
+    return fact.withColumn("_salt", _spread(fact)).join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def _spread(df: DataFrame) -> Column:
+    """A salt from the row's own scalar values, the same on every retry."""
+    scalar = [n for n, t in df.dtypes if "<" not in t]
+    narrow = [n for n in scalar if dict(df.dtypes)[n] != "string"]
+    return F.pmod(F.xxhash64(*(narrow or scalar)), F.lit(SALTS)).cast("int")
 
 
 def rank_within(
