@@ -52,16 +52,21 @@ def make_encoder(model_type: str = "hash", **options) -> Encoder:
 
 def embed_table(
     df: DataFrame, encoder: Encoder | None = None, text: str = "text",
-    keys: tuple[str, ...] = ("item", "idx", "score"),
+    keys: tuple[str, ...] = ("item", "idx", "score"), batch_size: int = 256,
 ) -> DataFrame:
-    """(keys, embedding) for every record, encoded in Arrow batches where the rows are."""
+    """(keys, embedding) for every record, encoded where the rows are.
+
+    The encoder sees ``batch_size`` whole texts at a time.
+    """
     model = encoder or HashEncoder()
     kept = df.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     schema = ", ".join(f"{n} {t}" for n, t in kept.dtypes if n != "_text") + ", embedding array<float>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            matrix = np.asarray(model.encode(pdf["_text"].tolist()), dtype=np.float32)
-            yield pdf.drop(columns="_text").assign(embedding=list(matrix))
+        for arrow_batch in batches:
+            for start in range(0, len(arrow_batch), batch_size):
+                pdf = arrow_batch.iloc[start:start + batch_size]
+                matrix = np.asarray(model.encode(pdf["_text"].tolist()), dtype=np.float32)
+                yield pdf.drop(columns="_text").assign(embedding=list(matrix))
 
     return kept.mapInPandas(run, schema)

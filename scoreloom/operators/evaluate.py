@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
+from ..session import shared_dir
 from .agreement import qwk
 from .encode import Encoder, embed_table
 from .items import skip_existing
 from .sampling import kfold_assign
 from .scaling import dim_join
 
-ITEM_ROWS = 50_000   # items up to this size are fitted inside one task
-FLUSH_GROUPS = 64    # partial sums a task keeps before passing them on
+TASK_VALUES = 8_000_000   # embedding values of an item that is fitted inside one task
+SUM_VALUES = 16_000_000   # partial sums a task keeps before passing them on
 
 
 class Learner(Protocol):
@@ -100,7 +101,7 @@ def _fit_by_sums(df: DataFrame, ridge: Ridge) -> DataFrame:
             for key, g in pdf.groupby(["item", "fold"]):
                 gram = _products(_matrix(g["embedding"]), g["score"].to_numpy(np.float64))
                 sums[key] = sums[key] + gram if key in sums else gram
-            if len(sums) >= FLUSH_GROUPS:
+            if sum(gram.size for gram in sums.values()) > SUM_VALUES:
                 yield from flush()
         if sums:
             yield from flush()
@@ -130,29 +131,35 @@ def _fit_by_sums(df: DataFrame, ridge: Ridge) -> DataFrame:
 
 
 def predict_folds(
-    df: DataFrame, learner: Learner | None = None, item_rows: int = ITEM_ROWS,
-    largest: int | None = None,
+    df: DataFrame, learner: Learner | None = None, item_rows: int | None = None,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Predict every fold of every item from the item's other folds.
 
-    Items above ``item_rows`` are fitted from sums. A learner that cannot do that is refused
-    for them, rather than given a part of the rows.
+    Items above ``item_rows`` (by default, above 8 million embedding values) are fitted from
+    sums. A learner that cannot do that is refused for them, rather than given a part of the
+    rows.
     """
     learner = learner or Ridge()
-    if largest is None:
-        largest = _largest(df)
-    if largest <= item_rows:
+    largest, width = sizes or _sizes(df)
+    limit = item_rows if item_rows is not None else TASK_VALUES // max(1, width)
+    if largest <= limit:
         return _fit_in_task(df, learner)
     if not isinstance(learner, Ridge):
-        raise ValueError(f"an item has {largest} rows; only Ridge fits items above {item_rows}")
-    sizes = df.groupBy("item").agg(F.count(F.lit(1)).alias("_n"))
-    sized = dim_join(df, sizes, ["item"])
-    small = _fit_in_task(sized.where(F.col("_n") <= item_rows).drop("_n"), learner)
-    return small.unionByName(_fit_by_sums(sized.where(F.col("_n") > item_rows).drop("_n"), learner))
+        raise ValueError(f"an item has {largest} rows; only Ridge fits items above {limit}")
+    counts = df.groupBy("item").agg(F.count(F.lit(1)).alias("_n"))
+    sized = dim_join(df, counts, ["item"])
+    small = _fit_in_task(sized.where(F.col("_n") <= limit).drop("_n"), learner)
+    return small.unionByName(_fit_by_sums(sized.where(F.col("_n") > limit).drop("_n"), learner))
 
 
-def _largest(df: DataFrame) -> int:
-    return df.groupBy("item").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).head()[0] or 0
+def _sizes(df: DataFrame) -> tuple[int, int]:
+    """Rows of the largest item, and length of the longest embedding."""
+    per_item = df.groupBy("item").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")
+    )
+    row = per_item.agg(F.max("n").alias("n"), F.max("d").alias("d")).head()
+    return row["n"] or 0, row["d"] or 0
 
 
 def _with_split(df: DataFrame) -> DataFrame:
@@ -161,17 +168,17 @@ def _with_split(df: DataFrame) -> DataFrame:
 
 def oof_predict(
     df: DataFrame, k: int = 5, learner: Learner | None = None, seed=42,
-    item_rows: int = ITEM_ROWS,
+    item_rows: int | None = None,
 ) -> DataFrame:
     """K-fold out-of-fold predictions per item; every item has folds of its own."""
     df = _with_split(df)
-    largest = _largest(df)
-    folds = kfold_assign(df, k, seed, largest=largest)
-    return predict_folds(folds, learner, item_rows, largest)
+    sizes = _sizes(df)
+    folds = kfold_assign(df, k, seed, largest=sizes[0])
+    return predict_folds(folds, learner, item_rows, sizes)
 
 
 def holdout_predict(
-    df: DataFrame, learner: Learner | None = None, item_rows: int = ITEM_ROWS
+    df: DataFrame, learner: Learner | None = None, item_rows: int | None = None
 ) -> DataFrame:
     """Fit on the training rows of an item, predict its validation rows."""
     known = df.where(F.col("split").startswith("train") | F.col("split").startswith("valid"))
@@ -210,9 +217,13 @@ def generate_predictions(
     df: DataFrame, encoder: Encoder | None = None, k: int = 5, learner: Learner | None = None,
     seed=42, done: DataFrame | None = None, overwrite: bool = False,
 ) -> DataFrame:
-    """Embed, predict out of fold and round, for items without results so far."""
+    """Embed, predict out of fold and round, for items without results so far.
+
+    The embeddings are stored once: encoding is the costly part and must survive lost executors.
+    """
+    shared_dir(df.sparkSession)
     todo = df if done is None else skip_existing(df, done, overwrite)
-    preds = oof_predict(embed_table(todo, encoder), k, learner, seed)
+    preds = oof_predict(embed_table(todo, encoder).checkpoint(), k, learner, seed)
     return preds.select("item", "idx", "score", F.rint("pred").cast("int").alias("pred"))
 
 

@@ -28,9 +28,9 @@ from .sampling import shuffle_rows, split_by_item
 from .scaling import BROADCAST_ROWS, GROUP_ROWS, dim_join, rank_within
 
 ITEM_ROWS = 20_000   # items up to this size are finished inside one task
-ITEM_STATE = ("neg", "pos", "stop")
 TAIL_ROWS = 1_500    # so are the last open records of a larger item
-
+TASK_ROWS = 500_000  # records of small items per task
+ITEM_STATE = ("neg", "pos", "stop")
 
 
 @dataclass(frozen=True)
@@ -431,11 +431,12 @@ def greedy_pairs(
     """
     shared_dir(df.sparkSession)
     sizes = df.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.agg(F.max("n")).head()[0] or 0
-    # The per-item pass is heavy for its few bytes: one task per core, not per megabyte.
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = sizes.agg(F.max("n").alias("top"), F.sum("n").alias("rows")).head()
+    largest = total["top"] or 0
     if largest <= item_rows:
-        df = df.repartition(tasks, "item")
+        # The per-item pass is heavy for its few bytes, so its tasks are counted in rows.
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartition(max(tasks, (total["rows"] or 0) // TASK_ROWS), "item")
     placed = place_records(df, p.seed, group_rows, largest)
     item_type = dict(placed.dtypes)["item"]
     zero = F.lit(0).cast("bigint")

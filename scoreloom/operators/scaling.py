@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from ..functions.hashing import TWO32
 BROADCAST_ROWS = 500_000   # a per-group table above this many rows is joined by shuffle
 GROUP_ROWS = 200_000       # a group above this many rows is ranked in several tasks
 SALTS = 32
+CUTS = 4096                # most ranges a running total is cut into
 
 
 def is_small(dim: DataFrame, max_rows: int | None = None) -> bool:
@@ -112,12 +114,13 @@ def running_totals(
     """
     spark = cells.sparkSession
     cells = cells.persist()
-    n = parts or min(512, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = parts or min(CUTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keyed = cells.withColumn("_o", F.col(order).cast("double"))
-    cuts = sorted(set(keyed.approxQuantile("_o", [i / n for i in range(1, n)], 0.01))) if n > 1 else []
+    cuts = sorted(set(keyed.approxQuantile("_o", [i / n for i in range(1, n)], 0.5 / n))) if n > 1 else []
     if cuts:
-        at = F.array(*[F.lit(c) for c in cuts])
-        keyed = keyed.withColumn("_cut", F.size(F.filter(at, lambda c: c <= F.col("_o"))))
+        ends = [float("-inf"), *cuts, float("inf")]
+        cutter = Bucketizer(splits=ends, inputCol="_o", outputCol="_c", handleInvalid="keep")
+        keyed = cutter.transform(keyed).withColumn("_cut", F.col("_c").cast("int")).drop("_c")
     else:
         keyed = keyed.withColumn("_cut", F.lit(0))
     rows = keyed.groupBy("_cut").agg(*[F.sum(v).alias(v) for v in values]).collect()
