@@ -27,13 +27,18 @@ def uniform(seed, *cols) -> Column:
 def pair_hash(low, high, salt):
     """Mix three non-negative integers into [0, PRIME).
 
-    Plain integer arithmetic, so it works on Columns and on NumPy int64 arrays alike.
+    Plain integer arithmetic, so it works on Columns and on NumPy int64 arrays alike. Each step
+    uses the last one once, which keeps the Column a small expression.
     """
     a, b, c = MULTIPLIERS
-    t = ((low % PRIME) * a + (high % PRIME) * b + salt % PRIME) % PRIME
-    t = (t * t + c) % PRIME
-    t = (t * t + (high % PRIME) * a + (low % PRIME)) % PRIME
-    return (t * t) % PRIME
+    t = (low * a + high * b + salt) % PRIME
+    t = t * (low % PRIME + c) % PRIME
+    return t * (high % PRIME + b) % PRIME
+
+
+def luck_salt(salt):
+    """A second salt, far from the first, for a draw independent of the visiting order."""
+    return salt * MULTIPLIERS[2] % PRIME
 
 
 def _col(c) -> Column:

@@ -21,13 +21,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import PRIME, hash32, pair_hash
+from ..functions.hashing import PRIME, hash32, luck_salt, pair_hash
 from ..session import shared_dir
 from .items import blacklisted
 from .sampling import shuffle_rows, split_by_item
 from .scaling import BROADCAST_ROWS, GROUP_ROWS, dim_join, rank_within
 
-ITEM_ROWS = 20_000   # items up to this size are finished inside one task
+ITEM_ROWS = 50_000   # items up to this size are finished inside one task
 TAIL_ROWS = 1_500    # so are the last open records of a larger item
 TASK_ROWS = 500_000  # records of small items per task
 ITEM_STATE = ("neg", "pos", "stop")
@@ -244,7 +244,7 @@ def _greedy(pdf: pd.DataFrame, p: MineParams) -> pd.DataFrame:
         low, high = np.minimum(slots[i], slots[j]), np.maximum(slots[i], slots[j])
         s, t = np.minimum(score[i], score[j]), np.maximum(score[i], score[j])
         ok = spare[i] & spare[j]
-        ok &= (err[i] + err[j] > 0) | (pair_hash(low, high, salt + 1) < p.easy_prob * PRIME)
+        ok &= (err[i] + err[j] > 0) | (pair_hash(low, high, luck_salt(salt)) < p.easy_prob * PRIME)
         for a, b in p.blacklist:
             ok &= ~((s == min(a, b)) & (t == max(a, b)))
         turn, i, j, low, high, same = (x[ok] for x in (turn, i, j, low, high, s == t))
@@ -303,7 +303,7 @@ def _accept_round(
         & ~blacklisted(F.col("a.score"), F.col("b.score"), p.blacklist)
         & (
             (F.col("a.err") + F.col("b.err") > 0)
-            | (pair_hash(low, high, F.col("salt") + 1) < p.easy_prob * PRIME)
+            | (pair_hash(low, high, luck_salt(F.col("salt"))) < p.easy_prob * PRIME)
         )
     )
     visit = priority_order(low, high, F.col("salt"))
@@ -353,9 +353,12 @@ def _accept_round(
 
 def _still_open(live: DataFrame, state: DataFrame, p: MineParams) -> DataFrame:
     """State rows of the items in which some open pair could still be accepted."""
-    classes = live.groupBy("item", "score").agg(F.count(F.lit(1)).alias("c"))
+    classes = live.groupBy("item", "score").agg(
+        F.count(F.lit(1)).alias("c"), F.max("turn").alias("turn")
+    )
     listed = classes.groupBy("item").agg(
-        F.collect_list(F.struct("score", "c")).alias("cls"), F.sum("c").alias("left")
+        F.collect_list(F.struct("score", "c")).alias("cls"), F.sum("c").alias("left"),
+        F.max("turn").alias("turn"),
     )
     mixed = F.exists("cls", lambda x: F.exists("cls", lambda y: (
         (x["score"] < y["score"]) & ~blacklisted(x["score"], y["score"], p.blacklist))))
@@ -363,7 +366,8 @@ def _still_open(live: DataFrame, state: DataFrame, p: MineParams) -> DataFrame:
     room = (F.floor((F.col("neg") + 1) / F.lit(p.np_min)) > F.col("pos")) if p.np_min > 0 else F.lit(True)
     return state.join(listed, "item").where(
         (F.col("neg") + F.col("pos") < F.col("stop")) & (mixed | (alike & room))
-    ).drop("cls")
+        & (F.col("turn") < F.col("n") + F.col("n") % 2 - 1)
+    ).drop("cls", "turn")
 
 
 def _rounds(placed: DataFrame, p: MineParams, group_rows: int, tail_rows: int):
@@ -382,12 +386,12 @@ def _rounds(placed: DataFrame, p: MineParams, group_rows: int, tail_rows: int):
     ).head()
     pieced, small = sizes["n"] > group_rows, sizes["pieces"] <= BROADCAST_ROWS
     carried = ["item", "neg", "pos", "stop"]
-    live = dim_join(placed.withColumn("deg", F.lit(0)), state.select(carried), ["item"], small=small)
-    turn = 0
+    start = placed.withColumns({"deg": F.lit(0), "turn": zero})
+    live = dim_join(start, state.select(carried), ["item"], small=small)
+    # The round number travels as a column: with a literal every round would be compiled anew.
     while True:
-        done = _accept_round(meet(live, F.lit(turn)), p, group_rows, pieced, small)
+        done = _accept_round(meet(live, F.col("turn")), p, group_rows, pieced, small)
         yield done.where("taken").select("item", "round", "visit", *_both_sides())
-        turn += 1
         gained = done.groupBy("item").agg(
             F.count_if(F.col("taken") & (F.col("e") == 1)).alias("gain_e"),
             F.count_if(F.col("taken") & (F.col("d") == 1)).alias("gain_d"),
@@ -398,14 +402,12 @@ def _rounds(placed: DataFrame, p: MineParams, group_rows: int, tail_rows: int):
         )
         sides = F.when(F.col("met") == 2, F.array("a", "b")).otherwise(F.array("a"))
         live = done.select(
-            "item", "n", "salt", "taken", F.explode(sides).alias("r")
+            "item", "n", "salt", "taken", (F.col("round") + 1).alias("turn"), F.explode(sides).alias("r")
         ).select(
-            "item", "n", "salt", "r.later", "r.idx", "r.slot", "r.score", "r.err",
+            "item", "n", "salt", "turn", "r.later", "r.idx", "r.slot", "r.score", "r.err",
             (F.col("r.deg") + F.col("taken").cast("int")).alias("deg"),
         ).where(F.col("deg") < p.ct_max)
-        open_items = _still_open(live, state, p).where(
-            F.lit(turn) < F.col("n") + F.col("n") % 2 - 1
-        ).checkpoint()
+        open_items = _still_open(live, state, p).checkpoint()
         ending = F.col("left") <= tail_rows
         counts = open_items.agg(
             F.count_if(ending).alias("tail"), F.count_if(~ending).alias("more")
@@ -413,7 +415,7 @@ def _rounds(placed: DataFrame, p: MineParams, group_rows: int, tail_rows: int):
         if counts["tail"]:
             tail = open_items.where(ending).select("item", "neg", "pos")
             rows = dim_join(live, tail, ["item"], "inner", small=small)
-            yield _finish(rows.withColumn("turn", F.lit(turn)), p, item_type)
+            yield _finish(rows, p, item_type)
         if not counts["more"]:
             return
         state = open_items.where(~ending).drop("left")

@@ -14,11 +14,10 @@ P = pm.TRAIN_PARAMS
 
 
 def mix_sql(low: str, high: str, salt: str) -> str:
-    m, n, c = MULTIPLIERS
-    one = f"((({low}) * {m} + ({high}) * {n} + ({salt}) % {PRIME}) % {PRIME})"
-    two = f"(({one} * {one} + {c}) % {PRIME})"
-    three = f"(({two} * {two} + ({high}) * {m} + ({low})) % {PRIME})"
-    return f"({three} * {three} % {PRIME})"
+    a, m, c = MULTIPLIERS
+    one = f"((({low}) * {a} + ({high}) * {m} + ({salt})) % {PRIME})"
+    two = f"({one} * (({low}) + {c}) % {PRIME})"
+    return f"({two} * (({high}) + {m}) % {PRIME})"
 
 
 # Every unordered pair of an item with its round and visiting number, by brute force.
@@ -37,7 +36,7 @@ joined AS (
   FROM placed x JOIN placed y ON x.item = y.item AND (x.later, x.idx) < (y.later, y.idx)),
 all_pairs AS (
   SELECT *, CASE WHEN hi = ring THEN 2 * lo % ring ELSE (lo + hi) % ring END AS round,
-    {mix_sql("lo", "hi", "salt")} AS visit, {mix_sql("lo", "hi", "salt + 1")} AS luck
+    {mix_sql("lo", "hi", "salt")} AS visit, {mix_sql("lo", "hi", f"salt * {MULTIPLIERS[2]} % {PRIME}")} AS luck
   FROM joined)"""
 
 
