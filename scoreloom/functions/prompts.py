@@ -34,14 +34,20 @@ Reply with the score only."""
 ASSISTANT_TEMPLATE = "{'score':'{{ score }}'}"
 
 
-def compile_template(template: str, columns: list[str], defaults: dict | None = None) -> Column:
+def compile_template(
+    template: str, columns: list[str], defaults: dict | None = None,
+    given: dict[str, Column] | None = None,
+) -> Column:
     """Variables and if/elif/else on equality become one Column.
 
-    A record field wins over a default; an unknown or NULL variable renders as nothing.
+    A given Column wins over a record field, which wins over a default; an unknown or NULL
+    variable renders as nothing.
     """
-    defaults = defaults or {}
+    defaults, given = defaults or {}, given or {}
 
     def variable(name: str) -> Column:
+        if name in given:
+            return given[name]
         if name in columns:
             return F.coalesce(F.col(name).cast("string"), F.lit(""))
         return F.lit(str(defaults.get(name, "")))
@@ -95,9 +101,12 @@ def compile_template(template: str, columns: list[str], defaults: dict | None =
     return rendered
 
 
-def render_prompt(template: str, columns: list[str], defaults: dict | None = None) -> Column:
+def render_prompt(
+    template: str, columns: list[str], defaults: dict | None = None,
+    given: dict[str, Column] | None = None,
+) -> Column:
     """Render, strip, and shorten long whitespace."""
-    return reduce_whitespace(compile_template(template, columns, defaults))
+    return reduce_whitespace(compile_template(template, columns, defaults, given))
 
 
 def infer_target(template: str) -> str | None:
@@ -120,22 +129,19 @@ def build_payload(
 ) -> Column:
     """User and assistant message plus the target, as one struct."""
     name = infer_target(assistant_template)
+    if name is None:
+        raise ValueError("the assistant template has no variable to predict")
     value = target_value(name, columns)
-    # The target stands in the assistant message even when the record lacks it.
-    before, _, after = assistant_template.rpartition("{{")
-    tail = after.partition("}}")[2]
-    answer = F.concat(
-        compile_template(before, columns, defaults), value,
-        compile_template(tail, columns, defaults),
-    )
+    # The target is filled in even when the record lacks it.
+    given = {name: value} if name not in columns else {}
 
     def message(role: str, content: Column) -> Column:
         return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
     return F.struct(
         F.array(
-            message("user", render_prompt(user_template, columns, defaults)),
-            message("assistant", reduce_whitespace(answer)),
+            message("user", render_prompt(user_template, columns, defaults, given)),
+            message("assistant", render_prompt(assistant_template, columns, defaults, given)),
         ).alias("messages"),
         F.struct(F.lit(name).alias("name"), value.alias("value")).alias("target"),
     )

@@ -24,8 +24,8 @@ def norm(a) -> Column:
 
 
 def cosine(a, b) -> Column:
-    """Cosine of two vectors; NULL when either is zero."""
-    return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
+    """Cosine of two vectors; 0 when either is zero."""
+    return dot(a, b) / F.greatest(norm(a) * norm(b), F.lit(1e-8))
 
 
 def euclidean(a, b, eps: float = 1e-6) -> Column:

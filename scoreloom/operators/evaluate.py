@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
 from ..session import shared_dir
-from .agreement import qwk
+from .agreement import qwk_weighted_scale
 from .encode import Encoder, embed_table
 from .items import skip_existing
 from .sampling import kfold_assign
@@ -209,7 +209,8 @@ def gbt_predict(train: DataFrame, test: DataFrame, seed: int = 42) -> DataFrame:
 
 def item_qwk(preds: DataFrame, keys: list[str] = ("item",)) -> DataFrame:
     """Agreement of predictions with scores per item, to 4 places."""
-    out = qwk(preds.where(~F.isnan(F.col("pred").cast("double"))), list(keys), "score", "pred")
+    known = preds.where(~F.isnan(F.col("pred").cast("double")))
+    out = qwk_weighted_scale(known, list(keys), "score", "pred")
     return out.withColumn("qwk", F.round("qwk", 4))
 
 

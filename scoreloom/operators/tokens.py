@@ -84,16 +84,19 @@ def pad_batch(
     if side not in ("left", "right"):
         raise ValueError(f"padding side {side!r} not recognised")
     rows = Window.partitionBy(batch)
+    goals = {
+        f"_goal{s}": F.ceil(F.max(F.size(f"input_ids{s}")).over(rows) / multiple_of) * multiple_of
+        for s in suffixes
+    }
+    df = df.select("*", *[goal.cast("int").alias(name) for name, goal in goals.items()])
+    padded = {}
     for s in suffixes:
-        ids, mask = f"input_ids{s}", f"attention_mask{s}"
-        goal = F.ceil(F.max(F.size(ids)).over(rows) / multiple_of) * multiple_of
-        df = df.withColumn("_pads", (goal - F.size(ids)).cast("int"))
-        for c, fill in ((ids, pad_id), (mask, 0)):
-            pads = F.array_repeat(F.lit(fill), F.col("_pads"))
+        missing = F.col(f"_goal{s}") - F.size(f"input_ids{s}")
+        for c, fill in ((f"input_ids{s}", pad_id), (f"attention_mask{s}", 0)):
+            pads = F.array_repeat(F.lit(fill), missing)
             parts = (pads, F.col(c)) if side == "left" else (F.col(c), pads)
-            df = df.withColumn(c, F.concat(*parts))
-        df = df.drop("_pads")
-    return df
+            padded[c] = F.concat(*parts)
+    return df.withColumns(padded).drop(*goals)
 
 
 def mask_labels(ids, mask) -> Column:
