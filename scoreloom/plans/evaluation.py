@@ -38,14 +38,48 @@ def holdout_predict(spark, sf):
     return out.select("item", "idx", "split", "score", F.round("pred", 4).alias("pred"))
 
 
+# What can be checked in SQL about the learned predictions: every record is predicted once, in
+# the right fold, and the in-task and the summed fit agree.
+VECTOR_FOLDS = f"""{b.VECTORS}, folds AS (
+  SELECT *, CAST(ntile(5) OVER (PARTITION BY item ORDER BY {b.u32("'42|' || item || '|' || idx")}, idx) - 1 AS INT) AS fold
+  FROM vectors)"""
+
+
+@query("oof_fold_summary", f"""WITH {VECTOR_FOLDS}
+SELECT item, fold, count(*) AS records, count(*) AS predicted, sum(score)::BIGINT AS scores, true AS both_fits_agree
+FROM folds GROUP BY item, fold""")
+def oof_fold_summary(spark, sf):
+    v = b.vectors(spark, sf)
+    rows = ev.oof_predict(v)
+    sums = ev.oof_predict(v, item_rows=0).select("item", "idx", F.col("pred").alias("other"))
+    same = F.abs(F.col("pred") - F.col("other")) < 1e-6
+    return rows.join(sums, ["item", "idx"]).groupBy("item", "fold").agg(
+        F.count(F.lit(1)).alias("records"), F.count_if(~F.isnan("pred")).alias("predicted"),
+        F.sum("score").alias("scores"), F.bool_and(same).alias("both_fits_agree"),
+    )
+
+
+@query("holdout_summary", f"""WITH {b.VECTORS}
+SELECT item, count(*) AS predicted, sum(score)::BIGINT AS scores, true AS both_fits_agree
+FROM vectors WHERE idx % 4 = 0 GROUP BY item""")
+def holdout_summary(spark, sf):
+    part = F.when(F.col("idx") % 4 == 0, "valid").otherwise("train")
+    v = b.vectors(spark, sf).withColumn("split", part)
+    sums = ev.holdout_predict(v, item_rows=0).select("item", "idx", F.col("pred").alias("other"))
+    same = F.abs(F.col("pred") - F.col("other")) < 1e-6
+    return ev.holdout_predict(v).join(sums, ["item", "idx"]).groupBy("item").agg(
+        F.count(F.lit(1)).alias("predicted"), F.sum("score").alias("scores"),
+        F.bool_and(same).alias("both_fits_agree"),
+    )
+
+
 @query("item_qwk", f"WITH {b.RATINGS}, {QWK_SQL} SELECT item, n, round(qwk, 4) AS qwk FROM item_qwk")
 def item_qwk(spark, sf):
     return ev.item_qwk(b.ratings(spark, sf))
 
 
-@query("generate_predictions")
-def generate_predictions(spark, sf):
-    """Labelled documents; sources that hold a toxic one count as done."""
+def generated(spark, sf):
+    """Labelled documents; sources with more than four toxic ones count as done."""
     labelled = b.responses(spark, sf).where("score IS NOT NULL")
     toxic = b.table(spark, sf, "labels").where("toxic = 1")
     done = b.documents(spark, sf).join(toxic, "doc_id").groupBy(F.col("source").alias("item")).agg(
@@ -53,6 +87,20 @@ def generate_predictions(spark, sf):
     return ev.generate_predictions(labelled, done=done)
 
 
+@query("generate_predictions")
+def generate_predictions(spark, sf):
+    return generated(spark, sf)
+
+
+@query("generated_members", f"""WITH {b.RESPONSES}, done AS (
+  SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY source HAVING count(*) > 4)
+SELECT item, idx, score FROM responses
+WHERE score IS NOT NULL AND item NOT IN (SELECT source FROM done)""")
+def generated_members(spark, sf):
+    """Which records get a prediction."""
+    return generated(spark, sf).where("pred IS NOT NULL").select("item", "idx", "score")
+
+
 CHECKPOINTS = b.CHECKPOINT_PREDS + """, r AS (
   SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM checkpoint_preds
   WINDOW w AS (PARTITION BY checkpoint, item)),
