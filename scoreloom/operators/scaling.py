@@ -44,9 +44,7 @@ def dim_join(
 
 def _spread(df: DataFrame) -> Column:
     """A salt from the row's own scalar values, the same on every retry."""
-    scalar = [n for n, t in df.dtypes if "<" not in t]
-    narrow = [n for n in scalar if dict(df.dtypes)[n] != "string"]
-    return F.pmod(F.xxhash64(*(narrow or scalar)), F.lit(SALTS)).cast("int")
+    return F.pmod(F.xxhash64(*[n for n, t in df.dtypes if "<" not in t]), F.lit(SALTS)).cast("int")
 
 
 def rank_within(
