@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import language_id, line_winnow, packing, quality_cascade, substring_dedup, token_counts, url_filter, warc
+from . import language_id, line_winnow, ngram_join, packing, quality_cascade, substring_dedup, token_counts, url_filter, warc
 from .common import table
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -235,3 +235,10 @@ def op9(spark, sf):
 @query("op10_best_fit_packing")
 def op10(spark, sf):
     return packing.pack(table(spark, sf, "documents"))
+
+
+@query("op2_ngram_jaccard_join")
+def op2(spark, sf):
+    found = ngram_join.near_duplicates(table(spark, sf, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), F.col("group_id").alias("class_id"), "n_links", "n_copies")
