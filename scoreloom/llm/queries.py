@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import language_id, line_winnow, ngram_join, packing, quality_cascade, substring_dedup, token_counts, url_filter, warc
+from . import decontaminate, language_id, line_winnow, ngram_join, packing, quality_cascade, substring_dedup, token_counts, url_filter, warc
 from .common import table
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -242,3 +242,9 @@ def op2(spark, sf):
     found = ngram_join.near_duplicates(table(spark, sf, "documents"))
     return found.select(
         F.col("id").alias("doc_id"), F.col("group_id").alias("class_id"), "n_links", "n_copies")
+
+
+@query("op6_decontamination")
+def op6(spark, sf):
+    found = decontaminate.find_matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "distance", "first_word", "end_word")
