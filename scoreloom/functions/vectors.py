@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
+import bisect
+import hashlib
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,32 +115,38 @@ def select_layer(layers: Column, k: int = -1) -> Column:
     return F.element_at(layers, k + 1 if k >= 0 else k)
 
 
+# Methods of layer selection: how unevenly each dimension finds one owner layer (None: it finds
+# none), and how many times the width all layers together draw at random.
+LAYER_METHODS = {0: (5, 0.0), 1: (1, 0.0), 2: (None, 1.5), 3: (1, 1.0)}
+
+
+def _key_number(*keys) -> int:
+    """The number ``hash32`` gives for the same keys, on the driver."""
+    return int(hashlib.md5("|".join(map(str, keys)).encode()).hexdigest()[:8], 16)
+
+
 def layer_plan(n_layers: int, dim: int, method: int = 1, seed: int = 1234) -> list[list[int]]:
-    """Dimensions to take from each layer.
+    """Dimensions to take from each layer, in ascending order.
 
-    0: each dimension goes to one layer, later layers more likely. 1: the same, uniformly.
-    2: a fixed number of random dimensions per layer. 3: method 1 plus a few random
-    dimensions per layer.
+    Every choice is a key hash, so it depends on layer and dimension only. A dimension is
+    owned by the layer into whose share of the unit interval its number falls; shares rise evenly
+    from 1 for the first layer to ``steepness`` (at most the number of layers) for the last. A layer
+    draws the dimensions with its smallest numbers.
     """
-    rng = np.random.RandomState(seed)
-    if method == 0:
-        share = np.linspace(1, min(5, n_layers), n_layers)
-        owner = rng.choice(n_layers, size=dim, p=share / share.sum())
-    elif method in (1, 3):
-        owner = rng.randint(0, n_layers, size=dim)
-    elif method == 2:
-        take = int(1.5 * dim // n_layers)
-        return [rng.permutation(dim)[:take].tolist() for _ in range(n_layers)]
-    else:
+    if method not in LAYER_METHODS:
         raise ValueError(f"layer method {method} not recognised")
-    plan = [np.flatnonzero(owner == layer) for layer in range(n_layers)]
-    if method == 3:
-        take = dim // n_layers
-        plan = [
-            np.union1d(own, np.random.RandomState(seed + layer).permutation(dim)[:take])
-            for layer, own in enumerate(plan)
-        ]
-    return [[int(d) for d in own] for own in plan]
+    steepness, drawn = LAYER_METHODS[method]
+    taken: list[set[int]] = [set() for _ in range(n_layers)]
+    if steepness is not None:
+        rise = (min(steepness, n_layers) - 1) / max(n_layers - 1, 1)
+        ends = list(itertools.accumulate(1 + rise * k for k in range(n_layers)))
+        for d in range(dim):
+            at = _key_number(seed, "owner", d) / 2**32 * ends[-1]
+            taken[bisect.bisect_right(ends, at)].add(d)
+    size = int(drawn * dim // n_layers)
+    for layer, own in enumerate(taken):
+        own.update(sorted(range(dim), key=lambda d: (_key_number(seed, layer, d), d))[:size])
+    return [sorted(own) for own in taken]
 
 
 def layer_mix(layers: list[Column], plan: list[list[int]]) -> Column:

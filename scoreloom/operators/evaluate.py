@@ -244,18 +244,23 @@ def checkpoint_leaderboard(scores: DataFrame) -> DataFrame:
     return per.withColumn("place", F.rank().over(best)).orderBy("checkpoint")
 
 
-def leaderboard_lines(scores: DataFrame, items: list[int]) -> DataFrame:
-    """Tab-separated text per checkpoint: name, mean, and the values of the listed items."""
+def leaderboard_lines(scores: DataFrame) -> DataFrame:
+    """Tab-separated text per checkpoint: name, mean over all items, and the value of every item in
+    ascending order of items; ``nan`` where a checkpoint has no value for an item.
+
+    A line holds one number per item, so lines grow with the items, not with the records.
+    """
     def number(value):
         return F.when(value.isNull(), "nan").otherwise(F.format_string("%.4f", value))
 
-    own = [F.max(F.when(F.col("item") == i, F.col("qwk"))) for i in items]
-    return scores.where(F.col("item").isin(items)).groupBy("checkpoint").agg(
-        F.concat_ws(
-            "\t", F.concat(F.lit("checkpoint-"), F.col("checkpoint").cast("string")),
-            number(F.avg("qwk")), F.lit(""), *[number(v) for v in own],
-        ).alias("line")
-    ).orderBy("checkpoint")
+    names = scores.agg(F.array_sort(F.collect_set("item")).alias("names")).withColumn("_all", F.lit(1))   # one row
+    own = scores.groupBy("checkpoint").agg(
+        F.avg("qwk").alias("mean"),
+        F.map_from_entries(F.collect_list(F.struct("item", "qwk"))).alias("own"))
+    values = F.transform("names", lambda i: number(F.try_element_at("own", i)))
+    return own.withColumn("_all", F.lit(1)).join(F.broadcast(names), "_all").select("checkpoint", F.concat(
+        F.lit("checkpoint-"), F.col("checkpoint").cast("string"), F.lit("\t"), number(F.col("mean")),
+        F.lit("\t\t"), F.array_join(values, "\t")).alias("line")).orderBy("checkpoint")
 
 
 def next_checkpoint(board: DataFrame) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.itemexpr import item_filter
 from ..functions.text import word_count
-from .scaling import dim_join
+from .scaling import dim_join, running_totals
 
 # Least agreement between raters an item needs, by item type.
 HH_MIN = {"math": 0.7, "bw": 0.58, "fw": 0.75}
@@ -153,5 +153,13 @@ def reconcile_counts(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.where("left_rows <> right_rows")
 
 
-def restore_order(df: DataFrame, position: str = "ord") -> DataFrame:
-    return df.orderBy("item", position)
+def restore_order(df: DataFrame, position: str = "ord", place: str = "place") -> DataFrame:
+    """Rows in the order of item and position, with their 1-based number in it.
+
+    Items are numbered from their sizes, rows inside their item, so no task sorts the whole table.
+    """
+    starts = running_totals(df.groupBy("item").agg(F.count(F.lit(1)).alias("_n")), "item", ["_n"]).select(
+        "item", (F.col("cum__n") - F.col("_n")).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("item").orderBy(position))
+    out = dim_join(df.withColumn("_rank", inside), starts, ["item"])
+    return out.withColumn(place, F.col("_start") + F.col("_rank")).drop("_start", "_rank").orderBy(place)

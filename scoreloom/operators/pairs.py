@@ -21,16 +21,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import PRIME, hash32, luck_salt, pair_hash
+from ..functions.hashing import PRIME, TWO32, hash32, luck_salt, pair_hash
 from ..session import shared_dir
 from .items import blacklisted
 from .sampling import shuffle_rows, split_by_item
-from .scaling import BROADCAST_ROWS, GROUP_ROWS, dim_join, rank_within
+from .scaling import BROADCAST_ROWS, GROUP_ROWS, dim_join, rank_within, running_totals
 
 ITEM_ROWS = 50_000   # items up to this size are finished inside one task
 TAIL_ROWS = 1_500    # so are the last open records of a larger item
 TASK_ROWS = 500_000  # records of small items per task
 ITEM_STATE = ("neg", "pos", "stop")
+PAIR_KEYS = ("split1", "idx1", "split2", "idx2")
 
 
 @dataclass(frozen=True)
@@ -65,6 +66,11 @@ def sample_easy(hardness: Column, chance: Column, easy_prob: float) -> Column:
     return (hardness > 0) | (chance < easy_prob)
 
 
+def pair_luck(low: Column, high: Column, salt: Column) -> Column:
+    """The uniform number in [0, 1) of a pair's draw."""
+    return pair_hash(low, high, luck_salt(salt)) / F.lit(float(PRIME))
+
+
 def priority_order(low: Column, high: Column, salt: Column) -> Column:
     """Visiting priority of a pair inside its round."""
     return pair_hash(low, high, salt)
@@ -82,8 +88,12 @@ def pair_diffs(pairs: DataFrame) -> DataFrame:
 def place_records(
     df: DataFrame, seed, group_rows: int | None = None, largest: int | None = None
 ) -> DataFrame:
-    """Give the records of each item random places 0..n-1; columns beyond these are dropped."""
-    slim = df.select(
+    """Give the records of each item random places 0..n-1; columns beyond these are dropped.
+
+    A record without score or prediction has no hardness, so it is not minable and gets no place;
+    reports over all records count it as one without pairs.
+    """
+    slim = df.where(minable()).select(
         "item", (F.col("split") != "train").cast("int").alias("later"),
         F.col("idx").cast("bigint").alias("idx"), F.col("score").cast("int").alias("score"),
         F.abs(F.col("pred") - F.col("score")).cast("int").alias("err"),
@@ -98,6 +108,10 @@ def place_records(
     })
 
 
+def minable() -> Column:
+    return F.col("score").isNotNull() & F.col("pred").isNotNull()
+
+
 def _partner(slot: Column, n: Column, turn) -> Column:
     """Opponent in a round: the last seat stays, the others meet where places add up to the
     round. A place that does not exist is a bye."""
@@ -301,10 +315,8 @@ def _accept_round(
     passes = (
         (F.col("met") == 2)
         & ~blacklisted(F.col("a.score"), F.col("b.score"), p.blacklist)
-        & (
-            (F.col("a.err") + F.col("b.err") > 0)
-            | (pair_hash(low, high, luck_salt(F.col("salt"))) < p.easy_prob * PRIME)
-        )
+        & sample_easy(
+            F.col("a.err") + F.col("b.err"), pair_luck(low, high, F.col("salt")), p.easy_prob)
     )
     visit = priority_order(low, high, F.col("salt"))
     pieces = F.ceil(F.col("n") / F.lit(float(group_rows)))
@@ -432,6 +444,7 @@ def greedy_pairs(
     tasks, until cutoff or until few records are open, and give the same pairs.
     """
     shared_dir(df.sparkSession)
+    df = df.where(minable())
     sizes = df.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     total = sizes.agg(F.max("n").alias("top"), F.sum("n").alias("rows")).head()
     largest = total["top"] or 0
@@ -455,9 +468,11 @@ def greedy_pairs(
 # --- after acceptance ------------------------------------------------------------------------
 
 def rank_by_hardness(pairs: DataFrame, seed) -> DataFrame:
-    """Hardest first, equals in random order."""
-    u = hash32(seed, "item", "split1", "idx1", "split2", "idx2")
-    return pairs.withColumn("_u", u).orderBy(F.desc("h"), "_u", "item", "idx1", "idx2").drop("_u")
+    """Hardest first, equals in random order, with the 1-based ``place`` in that order."""
+    u = hash32(seed, "item", *PAIR_KEYS)
+    keyed = pairs.withColumns({"_key": F.col("h") * F.lit(TWO32) - u, "_one": F.lit(1).cast("bigint")})
+    ranked = running_totals(keyed, "_key", ["_one"], ["item", *PAIR_KEYS], descending=True)
+    return ranked.withColumn("place", F.col("cum__one")).drop("_key", "_one", "cum__one", "all__one").orderBy("place")
 
 
 def cap_easy(pairs: DataFrame, easy_max: int, seed, group_rows: int | None = None) -> DataFrame:
@@ -513,7 +528,7 @@ def mine_pairs(
 
 
 def shuffled_pairs(pairs: DataFrame, seed) -> DataFrame:
-    return shuffle_rows(pairs, seed, ["item", "idx1", "idx2"])
+    return shuffle_rows(pairs, seed, ["item", *PAIR_KEYS])
 
 
 def pair_coverage_report(records: DataFrame, pairs: DataFrame) -> DataFrame:

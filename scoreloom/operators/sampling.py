@@ -98,10 +98,14 @@ def per_item_seed(df: DataFrame, seed) -> DataFrame:
 
 
 def kfold_assign(
-    df: DataFrame, k: int, seed, keys: list[str] = ("item", "idx"), group_rows: int | None = None,
+    df: DataFrame, k: int, seed, keys: list[str] = ("item", "split", "idx"), group_rows: int | None = None,
     largest: int | None = None,
 ) -> DataFrame:
-    """Random folds 0..k-1 per item; the first n % k folds hold one row more."""
+    """Random folds 0..k-1 per item; the first n % k folds hold one row more.
+
+    ``keys`` tell the rows of an item apart; those that the table does not have are left out.
+    """
+    keys = [c for c in keys if c in df.columns]
     ranked = rank_within(
         df, ["item"], hash32(seed, *keys), [c for c in keys if c != "item"], "_rank", "_size",
         group_rows, largest,

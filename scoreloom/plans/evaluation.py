@@ -41,7 +41,7 @@ def holdout_predict(spark, sf):
 # What can be checked in SQL about the learned predictions: every record is predicted once, in
 # the right fold, and the in-task and the summed fit agree.
 VECTOR_FOLDS = f"""{b.VECTORS}, folds AS (
-  SELECT *, CAST(ntile(5) OVER (PARTITION BY item ORDER BY {b.u32("'42|' || item || '|' || idx")}, idx) - 1 AS INT) AS fold
+  SELECT *, CAST(ntile(5) OVER (PARTITION BY item ORDER BY {b.u32("'42|' || item || '|train|' || idx")}, idx) - 1 AS INT) AS fold
   FROM vectors)"""
 
 
@@ -125,15 +125,14 @@ def checkpoint_leaderboard(spark, sf):
 
 
 @query("leaderboard_lines", f"""WITH {CHECKPOINTS}, filled AS (
-  SELECT checkpoint, item, coalesce(qwk, 0) AS qwk FROM scores WHERE item IN (3, 8, 11))
-SELECT checkpoint, concat_ws(chr(9), 'checkpoint-' || checkpoint, printf('%.4f', avg(qwk)), '',
-  coalesce(printf('%.4f', max(qwk) FILTER (item = 3)), 'nan'),
-  coalesce(printf('%.4f', max(qwk) FILTER (item = 8)), 'nan'),
-  coalesce(printf('%.4f', max(qwk) FILTER (item = 11)), 'nan')) AS line
-FROM filled GROUP BY checkpoint""")
+  SELECT checkpoint, item, coalesce(qwk, 0) AS qwk FROM scores),
+grid AS (SELECT * FROM (SELECT DISTINCT checkpoint FROM filled), (SELECT DISTINCT item FROM filled))
+SELECT checkpoint, 'checkpoint-' || checkpoint || chr(9) || printf('%.4f', avg(qwk)) || chr(9) || chr(9)
+  || string_agg(coalesce(printf('%.4f', qwk), 'nan'), chr(9) ORDER BY item) AS line
+FROM grid LEFT JOIN filled USING (checkpoint, item) GROUP BY checkpoint""")
 def leaderboard_lines(spark, sf):
     scores = ev.scan_checkpoints(b.checkpoint_preds(spark, sf)).na.fill(0.0, ["qwk"])
-    return ev.leaderboard_lines(scores, [3, 8, 11])
+    return ev.leaderboard_lines(scores)
 
 
 @query("next_checkpoint", f"""WITH {CHECKPOINTS}, q AS (

@@ -183,7 +183,7 @@ def reconcile_counts(spark, sf):
     return it.reconcile_counts(r, r.where("mode <> 'error' OR item % 3 = 0"))
 
 
-@query("restore_order", f"WITH {b.RATINGS} SELECT item, idx, idx AS ord FROM ratings")
+@query("restore_order", f"WITH {b.RATINGS} SELECT item, idx, idx AS ord, row_number() OVER (ORDER BY item, idx) AS place FROM ratings")
 def restore_order(spark, sf):
     shuffled = b.ratings(spark, sf).select("item", "idx", F.col("idx").alias("ord")).repartition("idx")
     return it.restore_order(shuffled)

@@ -1,5 +1,8 @@
 """Pair mining."""
 
+from dataclasses import replace
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import MULTIPLIERS, PRIME
@@ -41,10 +44,11 @@ all_pairs AS (
 
 
 @query("candidate_pairs", f"""WITH {b.RATINGS}, {ALL_PAIRS}
-SELECT item, round, visit, split1, idx1, score1, split2, idx2, score2, h FROM all_pairs WHERE round < 4""")
+SELECT item, h, score1 = score2 AS is_pos, score1 = 0 AND score2 = 0 AS is_listed, count(*) AS pairs
+FROM all_pairs GROUP BY ALL""")
 def candidate_pairs(spark, sf):
-    """The pairs of the first four rounds; each further round would add n/2 pairs per item."""
-    return pm.candidate_pairs(b.ratings(spark, sf), SEED, 4)
+    """Complete numbers of candidate pairs; the pairs themselves grow with the square of an item."""
+    return pm.hardness_profile(b.ratings(spark, sf), P.blacklist)
 
 
 @query("pair_hardness", f"""WITH {b.RATINGS}, {ALL_PAIRS}
@@ -63,36 +67,20 @@ def pair_polarity(spark, sf):
     return profile.groupBy("item", "is_pos").agg(F.sum("pairs").alias("pairs"))
 
 
-@query("blacklist_pairs", f"""WITH {b.RATINGS}, {ALL_PAIRS}
-SELECT item, split1, idx1, split2, idx2, score1, score2 FROM all_pairs
-WHERE round < 3 AND NOT (score1 = 0 AND score2 = 0) AND NOT (least(score1, score2) = 1 AND greatest(score1, score2) = 3)""")
-def blacklist_pairs(spark, sf):
-    met = pm.candidate_pairs(b.ratings(spark, sf), SEED, 3)
-    return drop_listed(met, ((0, 0), (3, 1))).select(
-        "item", "split1", "idx1", "split2", "idx2", "score1", "score2")
-
 
-@query("priority_order", f"""WITH {b.RATINGS}, {ALL_PAIRS}
-SELECT item, round, idx1, idx2, CAST(row_number() OVER (PARTITION BY item, round ORDER BY visit, lo) AS INT) AS place
-FROM all_pairs WHERE round < 2""")
-def priority_order(spark, sf):
-    from pyspark.sql import Window
 
-    met = pm.candidate_pairs(b.ratings(spark, sf), SEED, 2)
-    order = Window.partitionBy("item", "round").orderBy("visit")
-    return met.select("item", "round", "idx1", "idx2", F.row_number().over(order).alias("place"))
 
 
 def trained(spark, sf):
     return pm.greedy_pairs(b.ratings(spark, sf), P)
 
 
-def greedy_sql(ct: str = str(P.ct_max)) -> str:
+def greedy_sql(ct: str = str(P.ct_max), barred: str = "score1 = 0 AND score2 = 0") -> str:
     """The greedy pass as a fold over each item's pairs in visiting order; ``ct`` is the degree
-    cap as an expression over the item."""
+    cap as an expression over the item, ``barred`` the condition of the blacklist."""
     return f"""{ALL_PAIRS}, open_pairs AS (
   SELECT item, n, {ct} AS ct, round, visit, lo, hi, score1 = score2 AS same FROM all_pairs
-  WHERE NOT (score1 = 0 AND score2 = 0) AND (h > 0 OR luck < {P.easy_prob} * {PRIME})),
+  WHERE NOT ({barred}) AND (h > 0 OR luck < {P.easy_prob} * {PRIME})),
 lists AS (
   SELECT item, any_value(n) AS n, any_value(ct) AS ct,
     list({{'lo': lo, 'hi': hi, 'same': same, 'neg': 0::BIGINT, 'pos': 0::BIGINT,
@@ -119,6 +107,41 @@ greedy AS (
 GREEDY = greedy_sql()
 
 
+@query("blacklist_pairs", f"""WITH {b.RATINGS}, {greedy_sql(barred="false")}
+SELECT item, split1, idx1, split2, idx2, score1, score2 FROM greedy
+WHERE NOT (score1 = 0 AND score2 = 0) AND NOT (least(score1, score2) = 1 AND greatest(score1, score2) = 3)""")
+def blacklist_pairs(spark, sf):
+    """Applied after a mining run without a blacklist."""
+    mined = pm.greedy_pairs(b.ratings(spark, sf), replace(P, blacklist=()))
+    return drop_listed(mined, ((0, 0), (3, 1))).select(
+        "item", "split1", "idx1", "split2", "idx2", "score1", "score2")
+
+
+@query("sample_easy", f"""WITH {b.RATINGS}, {greedy_sql(barred="false")}
+SELECT item, idx1, idx2, h, luck < {P.easy_prob} * {PRIME} AS lucky FROM greedy WHERE h > 0 OR luck < {P.easy_prob} * {PRIME}""")
+def sample_easy(spark, sf):
+    """The draw on accepted pairs: an easy one is there only if it was lucky."""
+    mined = pm.greedy_pairs(b.ratings(spark, sf), replace(P, blacklist=()))
+    places = pm.place_records(b.ratings(spark, sf), SEED).withColumn(
+        "split", F.when(F.col("later") == 0, "train").otherwise("valid"))
+    ends = [places.select("item", F.col("split").alias(f"split{i}"), F.col("idx").alias(f"idx{i}"),
+                          F.col("slot").alias(f"slot{i}"), *(["salt"] if i == 1 else [])) for i in (1, 2)]
+    met = mined.join(ends[0], ["item", "split1", "idx1"]).join(ends[1], ["item", "split2", "idx2"])
+    chance = pm.pair_luck(F.least("slot1", "slot2"), F.greatest("slot1", "slot2"), F.col("salt"))
+    lucky = chance < P.easy_prob
+    return met.where(pm.sample_easy(F.col("h"), chance, P.easy_prob)).select(
+        "item", "idx1", "idx2", "h", lucky.alias("lucky"))
+
+
+@query("priority_order", f"""WITH {b.RATINGS}, {GREEDY}
+SELECT item, idx1, idx2, CAST(row_number() OVER (PARTITION BY item ORDER BY round, visit, lo) AS INT) AS place
+FROM greedy""")
+def priority_order(spark, sf):
+    """The place of every accepted pair in its item's visiting order."""
+    order = Window.partitionBy("item").orderBy("round", "visit", "split1", "idx1", "split2", "idx2")
+    return trained(spark, sf).select("item", "idx1", "idx2", F.row_number().over(order).alias("place"))
+
+
 @query("greedy_degree_cap", f"""WITH {b.RATINGS}, {GREEDY}
 SELECT item, round, visit, split1, idx1, score1, split2, idx2, score2, h FROM greedy""")
 def greedy_degree_cap(spark, sf):
@@ -153,19 +176,19 @@ PAIR_U = b.u32(f"'{SEED}|' || item || '|' || split1 || '|' || idx1 || '|' || spl
 
 
 @query("rank_by_hardness", f"""WITH {b.RATINGS}, {GREEDY}
-SELECT item, idx1, idx2, h FROM greedy""")
+SELECT item, idx1, idx2, h, row_number() OVER (ORDER BY h DESC, {PAIR_U}, item, split1, idx1, split2, idx2) AS place
+FROM greedy""")
 def rank_by_hardness(spark, sf):
-    return pm.rank_by_hardness(trained(spark, sf), SEED).select("item", "idx1", "idx2", "h")
+    return pm.rank_by_hardness(trained(spark, sf), SEED).select("item", "idx1", "idx2", "h", "place")
 
 
-@query("cap_easy", f"""WITH {b.RATINGS}, {ALL_PAIRS}, met AS (SELECT * FROM all_pairs WHERE round < 6),
+@query("cap_easy", f"""WITH {b.RATINGS}, {GREEDY},
 ranked AS (
   SELECT *, count(*) FILTER (h > 0) OVER (PARTITION BY item) AS hard,
-    row_number() OVER (PARTITION BY item, h = 0 ORDER BY {PAIR_U}, split1, idx1, split2, idx2) AS r FROM met)
+    row_number() OVER (PARTITION BY item, h = 0 ORDER BY {PAIR_U}, split1, idx1, split2, idx2) AS r FROM greedy)
 SELECT item, idx1, idx2, h FROM ranked WHERE h > 0 OR r <= least(hard, 7)""")
 def cap_easy(spark, sf):
-    met = pm.candidate_pairs(b.ratings(spark, sf), SEED, 6)
-    return pm.cap_easy(met, 7, SEED).select("item", "idx1", "idx2", "h")
+    return pm.cap_easy(trained(spark, sf), 7, SEED).select("item", "idx1", "idx2", "h")
 
 
 RANGES = """ranges AS (
@@ -173,26 +196,24 @@ RANGES = """ranges AS (
          coalesce(max(score) FILTER (split = 'train'), max(score)) AS hi_s FROM ratings GROUP BY item)"""
 
 
-@query("pair_diffs", f"""WITH {b.RATINGS}, {RANGES}, {ALL_PAIRS}
+@query("pair_diffs", f"""WITH {b.RATINGS}, {RANGES}, {GREEDY}
 SELECT item, idx1, idx2, abs(score1 - score2) AS diff_abs,
   round(abs((score1 - lo_s)::DOUBLE / nullif(hi_s - lo_s, 0) - (score2 - lo_s)::DOUBLE / nullif(hi_s - lo_s, 0)), 6)
     AS diff_norm
-FROM all_pairs JOIN ranges USING (item) WHERE round = 0""")
+FROM greedy JOIN ranges USING (item)""")
 def pair_diffs(spark, sf):
     r = b.ratings(spark, sf)
-    met = pm.candidate_pairs(r, SEED, 1)
-    out = pm.attach_pair_payload(met, ag.with_score_norm(r))
+    out = pm.attach_pair_payload(pm.greedy_pairs(r, P), ag.with_score_norm(r))
     return out.select("item", "idx1", "idx2", "diff_abs", F.round("diff_norm", 6).alias("diff_norm"))
 
 
-@query("attach_pair_payload", f"""WITH {b.RATINGS}, {ALL_PAIRS}
+@query("attach_pair_payload", f"""WITH {b.RATINGS}, {GREEDY}
 SELECT p.item, idx1, idx2, score1, score2, 'answer ' || idx1 AS text1, 'answer ' || idx2 AS text2,
        r.mode AS mode
-FROM all_pairs p JOIN ratings r ON r.item = p.item AND r.idx = p.idx1 WHERE round < 2""")
+FROM greedy p JOIN ratings r ON r.item = p.item AND r.idx = p.idx1""")
 def attach_pair_payload(spark, sf):
     r = b.ratings(spark, sf).withColumn("text", F.concat(F.lit("answer "), F.col("idx").cast("string")))
-    met = pm.candidate_pairs(r, SEED, 2)
-    return pm.attach_pair_payload(met, r, ["mode"]).select(
+    return pm.attach_pair_payload(pm.greedy_pairs(r, P), r, ["mode"]).select(
         "item", "idx1", "idx2", "score1", "score2", "text1", "text2", "mode")
 
 

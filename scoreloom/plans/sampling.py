@@ -64,26 +64,15 @@ def random_subset(spark, sf):
     return out
 
 
-@query("sample_easy", f"""WITH {SEEDED}
-SELECT item, idx FROM seeded WHERE score <> pred OR u / 4294967296.0::DOUBLE < 0.01""")
-def sample_easy(spark, sf):
-    """The sampling rule on records: rated wrong, or lucky with probability 0.01."""
-    from ..operators.pairs import sample_easy as keep
-    from ..functions.hashing import uniform
-
-    r = b.ratings(spark, sf)
-    hardness = F.abs(F.col("score") - F.col("pred"))
-    return r.where(keep(hardness, uniform(SEED, *KEYS), 0.01)).select("item", "idx")
-
-
 @query("per_item_seed", f"""WITH {b.RATINGS}
 SELECT DISTINCT item, {b.u32(f"'{SEED}|' || item")} AS seed FROM ratings""")
 def per_item_seed(spark, sf):
     return sm.per_item_seed(b.ratings(spark, sf), SEED)
 
 
-FOLDS_SQL = f"""{SEEDED}, folds AS (
-  SELECT *, CAST(ntile(5) OVER (PARTITION BY item ORDER BY u, idx) - 1 AS INT) AS fold FROM seeded)"""
+FOLDS_SQL = f"""{b.RATINGS}, folds AS (
+  SELECT *, CAST(ntile(5) OVER (PARTITION BY item ORDER BY
+    {b.u32(f"'{SEED}|' || item || '|' || split || '|' || idx")}, split, idx) - 1 AS INT) AS fold FROM ratings)"""
 
 
 @query("kfold_assign", f"WITH {FOLDS_SQL} SELECT item, idx, fold FROM folds")

@@ -96,14 +96,29 @@ def select_layer(spark, sf):
     return exploded(out, "last", "second")
 
 
-def mix_sql(method):
-    plan = vc.layer_plan(4, 16, method)
-    picks = [f"h{layer + 1}[{d + 1}]" for layer, dims in enumerate(plan) for d in dims]
-    return f"""SELECT idx, {method} AS method, CAST(p - 1 AS INT) AS dim, round(([{", ".join(picks)}])[p], 6) + 0.0 AS x
-FROM layers, (SELECT unnest(range(1, {len(picks)} + 1)) AS p)"""
-
-
-@query("layer_mix", f"WITH {b.LAYERS} " + " UNION ALL ".join(mix_sql(m) for m in range(4)))
+LAYER_SQL = f"""dims AS (SELECT unnest(range(0, 16)) AS d),
+lays AS (SELECT unnest(range(0, 4)) AS layer),
+shares AS (
+  SELECT method, layer, sum(1 + rise * layer) OVER (PARTITION BY method ORDER BY layer) AS upto,
+         sum(1 + rise * layer) OVER (PARTITION BY method) AS total
+  FROM lays, (VALUES (0, 1.0::DOUBLE), (1, 0.0), (3, 0.0)) v(method, rise)),
+owned AS (
+  SELECT method, min(layer) AS layer, d FROM shares, dims
+  WHERE {b.u32("'1234|owner|' || d")} / 4294967296.0::DOUBLE * total < upto GROUP BY method, d),
+drawn AS (
+  SELECT method, layer, d FROM (
+    SELECT layer, d, row_number() OVER (PARTITION BY layer ORDER BY {b.u32("'1234|' || layer || '|' || d")}, d) AS r
+    FROM lays, dims), (VALUES (2, 6), (3, 4)) v(method, size)
+  WHERE r <= size),
+plan AS (
+  SELECT method, layer, d, row_number() OVER (PARTITION BY method ORDER BY layer, d) - 1 AS p
+  FROM (SELECT * FROM owned UNION SELECT * FROM drawn))"""
+
+
+@query("layer_mix", f"""WITH {b.LAYERS}, {LAYER_SQL}
+SELECT idx, CAST(method AS INT) AS method, CAST(p AS INT) AS dim,
+       round(CASE layer WHEN 0 THEN h1[d + 1] WHEN 1 THEN h2[d + 1] WHEN 2 THEN h3[d + 1] ELSE h4[d + 1] END, 6) + 0.0 AS x
+FROM layers, plan""")
 def layer_mix(spark, sf):
     df = b.layers(spark, sf)
     stack = [F.col(f"h{i}") for i in range(1, 5)]

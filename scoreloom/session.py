@@ -34,18 +34,27 @@ def local_session(cores: int | str = 8, name: str = "scoreloom") -> SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: the cluster's checkpoint folder, else a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("scoreloom.shared.dir", None)
+    """The folder that the driver and all executors see.
+
+    The context's checkpoint folder, else the one named in the configuration. Only a local master may do
+    without: a folder of this machine is of no use to the executors of a cluster.
+    """
+    context = spark.sparkContext
+    base = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not is_local(context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="scoreloom-")
-        spark.conf.set("scoreloom.shared.dir", base)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(base)
     return base
 
 
+def is_local(master: str) -> bool:
+    """Do driver and executors live in one process?"""
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -163,6 +163,9 @@ def test_layer_plan(method):
     assert plan == vc.layer_plan(3, 30, method) and len(plan) == 3
     if method in (0, 1):
         assert sorted(d for own in plan for d in own) == list(range(30))
+        if method == 0:
+            sizes = [len(own) for own in vc.layer_plan(4, 4000, 0)]
+            assert sizes == sorted(sizes) and sizes[3] > 3 * sizes[0]
     if method == 2:
         assert [len(set(own)) for own in plan] == [15] * 3
     if method == 3:

@@ -130,6 +130,25 @@ def test_cap_easy(spark):
     assert split.count() == hard + min(hard, pairs.count() - hard)
 
 
+@pytest.mark.parametrize("item_rows", [1000, 20])
+def test_records_without_prediction_are_not_minable(spark, item_rows):
+    df = records(spark, [60, 30])
+    gaps = df.withColumn("pred", F.when(F.col("idx") % 3 > 0, F.col("pred")))
+    p = PARAMS[0]
+    want = replay(gaps.where("pred IS NOT NULL"), p)
+    assert len(want) > 10
+    assert mined(gaps, p, item_rows=item_rows, group_rows=1000, tail_rows=9) == want
+    report = pm.pair_coverage_report(gaps, pm.greedy_pairs(gaps, p)).collect()
+    assert sum(r["records"] for r in report) == 90
+
+
+def test_hardest_first(spark):
+    pairs = pm.greedy_pairs(records(spark, [70, 33]), PARAMS[3])
+    rows = pm.rank_by_hardness(pairs, 5).collect()
+    assert [r["place"] for r in rows] == list(range(1, len(rows) + 1))
+    assert [r["h"] for r in rows] == sorted((r["h"] for r in rows), reverse=True)
+
+
 def test_no_pairs_gives_an_empty_table(spark):
     df = records(spark, [6], scores=1)
     p = pm.MineParams(blacklist=((0, 0),))

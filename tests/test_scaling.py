@@ -114,3 +114,37 @@ def test_fold_sizes(skewed, k):
         n = sum(folds.values())
         sizes = [folds.get(f, 0) for f in range(k)]
         assert sizes == [n // k + (f < n % k) for f in range(k)]
+
+
+class FakeContext:
+    def __init__(self, master, checkpoint=None):
+        self.master, self.folder = master, checkpoint
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+    def getConf(self):
+        return {}
+
+
+class FakeSession:
+    def __init__(self, *context):
+        self.sparkContext, self.conf = FakeContext(*context), self
+
+    def get(self, key, default):
+        return default
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from scoreloom.session import shared_dir
+
+    with pytest.raises(ValueError):
+        shared_dir(FakeSession("spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared_dir(FakeSession("local-cluster[2,1,1024]"))
+    assert shared_dir(FakeSession("yarn", "hdfs://x/y")) == "hdfs://x/y"
+    local = FakeSession("local[4]")
+    assert shared_dir(local) == local.sparkContext.folder == shared_dir(local)
