@@ -12,7 +12,7 @@ from scoreloom.sources import readers, schemas, writers
 
 
 def raw(spark, kind, **change):
-    base = {"index": 7, "grade": 11, "mode": "Tar 1a Elaboration", "item": "100728", "sqid": "s-1",
+    base = {"index": 7, "grade": 11, "mode": "Tar 1a Elaboration", "item": "4711", "sqid": "s-1",
             "sc": "0", "con": "0", "dev": "1", "org": "1", "text": "an answer"}
     row = {**base, **change}
     names = [f.split()[0] for f in schemas.RAW[kind].split(", ")]
@@ -21,7 +21,7 @@ def raw(spark, kind, **change):
 
 def test_clean_bw(spark):
     row = rc.clean_bw(raw(spark, "bw")).head()
-    assert (row["mode"], row["section"], row["item"], row["score"]) == ("narrative", "elaboration", 100728, 0)
+    assert (row["mode"], row["section"], row["item"], row["score"]) == ("narrative", "elaboration", 4711, 0)
     assert "sqid" not in row and "sc" not in row
 
 
@@ -47,8 +47,8 @@ def test_clean_items_training_range_wins(spark):
     valid = raw(spark, "bw", sc="3").unionByName(raw(spark, "bw", item="9", sc="1"))
     got = rc.clean_items("bw", train, valid).collect()
     by_key = {(r["item"], r["split"], r["score"]): r["score_norm"] for r in got}
-    assert by_key == {(100728, "train", 0): 0.0, (100728, "train", 2): 1.0,
-                      (100728, "valid", 3): 1.5, (9, "valid", 1): None}
+    assert by_key == {(4711, "train", 0): 0.0, (4711, "train", 2): 1.0,
+                      (4711, "valid", 3): 1.5, (9, "valid", 1): None}
     assert {r["item_type"] for r in got} == {"bw"}
 
 
