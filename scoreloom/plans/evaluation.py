@@ -9,42 +9,79 @@ from .agreement import QWK_SQL
 from .catalog import query
 
 
-@query("embed_table", f"""WITH {b.RESPONSES}, w AS (
+EMBEDDED = f"""{b.RESPONSES}, w AS (
   SELECT idx, h % 64 AS dim, CASE WHEN h // 64 % 2 = 0 THEN 1 ELSE -1 END AS s FROM (
     SELECT idx, {b.u32("w")} AS h FROM (
       SELECT idx, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS w FROM responses))),
 sums AS (SELECT idx, dim, sum(s)::DOUBLE AS v FROM w GROUP BY idx, dim),
 norms AS (SELECT idx, sqrt(sum(v * v)) AS len FROM sums GROUP BY idx),
-grid AS (SELECT item, idx, score, unnest(range(64)) AS dim FROM responses)
-SELECT item, g.idx, score, CAST(g.dim AS INT) AS dim,
-  round(CAST(CAST(coalesce(v, 0) / CASE WHEN coalesce(len, 0) = 0 THEN 1 ELSE len END AS FLOAT) AS DOUBLE), 5) + 0.0 AS x
-FROM grid g LEFT JOIN sums s ON s.idx = g.idx AND s.dim = g.dim LEFT JOIN norms n ON n.idx = g.idx""")
+grid AS (SELECT item, idx, score, unnest(range(64)) AS dim FROM responses),
+embedded AS (
+  SELECT item, g.idx, score, g.dim,
+    CAST(CAST(coalesce(v, 0) / CASE WHEN coalesce(len, 0) = 0 THEN 1 ELSE len END AS FLOAT) AS DOUBLE) AS x
+  FROM grid g LEFT JOIN sums s ON s.idx = g.idx AND s.dim = g.dim LEFT JOIN norms n ON n.idx = g.idx)"""
+
+
+@query("embed_table", f"""WITH {EMBEDDED}
+SELECT item, idx, score, CAST(dim AS INT) AS dim, round(x, 5) + 0.0 AS x FROM embedded""")
 def embed_table(spark, sf):
     out = en.embed_table(b.responses(spark, sf))
     rows = out.select("item", "idx", "score", F.posexplode("embedding").alias("dim", "x"))
     return rows.withColumn("x", F.round(F.col("x").cast("double"), 5) + 0.0)
 
 
-@query("oof_predict")
+def ridge_sql(folds: str, dim: int = 64, alpha: float = 0.1) -> str:
+    """Predictions ``p(item, fold, idx, score, pred)`` by solving the normal equations of each fold.
+
+    ``folds`` is a table of item, fold, idx, score and embedding. The sums of products of the other
+    folds are the item's minus the fold's; Gauss-Jordan elimination runs over them as nested lists.
+    """
+    n = dim + 1
+    return f"""z AS (
+  SELECT item, fold, idx, score, list_concat(embedding::DOUBLE[], [1.0::DOUBLE, score::DOUBLE]) AS z FROM {folds}),
+axes AS (SELECT unnest(range(1, {n + 2})) AS i),
+grams AS (
+  SELECT item, fold, x.i, y.i AS j, sum(z[x.i] * z[y.i]) AS g
+  FROM z, axes x, axes y WHERE x.i <= {n} GROUP BY ALL),
+others AS (
+  SELECT item, fold, i, j, sum(g) OVER (PARTITION BY item, i, j) - g
+    + CASE WHEN i = j AND i <= {dim} THEN {alpha} ELSE 0 END AS g FROM grams),
+lines AS (SELECT item, fold, i, list(g ORDER BY j) AS r FROM others GROUP BY item, fold, i),
+mats AS (SELECT item, fold, list(r ORDER BY i) AS m FROM lines GROUP BY item, fold),
+solved AS (
+  SELECT item, fold, list_reduce(list_transform(range(1, {n + 1}), lambda k: {{'k': k, 'm': []::DOUBLE[][]}}),
+    lambda s, x: {{'k': x.k, 'm': list_transform(s.m, lambda r, i: CASE WHEN i = x.k THEN r ELSE
+      list_transform(r, lambda v, j: v - r[x.k] / s.m[x.k][x.k] * s.m[x.k][j]) END)}},
+    {{'k': 0::BIGINT, 'm': m}}).m AS m
+  FROM mats),
+weights AS (SELECT item, fold, list_transform(m, lambda r, i: r[{n + 1}] / r[i]) AS w FROM solved),
+p AS (
+  SELECT item, fold, idx, score, list_dot_product(z[1:{n}], w) AS pred FROM z JOIN weights USING (item, fold))"""
+
+
+VECTOR_FOLDS = f"""{b.VECTORS}, folds AS (
+  SELECT *, CAST(ntile(5) OVER (PARTITION BY item ORDER BY {b.u32("'42|' || item || '|train|' || idx")}, idx) - 1 AS INT) AS fold
+  FROM vectors)"""
+
+
+@query("oof_predict", f"""WITH {VECTOR_FOLDS}, {ridge_sql("folds")}
+SELECT item, idx, fold, score, round(pred, 4) + 0.0 AS pred FROM p""")
 def oof_predict(spark, sf):
     out = ev.oof_predict(b.vectors(spark, sf))
-    return out.select("item", "idx", "fold", "score", F.round("pred", 4).alias("pred"))
+    return out.select("item", "idx", "fold", "score", (F.round("pred", 4) + 0.0).alias("pred"))
 
 
-@query("holdout_predict")
+@query("holdout_predict", f"""WITH {b.VECTORS}, folds AS (
+  SELECT *, CASE WHEN idx % 4 = 0 THEN 1 ELSE 0 END AS fold FROM vectors), {ridge_sql("folds")}
+SELECT item, idx, 'valid' AS split, score, round(pred, 4) + 0.0 AS pred FROM p WHERE fold = 1""")
 def holdout_predict(spark, sf):
     part = F.when(F.col("idx") % 4 == 0, "valid").otherwise("train")
     out = ev.holdout_predict(b.vectors(spark, sf).withColumn("split", part))
-    return out.select("item", "idx", "split", "score", F.round("pred", 4).alias("pred"))
+    return out.select("item", "idx", "split", "score", (F.round("pred", 4) + 0.0).alias("pred"))
 
 
 # What can be checked in SQL about the learned predictions: every record is predicted once, in
 # the right fold, and the in-task and the summed fit agree.
-VECTOR_FOLDS = f"""{b.VECTORS}, folds AS (
-  SELECT *, CAST(ntile(5) OVER (PARTITION BY item ORDER BY {b.u32("'42|' || item || '|train|' || idx")}, idx) - 1 AS INT) AS fold
-  FROM vectors)"""
-
-
 @query("oof_fold_summary", f"""WITH {VECTOR_FOLDS}
 SELECT item, fold, count(*) AS records, count(*) AS predicted, sum(score)::BIGINT AS scores, true AS both_fits_agree
 FROM folds GROUP BY item, fold""")
@@ -87,7 +124,15 @@ def generated(spark, sf):
     return ev.generate_predictions(labelled, done=done)
 
 
-@query("generate_predictions")
+@query("generate_predictions", f"""WITH {EMBEDDED}, done AS (
+  SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY source HAVING count(*) > 4),
+todo AS (
+  SELECT item, idx, score, list(x ORDER BY dim) AS embedding FROM embedded
+  WHERE score IS NOT NULL AND item NOT IN (SELECT source FROM done) GROUP BY item, idx, score),
+folds AS (
+  SELECT *, CAST(ntile(5) OVER (PARTITION BY item ORDER BY {b.u32("'42|' || item || '|train|' || idx")}, idx) - 1 AS INT)
+    AS fold FROM todo), {ridge_sql("folds")}
+SELECT item, idx, score, CAST(round_even(pred, 0) AS INT) AS pred FROM p""")
 def generate_predictions(spark, sf):
     return generated(spark, sf)
 
