@@ -2,57 +2,32 @@
 
 from __future__ import annotations
 
+import json
+import pickle
 from collections.abc import Iterator
-from typing import Protocol
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import hash32
 from ..functions.vectors import dot
 from ..session import shared_dir
+from ..sources.readers import scan_predictions
+from ..sources.writers import exists, sink_predictions
 from .agreement import qwk_weighted_scale
 from .encode import Encoder, embed_table
 from .items import skip_existing
+from .learners import BoostedTrees, Learner, Ridge, products  # noqa: F401
 from .sampling import kfold_assign
-from .scaling import dim_join
+from .scaling import dim_join, rank_within
 
 TASK_VALUES = 8_000_000   # embedding values of an item that is fitted inside one task
 SUM_VALUES = 16_000_000   # partial sums a task keeps before passing them on
-
-
-class Learner(Protocol):
-    """Fits one fold and predicts its held-out rows; must be picklable."""
-
-    def fit_predict(self, x: np.ndarray, y: np.ndarray, x_new: np.ndarray) -> np.ndarray: ...
-
-
-class Ridge:
-    """Linear least squares with a penalty on everything but the intercept.
-
-    It needs only sums over rows, so it also fits items of any size.
-    """
-
-    def __init__(self, alpha: float = 0.1):
-        self.alpha = alpha
-
-    def weights(self, gram: np.ndarray) -> np.ndarray:
-        """Coefficients from the sums of products of (x, 1, y)."""
-        d = len(gram) - 2
-        lhs = gram[: d + 1, : d + 1] + np.diag([self.alpha] * d + [0.0])
-        if lhs[d, d] == 0:
-            return np.full(d + 1, np.nan)
-        return np.linalg.lstsq(lhs, gram[: d + 1, d + 1], rcond=None)[0]
-
-    def fit_predict(self, x, y, x_new):
-        w = self.weights(_products(x, y))
-        return x_new @ w[:-1] + w[-1]
-
-
-def _products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    z = np.column_stack([x, np.ones(len(x)), y])
-    return z.T @ z
+FIT_ROWS = 20_000         # rows of an item above that size on which a learner without sums is fitted
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -68,7 +43,7 @@ def _fit_in_task(df: DataFrame, learner: Learner) -> DataFrame:
         for f in np.unique(fold):
             held = fold == f
             if not held.all():
-                pred[held] = learner.fit_predict(x[~held], y[~held], x[held])
+                pred[held] = learner.predict(learner.fit(x[~held], y[~held]), x[held])
         return pdf[["item", "idx", "split", "fold", "score"]].assign(pred=pred)
 
     return df.groupBy("item").applyInPandas(run, _schema(df))
@@ -99,7 +74,7 @@ def _fit_by_sums(df: DataFrame, ridge: Ridge) -> DataFrame:
 
         for pdf in batches:
             for key, g in pdf.groupby(["item", "fold"]):
-                gram = _products(_matrix(g["embedding"]), g["score"].to_numpy(np.float64))
+                gram = products(_matrix(g["embedding"]), g["score"].to_numpy(np.float64))
                 sums[key] = sums[key] + gram if key in sums else gram
             if sum(gram.size for gram in sums.values()) > SUM_VALUES:
                 yield from flush()
@@ -130,27 +105,63 @@ def _fit_by_sums(df: DataFrame, ridge: Ridge) -> DataFrame:
     return joined.select("item", "idx", "split", "fold", "score", pred.alias("pred"))
 
 
+def _fit_bounded(df: DataFrame, learner: Learner, limit: int, fit_rows: int) -> DataFrame:
+    """Any learner for items of any size: one task fits the models of an item on a bounded draw of its
+    rows, and the rows are predicted in parts of about ``limit`` rows."""
+    types = dict(df.dtypes)
+    key = ["item", "fold"]
+    drawn = rank_within(
+        df, ["item"], hash32("fit", "item", "split", "idx"), ["split", "idx"], "_rank", "_size"
+    ).where(F.col("_rank") <= fit_rows)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, fold = _matrix(pdf["embedding"]), pdf["score"].to_numpy(np.float64), pdf["fold"].to_numpy()
+        rows = []
+        for f in json.loads(pdf["folds"].iat[0]):
+            other = fold != f
+            if other.any():
+                rows.append((pdf["item"].iat[0], f, cloudpickle.dumps(learner.fit(x[other], y[other]))))
+        return pd.DataFrame(rows, columns=["item", "fold", "model"])
+
+    folds = df.groupBy("item").agg(F.to_json(F.sort_array(F.collect_set("fold"))).alias("folds"))
+    models = dim_join(drawn, folds, ["item"]).groupBy("item").applyInPandas(
+        fit, f"item {types['item']}, fold {types['fold']}, model binary")
+    parts = F.ceil(F.col("_n") / F.lit(float(limit))).cast("int")
+    rows = df.withColumn("_part", F.pmod(F.xxhash64("split", "idx"), parts).cast("int"))
+    sizes = df.groupBy(*key).agg(F.max(parts).alias("_parts"))
+    copies = models.join(sizes, key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+
+    def predict(pdf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        out = pdf[["item", "idx", "split", "fold", "score"]]
+        if pdf.empty or model.empty:
+            return out.assign(pred=np.nan)
+        return out.assign(pred=learner.predict(pickle.loads(model["model"].iat[0]), _matrix(pdf["embedding"])))
+
+    return rows.groupBy(*key, "_part").cogroup(copies.groupBy(*key, "_part")).applyInPandas(predict, _schema(df))
+
+
 def predict_folds(
     df: DataFrame, learner: Learner | None = None, item_rows: int | None = None,
-    sizes: tuple[int, int] | None = None,
+    sizes: tuple[int, int] | None = None, fit_rows: int = FIT_ROWS,
 ) -> DataFrame:
     """Predict every fold of every item from the item's other folds.
 
     Items above ``item_rows`` (by default, above 8 million embedding values) are fitted from
-    sums. A learner that cannot do that is refused for them, rather than given a part of the
-    rows.
+    sums where the learner is a Ridge. Other learners fit such an item on ``fit_rows`` of its rows, drawn
+    by key hash, less the fold in question; every row of every item is predicted.
     """
     learner = learner or Ridge()
     largest, width = sizes or _sizes(df)
     limit = item_rows if item_rows is not None else TASK_VALUES // max(1, width)
     if largest <= limit:
         return _fit_in_task(df, learner)
-    if not isinstance(learner, Ridge):
-        raise ValueError(f"an item has {largest} rows; only Ridge fits items above {limit}")
     counts = df.groupBy("item").agg(F.count(F.lit(1)).alias("_n"))
     sized = dim_join(df, counts, ["item"])
     small = _fit_in_task(sized.where(F.col("_n") <= limit).drop("_n"), learner)
-    return small.unionByName(_fit_by_sums(sized.where(F.col("_n") > limit).drop("_n"), learner))
+    large = sized.where(F.col("_n") > limit)
+    if isinstance(learner, Ridge):
+        return small.unionByName(_fit_by_sums(large.drop("_n"), learner))
+    return small.unionByName(_fit_bounded(large, learner, limit, fit_rows))
 
 
 def _sizes(df: DataFrame) -> tuple[int, int]:
@@ -168,45 +179,27 @@ def _with_split(df: DataFrame) -> DataFrame:
 
 def oof_predict(
     df: DataFrame, k: int = 5, learner: Learner | None = None, seed=42,
-    item_rows: int | None = None,
+    item_rows: int | None = None, fit_rows: int = FIT_ROWS,
 ) -> DataFrame:
     """K-fold out-of-fold predictions per item; every item has folds of its own."""
     df = _with_split(df)
     sizes = _sizes(df)
     folds = kfold_assign(df, k, seed, largest=sizes[0])
-    return predict_folds(folds, learner, item_rows, sizes)
+    return predict_folds(folds, learner, item_rows, sizes, fit_rows)
 
 
 def holdout_predict(
-    df: DataFrame, learner: Learner | None = None, item_rows: int | None = None
+    df: DataFrame, learner: Learner | None = None, item_rows: int | None = None,
+    fit_rows: int = FIT_ROWS,
 ) -> DataFrame:
     """Fit on the training rows of an item, predict its validation rows."""
     known = df.where(F.col("split").startswith("train") | F.col("split").startswith("valid"))
     folds = known.withColumn("fold", F.col("split").startswith("valid").cast("int"))
-    return predict_folds(folds, learner, item_rows).where(
+    return predict_folds(folds, learner, item_rows, fit_rows=fit_rows).where(
         (F.col("fold") == 1) & F.col("pred").isNotNull() & ~F.isnan("pred")
     )
 
 
-def gbt_predict(train: DataFrame, test: DataFrame, seed: int = 42) -> DataFrame:
-    """Boosted trees with the evaluator's settings, trained over the cluster: for one very
-    large item at a time. Adds ``pred`` to the test rows."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import GBTRegressor
-
-    # Settings of the evaluator.
-    model = GBTRegressor(
-        featuresCol="features", labelCol="score", predictionCol="pred", maxIter=200, maxDepth=3,
-        stepSize=0.05, subsamplingRate=0.3, featureSubsetStrategy="0.9", minInstancesPerNode=1,
-        seed=seed, cacheNodeIds=False,
-    )
-    train, test = (
-        t.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
-        for t in (train, test)
-    )
-    return model.fit(train).transform(test).drop("features")
-
-
 def item_qwk(preds: DataFrame, keys: list[str] = ("item",)) -> DataFrame:
     """Agreement of predictions with scores per item, to 4 places."""
     known = preds.where(~F.isnan(F.col("pred").cast("double")))
@@ -217,21 +210,47 @@ def item_qwk(preds: DataFrame, keys: list[str] = ("item",)) -> DataFrame:
 def generate_predictions(
     df: DataFrame, encoder: Encoder | None = None, k: int = 5, learner: Learner | None = None,
     seed=42, done: DataFrame | None = None, overwrite: bool = False,
+    root: str | None = None, model: str = "default", trait: str | None = None,
 ) -> DataFrame:
     """Embed, predict out of fold and round, for items without results so far.
 
-    The embeddings are stored once: encoding is the costly part and must survive lost executors.
+    With a ``root`` the predictions are saved there by model, trait and item, and items that it already holds
+    count as done; a second call does nothing new. The embeddings are stored once: encoding is the costly
+    part and must survive lost executors.
     """
-    shared_dir(df.sparkSession)
+    spark = df.sparkSession
+    shared_dir(spark)
+    if root is not None and exists(spark, root):
+        saved = scan_predictions(spark, root, model, trait).select("item")
+        done = saved if done is None else done.select("item").unionByName(saved)
     todo = df if done is None else skip_existing(df, done, overwrite)
     preds = oof_predict(embed_table(todo, encoder).checkpoint(), k, learner, seed)
-    return preds.select("item", "idx", "score", F.rint("pred").cast("int").alias("pred"))
+    out = preds.select("item", "idx", "score", F.rint("pred").cast("int").alias("pred"))
+    if root is None:
+        return out
+    out = out.checkpoint()
+    sink_predictions(out, root, model, trait)
+    return out
 
 
 # --- checkpoints -------------------------------------------------------------------------------
 
-def scan_checkpoints(preds: DataFrame) -> DataFrame:
-    """Agreement per checkpoint and item; all checkpoints in one job."""
+def scan_checkpoints(
+    df: DataFrame, encoders: dict[int, Encoder], k: int = 5, learner: Learner | None = None, seed=42
+) -> DataFrame:
+    """Embed, predict out of fold and measure agreement, for every checkpoint and item.
+
+    ``encoders`` holds one encoder per checkpoint number; each adds one pass over the texts.
+    """
+    parts = [
+        generate_predictions(df, encoder, k, learner, seed).withColumn("checkpoint", F.lit(number))
+        for number, encoder in sorted(encoders.items())
+    ]
+    return score_checkpoints(reduce(DataFrame.unionByName, parts))
+
+
+def score_checkpoints(preds: DataFrame) -> DataFrame:
+    """Agreement per checkpoint and item of ready predictions; all checkpoints in one job."""
     return item_qwk(preds, ["checkpoint", "item"])
 
 

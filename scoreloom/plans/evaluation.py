@@ -9,19 +9,24 @@ from .agreement import QWK_SQL
 from .catalog import query
 
 
-EMBEDDED = f"""{b.RESPONSES}, w AS (
-  SELECT idx, h % 64 AS dim, CASE WHEN h // 64 % 2 = 0 THEN 1 ELSE -1 END AS s FROM (
+def embedded_sql(dim: int = 64) -> str:
+    """``embedded(item, idx, score, dim, x)``: the signed word hashing of the default encoder."""
+    return f"""{b.RESPONSES}, w AS (
+  SELECT idx, h % {dim} AS dim, CASE WHEN h // {dim} % 2 = 0 THEN 1 ELSE -1 END AS s FROM (
     SELECT idx, {b.u32("w")} AS h FROM (
       SELECT idx, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS w FROM responses))),
 sums AS (SELECT idx, dim, sum(s)::DOUBLE AS v FROM w GROUP BY idx, dim),
 norms AS (SELECT idx, sqrt(sum(v * v)) AS len FROM sums GROUP BY idx),
-grid AS (SELECT item, idx, score, unnest(range(64)) AS dim FROM responses),
+grid AS (SELECT item, idx, score, unnest(range({dim})) AS dim FROM responses),
 embedded AS (
   SELECT item, g.idx, score, g.dim,
     CAST(CAST(coalesce(v, 0) / CASE WHEN coalesce(len, 0) = 0 THEN 1 ELSE len END AS FLOAT) AS DOUBLE) AS x
   FROM grid g LEFT JOIN sums s ON s.idx = g.idx AND s.dim = g.dim LEFT JOIN norms n ON n.idx = g.idx)"""
 
 
+EMBEDDED = embedded_sql()
+
+
 @query("embed_table", f"""WITH {EMBEDDED}
 SELECT item, idx, score, CAST(dim AS INT) AS dim, round(x, 5) + 0.0 AS x FROM embedded""")
 def embed_table(spark, sf):
@@ -158,15 +163,34 @@ board AS (
   SELECT checkpoint, round(avg(qwk), 4) AS mean_qwk, count(qwk) AS items FROM scores GROUP BY checkpoint)"""
 
 
-@query("scan_checkpoints", f"WITH {CHECKPOINTS} SELECT checkpoint, item, n, qwk FROM scores")
+@query("score_checkpoints", f"WITH {CHECKPOINTS} SELECT checkpoint, item, n, qwk FROM scores")
+def score_checkpoints(spark, sf):
+    return ev.score_checkpoints(b.checkpoint_preds(spark, sf))
+
+
+def scan_sql(checkpoint: int, dim: int) -> str:
+    """One checkpoint from texts to agreement: embed, fit every fold, round, compare."""
+    return f"""SELECT {checkpoint} AS checkpoint, * FROM (WITH {embedded_sql(dim)}, folds AS (
+  SELECT *, CAST(ntile(5) OVER (PARTITION BY item ORDER BY {b.u32("'42|' || item || '|train|' || idx")}, idx) - 1 AS INT) AS fold
+  FROM (SELECT item, idx, score, list(x ORDER BY dim) AS embedding FROM embedded WHERE score IS NOT NULL GROUP BY ALL)),
+{ridge_sql("folds", dim)},
+q AS (SELECT item, score AS a, greatest(min(score) OVER w, least(max(score) OVER w, CAST(round_even(pred, 0) AS INT))) AS b
+  FROM p WINDOW w AS (PARTITION BY item))
+SELECT item, count(*) AS n,
+  round(1 - avg((a - b) * (a - b)) / nullif(var_pop(a) + var_pop(b) + pow(avg(a) - avg(b), 2), 0), 4) AS qwk
+FROM q GROUP BY item)"""
+
+
+@query("scan_checkpoints", scan_sql(50, 8) + " UNION ALL " + scan_sql(100, 16))
 def scan_checkpoints(spark, sf):
-    return ev.scan_checkpoints(b.checkpoint_preds(spark, sf))
+    labelled = b.responses(spark, sf).where("score IS NOT NULL")
+    return ev.scan_checkpoints(labelled, {50: en.HashEncoder(8), 100: en.HashEncoder(16)})
 
 
 @query("checkpoint_leaderboard", f"""WITH {CHECKPOINTS}
 SELECT *, CAST(rank() OVER (ORDER BY mean_qwk DESC) AS INT) AS place FROM board""")
 def checkpoint_leaderboard(spark, sf):
-    return ev.checkpoint_leaderboard(ev.scan_checkpoints(b.checkpoint_preds(spark, sf)))
+    return ev.checkpoint_leaderboard(ev.score_checkpoints(b.checkpoint_preds(spark, sf)))
 
 
 @query("leaderboard_lines", f"""WITH {CHECKPOINTS}, filled AS (
@@ -176,7 +200,7 @@ SELECT checkpoint, 'checkpoint-' || checkpoint || chr(9) || printf('%.4f', avg(q
   || string_agg(coalesce(printf('%.4f', qwk), 'nan'), chr(9) ORDER BY item) AS line
 FROM grid LEFT JOIN filled USING (checkpoint, item) GROUP BY checkpoint""")
 def leaderboard_lines(spark, sf):
-    scores = ev.scan_checkpoints(b.checkpoint_preds(spark, sf)).na.fill(0.0, ["qwk"])
+    scores = ev.score_checkpoints(b.checkpoint_preds(spark, sf)).na.fill(0.0, ["qwk"])
     return ev.leaderboard_lines(scores)
 
 
@@ -186,6 +210,6 @@ n AS (SELECT *, greatest(lag(qwk) OVER (ORDER BY checkpoint), lead(qwk) OVER (OR
 SELECT checkpoint, beside FROM n WHERE qwk IS NULL AND beside IS NOT NULL
 ORDER BY beside DESC, checkpoint LIMIT 1""")
 def next_checkpoint(spark, sf):
-    board = ev.checkpoint_leaderboard(ev.scan_checkpoints(b.checkpoint_preds(spark, sf)))
+    board = ev.checkpoint_leaderboard(ev.score_checkpoints(b.checkpoint_preds(spark, sf)))
     visited = F.when(F.col("checkpoint") % 150 == 0, F.col("mean_qwk"))
     return ev.next_checkpoint(board.select("checkpoint", visited.alias("qwk")))

@@ -58,20 +58,52 @@ def test_holdout(embedded):
     assert quality[1] > 0.7
 
 
-def test_other_learners(embedded):
+def mean_learner():
     class Mean:
-        def fit_predict(self, x, y, x_new):
-            return np.full(len(x_new), y.mean())
+        def fit(self, x, y):
+            return y.mean(), len(y)
 
-    assert ev.oof_predict(embedded, learner=Mean()).count() == 133
-    with pytest.raises(ValueError):
-        ev.oof_predict(embedded, learner=Mean(), item_rows=10)
+        def predict(self, model, x):
+            return np.full(len(x), model[0])
+
+    return Mean()
+
+
+def test_other_learners_at_any_size(embedded):
+    want = {(r["item"], r["idx"]): r["pred"] for r in ev.oof_predict(embedded, learner=mean_learner()).collect()}
+    assert len(want) == 133
+    got = {(r["item"], r["idx"]): r["pred"] for r in ev.oof_predict(embedded, learner=mean_learner(), item_rows=10).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], nan_ok=True) for k in want)
+    some = ev.oof_predict(embedded, learner=mean_learner(), item_rows=10, fit_rows=7).where("pred IS NOT NULL AND NOT isnan(pred)")
+    assert some.count() >= 130
 
 
-def test_boosted_trees_for_one_large_item(embedded):
-    one = embedded.where("item = 1")
-    out = ev.gbt_predict(one.where("split = 'train'"), one.where("split = 'valid'"))
+def test_boosted_trees(embedded):
+    trees = ev.BoostedTrees(trees=60)
+    out = ev.holdout_predict(embedded.where("item = 1"), trees)
     assert ev.item_qwk(out).head()["qwk"] > 0.5
+    large = ev.oof_predict(embedded.where("item = 1"), learner=trees, item_rows=20).collect()
+    small = {r["idx"]: r["pred"] for r in ev.oof_predict(embedded.where("item = 1"), learner=trees).collect()}
+    assert len(large) == len(small)
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 5))
+    y = np.where(x[:, 1] > 0, 3.0, 1.0) + np.where(x[:, 3] > 1, 2.0, 0.0)
+    full = ev.BoostedTrees()
+    assert np.abs(full.predict(full.fit(x, y), x) - y).mean() < 0.1
+
+
+def test_saved_predictions_are_not_made_again(spark, embedded):
+    from scoreloom.session import scratch_path
+    from scoreloom.sources.readers import scan_predictions
+
+    df = spark.createDataFrame([(i % 3, i, i % 4, f"word{i % 4} text {i}") for i in range(60)], "item int, idx long, score int, text string")
+    root = scratch_path(spark, "saved")
+    first = ev.generate_predictions(df.where("item < 2"), root=root, model="m")
+    assert first.count() == 40
+    assert {r["item"] for r in ev.generate_predictions(df, root=root, model="m").select("item").distinct().collect()} == {2}
+    assert ev.generate_predictions(df, root=root, model="m").count() == 0
+    assert scan_predictions(spark, root, "m").count() == 60
+    assert ev.generate_predictions(df, root=root, model="other").count() == 60
 
 
 def test_hash_encoder_and_registry(spark):
