@@ -41,7 +41,7 @@ THRESHOLD = 0.8
 TOLERANCE = 1e-6
 BANDS, BAND = 24, 4      # 96 MinHash values
 STEP = 16
-CHUNK = 128
+CHUNK = 512              # classes of a component that are compared in one task with those of another chunk
 MASK = np.uint64(0xFFFFFFFF)
 
 
@@ -267,9 +267,8 @@ def near_duplicates(
         "key", "comp", "chunk", "chunks", "sig", "text")
     sets = texts.mapInArrow(_with_sets, "key binary, comp binary, chunk int, chunks int, sig binary, items binary")
     # A repeated row brings its class twice; one is enough.
-    met = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+    met = sets.dropDuplicates(["key"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "comp", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "chunk", "key", "sig", "items")
-    met = met.dropDuplicates(["comp", "c1", "c2", "key"])
     found = settle(met.groupBy("comp", "c1", "c2").applyInArrow(
         _compare(threshold, tolerance), "a binary, b binary, links long"))
     links = found.where("links > 0").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("n_links"))

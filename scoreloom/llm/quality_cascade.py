@@ -168,13 +168,14 @@ def quality_cascade(
 ) -> DataFrame:
     """Add the base measures, ``base_failed``, ``failed_rule`` and ``kept``.
 
-    ``sample_rows`` bounds the rows on which the rules are timed: every tenth of the first ten
-    times as many, read from as few files as hold them. The sample only sets the order.
+    The rules are timed on a random sample of about ``sample_rows`` rows, which are drawn where they
+    are read, without a shuffle. The sample only sets the order.
     ``failed_rule`` is the first rule of the order that rejects a text.
     """
     checks = rules(limits, text)
     if order is None:
-        part = docs.limit(10 * sample_rows).sample(0.1, seed=7).limit(sample_rows)
+        share = min(1.0, sample_rows / max(docs.count(), 1))
+        part = docs.select(text).sample(share, seed=7)
         order = order_rules(measure_rules(base_measures(part, text).persist(), checks, limits))
     df = base_measures(docs, text).withColumn("base_failed", base_failed(limits))
     cascade = F.when(F.col("base_failed"), F.lit("base"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from .agreement import qwk
 from .scaling import running_totals
 
@@ -16,9 +17,11 @@ def precision_recall_curve(
 ) -> DataFrame:
     """Precision and recall at every distinct score taken as threshold, plus the end (1, 0).
 
+    Pairs without a score or a difference are left out.
     Scores are counted first; the running counts then go over distinct scores, cut into
     ranges, so no task sorts the whole table.
     """
+    df = df.where(F.col(score).isNotNull() & F.col(diff).isNotNull())
     cells = df.groupBy(F.col(score).alias("threshold")).agg(
         F.count_if(F.col(diff) == 0).alias("pos"), F.count_if(F.col(diff) != 0).alias("neg")
     )
@@ -73,8 +76,13 @@ def distance_correlation(df: DataFrame, dist: str = "dist", diff: str = "diff")
 def pair_eval_report(
     df: DataFrame, score: str = "logit", dist: str = "dist", diff: str = "diff"
 ) -> DataFrame:
-    """AP, QWK, F1, precision, recall and correlation in one row, to 4 places."""
-    curve = precision_recall_curve(df, score, diff, end_point=False).persist()
+    """AP, QWK, F1, precision, recall and correlation in one row, to 4 places.
+
+    The pairs are computed once, as three slim columns in the shared folder.
+    """
+    shared_dir(df.sparkSession)
+    df = df.select(score, dist, diff).checkpoint()
+    curve = precision_recall_curve(df, score, diff, end_point=False).checkpoint()
     best = best_f1(curve)
     threshold = best.head()["threshold"]
     one_row = [

@@ -6,7 +6,7 @@ import math
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
@@ -79,16 +79,13 @@ def pad_batch(
 ) -> DataFrame:
     """Pad to the longest sequence of the batch, rounded up; each side of the pair for itself.
 
-    Batches hold a fixed small number of rows.
+    The sizes are reduced per batch before they meet the rows, so no task sorts sequences.
     """
     if side not in ("left", "right"):
         raise ValueError(f"padding side {side!r} not recognised")
-    rows = Window.partitionBy(batch)
-    goals = {
-        f"_goal{s}": F.ceil(F.max(F.size(f"input_ids{s}")).over(rows) / multiple_of) * multiple_of
-        for s in suffixes
-    }
-    df = df.select("*", *[goal.cast("int").alias(name) for name, goal in goals.items()])
+    goals = {f"_goal{s}": F.ceil(F.max(F.size(f"input_ids{s}")) / multiple_of) * multiple_of for s in suffixes}
+    most = df.groupBy(batch).agg(*[goal.cast("int").alias(name) for name, goal in goals.items()])
+    df = df.join(most, batch)
     padded = {}
     for s in suffixes:
         missing = F.col(f"_goal{s}") - F.size(f"input_ids{s}")
@@ -109,11 +106,15 @@ def length_histogram(
 ) -> DataFrame:
     """Rows (bin, low, high, n) of the pooled sequence lengths up to the last visible bin.
 
+    ``columns`` are sequences or their lengths.
+
     A bin is visible from 1/tallest of the highest on. If fewer than 80 % of the bins are, the
     lengths are binned once more, finer. Only the extremes and the few bin counts reach the
     driver.
     """
-    lengths = df.select(F.explode(F.array(*[F.size(c) for c in columns])).alias("len"))
+    types = dict(df.dtypes)
+    sizes = [F.size(c) if types[c].startswith("array") else F.col(c).cast("int") for c in columns]
+    lengths = df.select(F.explode(F.array(*sizes)).alias("len"))
     lengths = lengths.groupBy("len").agg(F.count(F.lit(1)).alias("n")).persist()
     ends = lengths.agg(F.min("len").alias("lo"), F.max("len").alias("hi")).head()
     spark = df.sparkSession

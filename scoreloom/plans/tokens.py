@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.text import words
 from ..operators import tokens as tk
+from ..session import shared_dir
 from . import bindings as b
 from .catalog import query
 
@@ -44,9 +46,17 @@ PAIR_TOKENS = TOKENS + """, pair_tokens AS (
 
 
 def pair_tokens(spark, sf):
-    """Tokenized pairs that keep their document id, in batches of 8."""
-    df = tk.tokenize_text(tk.tokenize_text(text_pairs(spark, sf), "txt1", suffix="_1"), "txt2", suffix="_2")
-    return df.withColumn("batch", F.floor(F.col("doc_id") / 8))
+    """Tokenized pairs that keep their document id, in batches of 8.
+
+    Every text is tokenized once and kept; only ids move in the join.
+    """
+    shared_dir(spark)
+    coded = tk.tokenize_text(b.documents(spark, sf).select("doc_id", "text")).drop("text").checkpoint()
+    first = coded.toDF("doc_id", "input_ids_1", "attention_mask_1")
+    after = coded.select(F.col("doc_id") - 1, "input_ids", "attention_mask").toDF(
+        "doc_id", "input_ids_2", "attention_mask_2")
+    return first.join(after, "doc_id").withColumns({
+        "diff": (F.col("doc_id") % 4).cast("int"), "batch": F.floor(F.col("doc_id") / 8)})
 
 
 @query("tokenize_pairs", f"""WITH {PAIR_TOKENS}
@@ -105,7 +115,9 @@ SELECT CAST(grid.bin AS INT) AS bin, round(lo + grid.bin * (ptp / nb), 4) AS low
        round(lo + (grid.bin + 1) * (ptp / nb), 4) AS high, CAST(coalesce(n, 0) AS BIGINT) AS n
 FROM grid CROSS JOIN e CROSS JOIN nb LEFT JOIN final ON final.bin = grid.bin""")
 def length_histogram(spark, sf):
-    out = tk.length_histogram(tk.tokenize_pairs(text_pairs(spark, sf)))
+    size = b.documents(spark, sf).select("doc_id", F.size(words(F.col("text"))).alias("len1"))
+    after = size.select((F.col("doc_id") - 1).alias("doc_id"), F.col("len1").alias("len2"))
+    out = tk.length_histogram(size.join(after, "doc_id"), ("len1", "len2"))
     return out.select("bin", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), "n")
 
 
