@@ -48,7 +48,7 @@ def edited(rng, words, n):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("chunk", [128, 8])
+@pytest.mark.parametrize("chunk", [512, 8])
 def test_same_as_all_pairs(docs_of, monkeypatch, chunk):
     monkeypatch.setattr(ngram_join, "CHUNK", chunk)
     rng = random.Random(5)
