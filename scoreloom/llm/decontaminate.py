@@ -3,9 +3,10 @@
 Texts and items are sequences of words (lower case, cut at white space); an item of n words is found
 where some stretch of a text is within ``limit = floor(max_share * n)`` word edits of it.
 
-1. Windows. At every word of a text a window begins for every size class of items (sizes within a
-   factor ``CLASS``). A stretch within the limit holds at least n - limit of the item's words, so
-   windows with too few words of the benchmark's vocabulary are left out; this loses nothing.
+1. Windows. At every word of a text a window may begin for every size class of items (sizes within a
+   factor ``CLASS``). A stretch within the limit keeps all but limit of the item's words; so it holds at least
+   c - limit of any c of them, and of the c rarest in particular. Windows that cannot hold that many for any
+   item of their class are left out; this loses nothing, whatever the texts.
 2. CGK embedding. A window is walked with random bits that depend on step and word: each
    step emits the word at the pointer, then the pointer stays or moves on. The same bits are used for items, so
    a small edit distance becomes a small Hamming distance of the walks.
@@ -26,6 +27,7 @@ clash. An empty table, or an empty benchmark, gives an empty result.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,13 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, text_mark
-from .wordhash import Words, mix
+from .wordhash import Words, by_bytes, mix
 
 MAX_SHARE = 0.15
 CLASS = 1.25
 WALKS, TABLES, SAMPLED = 8, 6, 2
 PIECE = 1 << 17
 BLOCK_WORDS = 1 << 20
+EXTRA_SEEDS = 4      # rarest words of an item that are looked for, beyond twice its limit
 PAD = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -75,10 +78,8 @@ def walk(words: np.ndarray, begin: np.ndarray, stop: np.ndarray, steps: np.ndarr
 
 @dataclass(frozen=True)
 class Tables:
-    """One size class: its items' numbers, its tables, and what a window needs to be looked at."""
+    """The hash tables of one size class."""
     length: int                 # words of a window
-    least: int                  # of the window's first ``head`` words that the vocabulary must hold
-    head: int
     steps: tuple                # of each walk: (sorted steps, columns of each table)
     keys: tuple                 # of each table: sorted keys
     items: tuple                # of each table: item numbers in the order of the keys
@@ -89,7 +90,12 @@ class Index:
     words: tuple                # word hashes of each item
     ids: tuple
     limits: tuple
-    vocabulary: np.ndarray      # sorted word hashes
+    seeds: np.ndarray           # sorted hashes of the items' rarest words
+    seed_from: np.ndarray       # bounds of each seed's items in ``seed_items``
+    seed_items: np.ndarray
+    needed: np.ndarray          # of each item: how many of its seeds a stretch holds at least
+    span: np.ndarray            # of each item: the longest stretch within its limit
+    group: np.ndarray           # of each item: its size class
     tables: tuple
 
 
@@ -131,10 +137,23 @@ def build_index(ids: list, texts: list, max_share: float = MAX_SHARE) -> Index:
                 order = np.argsort(key, kind="stable")
                 keys.append(key[order])
                 items.append(np.array(members)[order])
-        most = max(limits[k] for k in members)
-        tables.append(Tables(high, max(0, low - 2 * most), low, tuple(steps), tuple(keys), tuple(items)))
-    vocabulary = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
-    return Index(tuple(words), tuple(ids), tuple(limits), vocabulary, tuple(tables))
+        tables.append(Tables(high, tuple(steps), tuple(keys), tuple(items)))
+    group = np.zeros(len(words), np.int64)
+    for number, members in enumerate(classes):
+        group[members] = number
+    holders = Counter(w for own in words for w in set(own.tolist()))
+    seeds: dict[int, list[int]] = {}
+    needed = np.zeros(len(words), np.int64)
+    for k, own in enumerate(words):
+        rarest = sorted(own.tolist(), key=holders.__getitem__)[: 2 * limits[k] + EXTRA_SEEDS]
+        needed[k] = len(rarest) - limits[k]
+        for w in set(rarest):
+            seeds.setdefault(w, []).append(k)
+    order = sorted(seeds)
+    return Index(
+        tuple(words), tuple(ids), tuple(limits), np.array(order, dtype=np.uint64),
+        np.cumsum([0, *[len(seeds[w]) for w in order]]), np.array([k for w in order for k in seeds[w]], dtype=np.int64),
+        needed, np.array([len(w) + n for w, n in zip(words, limits)], dtype=np.int64), group, tuple(tables))
 
 
 def edit_distance(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int]:
@@ -158,36 +177,49 @@ def edit_distance(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(begin[end]), end
 
 
-def _in_sorted(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(known, values)
-    return known[np.minimum(at, len(known) - 1)] == values
-
-
 class Finder:
     def __init__(self, index: Index):
         self.index = index
         # A bit table answers most lookups of words that no item has.
         self.bits = np.zeros(1 << 22, dtype=bool)
-        self.bits[(index.vocabulary >> np.uint64(42)).astype(np.int64)] = True
-
-    def known(self, words: np.ndarray) -> np.ndarray:
-        out = self.bits[(words >> np.uint64(42)).astype(np.int64)]
-        if out.any():
-            out[out] = _in_sorted(words[out], self.index.vocabulary)
+        self.bits[(index.seeds >> np.uint64(42)).astype(np.int64)] = True
+
+    def begins(self, words: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+        """For each size class, where windows begin that can hold enough of some item's seeds."""
+        ix = self.index
+        at = np.nonzero(self.bits[(words >> np.uint64(42)).astype(np.int64)])[0]
+        slot = np.minimum(np.searchsorted(ix.seeds, words[at]), len(ix.seeds) - 1)
+        real = ix.seeds[slot] == words[at]
+        at, slot = at[real], slot[real]
+        n = ix.seed_from[slot + 1] - ix.seed_from[slot]
+        item = ix.seed_items[np.repeat(ix.seed_from[slot] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if len(n) else n
+        at = np.repeat(at, n)
+        order = np.lexsort((at, item))
+        at, item = at[order], item[order]
+        # The hit that completes the needed number, if it is of the same item and text and near enough.
+        end = np.arange(len(at)) + ix.needed[item] - 1
+        ok = end < len(at)
+        end = np.minimum(end, max(len(at) - 1, 0))
+        text = np.searchsorted(first, at, side="right")
+        ok &= (item[end] == item) & (text[end] == text) & (at[end] - at < ix.span[item])
+        low = np.maximum(at[end] - ix.span[item] + 1, first[text - 1])[ok]
+        high, group = at[ok], ix.group[item[ok]]
+        out = []
+        for number in range(len(ix.tables)):
+            mine = group == number
+            marks = np.zeros(len(words) + 1, dtype=np.int64)
+            np.add.at(marks, low[mine], 1)
+            np.add.at(marks, high[mine] + 1, -1)
+            out.append(np.nonzero(np.cumsum(marks)[:-1])[0])
         return out
 
     def candidates(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Window starts and item numbers whose keys meet; ``first`` bounds the texts in ``words``."""
         starts, items = [], []
-        seen = np.concatenate([[0], np.cumsum(self.known(words))])
-        place = np.arange(len(words))
-        text_end = np.repeat(first[1:], np.diff(first))
-        for table in self.index.tables:
-            head = np.minimum(place + table.head, text_end)
-            at = np.nonzero(seen[head] - seen[place] >= max(table.least, 1))[0]
+        for table, at in zip(self.index.tables, self.begins(words, first)):
             for piece in range(0, len(at), PIECE):
                 begin = at[piece: piece + PIECE]
-                stop = np.minimum(begin + table.length, text_end[begin])
+                stop = np.minimum(begin + table.length, first[np.searchsorted(first, begin, side="right")])
                 for w, (steps, columns) in enumerate(table.steps):
                     emitted = walk(words, begin, stop, steps, w)
                     for t in range(TABLES):
@@ -231,8 +263,7 @@ def _matches(index: Index):
     def matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(index)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for batch in by_bytes(whole, "text"):
                 cut = Words(batch.column("text"))
                 rows = sorted(finder.find(cut.hash, cut.first)) if len(cut.hash) else []
                 if not rows:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -70,6 +72,17 @@ class Words:
             at = to
 
 
+def by_bytes(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``most`` bytes of text each; one row at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        base = sizes[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(sizes, base + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of windows of ``width`` words, and the row bounds in them.
 
