@@ -20,10 +20,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
     edges = settle(edges)
     for _ in range(rounds):
-        children = edges.select(F.col("a").alias("b")).distinct()
-        chained = edges.join(children, "b", "left_semi")
-        double = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
-        if chained.select("a").unionByName(double).isEmpty():
+        # Done when every node points at one other, and nothing points at a node that points on.
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+            edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        open_ = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 AND up > 0")
+        if open_.isEmpty():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         edges = settle(_small_star(_large_star(edges)))
@@ -35,7 +36,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
         edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return both.join(least, "u").where("v > u AND v != m").select(
-        F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        F.col("v").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

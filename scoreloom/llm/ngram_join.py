@@ -9,8 +9,8 @@
    the values that agree) is below ``tolerance`` are dropped. The rest is verified exactly on the
    shingle sets. Components of more than ``CHUNK`` classes are cut into chunks by hash, and every two
    chunks meet in a task of their own, so a hot group is spread over many tasks.
-4. Tasks return the number of links per class and a spanning forest of the links, never the pairs. The
-   components of the forests are the groups.
+4. Tasks return the number of links per class, and each class with the least one it is linked to over any
+   number of links, never the pairs. The components of these are the groups.
 
 Two texts that reach the threshold are missed only if no band agrees (probability (1 - t^4)^24, or
 3e-6, at t = 0.8) or by the tolerance.
@@ -171,8 +171,8 @@ def verified(sets_a: list, sets_b: list, i: np.ndarray, j: np.ndarray, threshold
     return common >= threshold * union - 1e-9
 
 
-def forest(links: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Links that join two trees, in order; the others close cycles."""
+def stars(links: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Each node of the links with the least node that they connect it to, but for that node itself."""
     root: dict[int, int] = {}
 
     def find(x):
@@ -181,19 +181,17 @@ def forest(links: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
             x = root[x]
         return x
 
-    out = []
     for a, b in links:
-        x, y = find(a), find(b)
-        if x != y:
-            root[x] = y
-            out.append((a, b))
-    return out
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return [(x, find(x)) for x in list(root) if find(x) != x]
 
 
 def _compare(threshold: float, tolerance: float):
     """A grouped function over the classes of one chunk, or of two chunks that meet."""
     def compare(table: pa.Table) -> pa.Table:
         least = least_matches(threshold, tolerance)
+        table = table.sort_by("key")      # so the least number is the least key
         keys, chunk = table["key"].to_pylist(), np.array(table["chunk"].to_pylist())
         sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), dtype=np.uint32).reshape(len(keys), -1)
         sets = [np.frombuffer(x, dtype=np.uint64) for x in table["items"].to_pylist()]
@@ -216,7 +214,7 @@ def _compare(threshold: float, tolerance: float):
                                 np.array([local[x] for x in i.tolist()]), np.array([local[x] for x in j.tolist()]), threshold)
                 i, j = i[near], j[near]
                 links += np.bincount(i, minlength=len(keys)) + np.bincount(j, minlength=len(keys))
-                found = forest([*found, *zip(i.tolist(), j.tolist())])
+                found = stars([*found, *zip(i.tolist(), j.tolist())])
         rows_a = [k for k in range(len(keys)) if links[k]]
         return pa.table({
             "a": pa.array([keys[k] for k in rows_a] + [keys[x] for x, _ in found], pa.binary()),
