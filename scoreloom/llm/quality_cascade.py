@@ -44,7 +44,8 @@ class Limits:
     max_symbol_percent: int = 10       # symbols per word
     min_mean_word: float = 2.0
     max_mean_word: float = 20.0
-    max_dup_line_percent: int = 30
+    max_dup_line_percent: int = 50
+    max_stutter_percent: int = 30      # words equal to the word before
     max_bare_word_percent: int = 20    # words without a letter
     min_stop_words: int = 1
     max_ellipsis_percent: int = 30     # lines that end in an ellipsis
@@ -115,6 +116,8 @@ def rules(limits: Limits = Limits(), text: str = "text") -> dict[str, Column]:
         > n * limits.max_bare_word_percent,
         "stop_words": share(words, lambda x: F.lower(x).isin(*STOP_WORDS))
         < limits.min_stop_words,
+        "stutter": let(words, lambda w: F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1)))) * 100
+        > n * limits.max_stutter_percent,
         "ellipsis": share(lines, lambda x: F.rtrim(x).rlike(r"(\.\.\.|…)$")) * 100
         > n_lines * limits.max_ellipsis_percent,
         "bullets": share(lines, lambda x: F.ltrim(x).rlike(r"^[-*•]")) * 100

@@ -76,6 +76,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR len(list_filter(words, lambda x: NOT regexp_matches(x, '\\p{{L}}'))) * 100
                > n_words * {LIMITS.max_bare_word_percent}
             OR len(list_filter(words, lambda x: lower(x) IN ({STOPS}))) < {LIMITS.min_stop_words}
+            OR len(list_filter(words, lambda x, i: i > 1 AND x = words[i - 1])) * 100
+               > n_words * {LIMITS.max_stutter_percent}
             OR len(list_filter(all_lines, lambda x: regexp_matches(rtrim(x), '(\\.\\.\\.|…)$'))) * 100
                > n_lines * {LIMITS.max_ellipsis_percent}
             OR len(list_filter(all_lines, lambda x: regexp_matches(ltrim(x), '^[-*•]'))) * 100
