@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, settle, text_mark
 from .components import components
-from .wordhash import Words, mix, shingles
+from .wordhash import Words, by_bytes, mix, shingles
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -75,14 +75,9 @@ def _sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else values), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _pieces(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
-
-
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in _pieces(whole):
+        for batch in by_bytes(whole, "text"):
             values, bounds = _sets(batch.column("text"))
             sizes = np.diff(bounds)
             rows = np.nonzero(sizes)[0]
@@ -98,7 +93,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in _pieces(whole):
+        for batch in by_bytes(whole, "text"):
             values, bounds = _sets(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), batch.column("comp"), batch.column("chunk"), batch.column("chunks"), batch.column("sig"),
