@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fresh, text_mark
+from .wordhash import by_bytes
 
 MIN_WORDS = 15
 UNIT = re.compile(r"(?:[^\n.!?]|[.!?](?![ \t]))*(?:\n|[.!?][ \t]+|$)")
@@ -45,7 +46,7 @@ def cut_units(text: str) -> Iterator[tuple[int, int, str, int]]:
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in by_bytes(whole, "text", 1 << 20)):
         ids, marks, texts = batch.columns
         rows, cols = [], [[], [], [], [], [], []]
         number, start, end, d1, d2, count = cols
@@ -112,8 +113,6 @@ def stretches(later: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def without(texts: pd.Series, removed: pd.Series) -> pd.Series:
     """Texts without their removed spans."""
     def one(text, spans):
-        if text is None or spans is None or len(spans) == 0:
-            return text
         keep, at = [], 0
         for s in spans:
             keep.append(text[at:s["start"]])
@@ -133,4 +132,7 @@ def dedup_substrings(
         spans.select(F.col("id").alias(i), F.col("mark").alias(m), "removed"),
         F.col(id_col).eqNullSafe(F.col(i)) & (F.col(k) == F.col(m)), "left")
     out = out.withColumn("removed", F.coalesce(F.col("removed"), F.array().cast(SPANS)))
-    return out.withColumn(text, without(F.col(text), F.col("removed"))).drop(i, m, k)
+    # Only texts that lose something go to Python; of the others an empty value does.
+    some = F.size("removed") > 0
+    short = without(F.when(some, F.col(text)).otherwise(""), F.col("removed"))
+    return out.withColumn(text, F.when(some, short).otherwise(F.col(text))).drop(i, m, k)
