@@ -226,7 +226,7 @@ def op8(spark, sf):
 @query("op9_substring_dedup")
 def op9(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", F.char_length("text").alias("chars"))
-    out = substring_dedup.dedup_substrings(docs)
+    out = substring_dedup.dedup_passages(docs)
     return out.select(
         "doc_id", F.size("removed").cast("long").alias("n_removed"),
         (F.col("chars") - F.char_length("text")).cast("long").alias("removed_chars"),

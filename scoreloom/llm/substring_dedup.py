@@ -7,6 +7,21 @@ the order of id, text mark and offset stays. A later unit is removed when it is
 neighbouring repeated units of ``min_words`` words or more (one long unit is a stretch), so that
 short sentences which merely recur stay where they are.
 
+``dedup_passages`` also removes passages that are glued to other words at either end. Rule: a word goes
+if it lies in ``WINDOW`` consecutive words that also occur at an earlier place, in the order of id, text
+mark and offset; so does a later stretch of units as above, where units without a letter or digit
+do not end a stretch. It never compares all windows:
+
+1. The smallest hash of the ``GRAM`` word runs inside a window is its print. Equal windows have equal
+   prints at the same place, so none is missed. Digests of units and prints are counted by hash
+   alone; those seen more than once make up a Bloom filter of bounded size, and only what passes it
+   is compared (above the bound more passes, with the same result).
+2. Neighbouring windows with one print are a block. A block with an equal one at an earlier place goes.
+3. The first places of different blocks with one print are compared window by window.
+
+Words of windows are parted by blanks, tabs, line and page breaks and compared in lower case. A removed
+part reaches to the first character of the next word.
+
 Removed parts are offsets of the original text, in code points, each from the first character of
 a unit to the first of the next; the text without them is the result.
 
@@ -22,16 +37,20 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, text_mark
-from .wordhash import by_bytes
+from .common import fresh, settle, text_mark
+from .wordhash import Words, _powers, by_bytes, mix
 
 MIN_WORDS = 15
+WINDOW, GRAM = 50, 15
+MAX_SLOTS = 1 << 22      # 64-bit words of the filter at most, 32 MB
+UNITS, BLOCKS = 0, 1
 UNIT = re.compile(r"(?:[^\n.!?]|[.!?](?![ \t]))*(?:\n|[.!?][ \t]+|$)")
 RESULTS = ("n_units", "removed")
 SPANS = "array<struct<start:int,end:int>>"
@@ -126,7 +145,11 @@ def dedup_substrings(
 ) -> DataFrame:
     """Docs with later passages cut out of ``text``, and ``removed``: their original spans."""
     docs = docs.drop(*[c for c in RESULTS if c not in (id_col, text)])
-    spans = stretches(later_units(unit_rows(docs, id_col, text)), min_words)
+    return cut_out(docs, stretches(later_units(unit_rows(docs, id_col, text)), min_words), id_col, text)
+
+
+def cut_out(docs: DataFrame, spans: DataFrame, id_col: str, text: str) -> DataFrame:
+    """Docs without the spans of their texts, and ``removed``."""
     i, m, k = fresh(docs, "_id", "_mark", "_key")
     out = docs.withColumn(k, text_mark(F.col(text))).join(
         spans.select(F.col("id").alias(i), F.col("mark").alias(m), "removed"),
@@ -136,3 +159,208 @@ def dedup_substrings(
     some = F.size("removed") > 0
     short = without(F.when(some, F.col(text)).otherwise(""), F.col("removed"))
     return out.withColumn(text, F.when(some, short).otherwise(F.col(text))).drop(i, m, k)
+
+
+class Windows:
+    """Windows of ``WINDOW`` words in the rows of a batch, in order, each with its print."""
+
+    def __init__(self, texts: pa.Array):
+        words = Words(texts)
+        self.first, n = words.first, len(words.hash)
+        up, self.down = _powers(n + 1)
+        self.sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(words.hash * up[:n], out=self.sums[1:])
+        points = np.concatenate([[0], np.cumsum((words.raw & 0xC0) != 0x80)])
+        row_points = points[words.rows]
+        row = np.repeat(np.arange(len(texts)), np.diff(words.first))
+        self.begin = points[words.start] - row_points[row]
+        self.length = np.diff(row_points)
+        at = np.arange(max(n - WINDOW + 1, 0))
+        self.at = at[row[at] == row[at + WINDOW - 1]]        # number of the first word in the batch
+        self.row = row[self.at]
+        grams = self.span(np.arange(max(n - GRAM + 1, 0)), GRAM)
+        # Place of the smallest gram of each window, the first one on ties, by doubling.
+        place, reach, want = np.arange(len(grams)), 1, WINDOW - GRAM + 1
+        while reach < want and len(place):
+            step = min(reach, want - reach)
+            a, b = place[: max(len(place) - step, 0)], place[step:]
+            place = np.where(grams[b] < grams[a], b, a)
+            reach += step
+        self.place = place[self.at] if len(self.at) else self.at
+        self.print = grams[self.place].view(np.int64)
+
+    def span(self, at: np.ndarray, size) -> np.ndarray:
+        """Hashes of ``size`` words each from word ``at`` on."""
+        return mix((self.sums[at + size] - self.sums[at]) * self.down[at] + mix(np.atleast_1d(size).astype(np.uint64)))
+
+    def offsets(self, row: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Code points from the first character of word ``at`` (of the text, if it is its first word) to that
+        of word ``end``, or to the end of the text."""
+        start = np.where(at == self.first[row], 0, self.begin[at])
+        inside = end < self.first[row + 1]
+        return start, np.where(inside, self.begin[np.where(inside, end, 0)], self.length[row])
+
+    def blocks(self) -> tuple[np.ndarray, ...]:
+        """row, print, hash, word number, start and end of each block."""
+        new = np.ones(len(self.at), dtype=bool)
+        new[1:] = self.place[1:] != self.place[:-1]
+        low = np.nonzero(new)[0]
+        high = np.append(low[1:], len(self.at))[: len(low)] - 1
+        at, row = self.at[low], self.row[low]
+        end = self.at[high] + WINDOW
+        digest = mix(self.span(at, end - at) + (self.place[low] - at).astype(np.uint64)).view(np.int64)
+        return row, self.print[low], digest, at - self.first[row], *self.offsets(row, at, end)
+
+
+def passes(keys: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Which keys the filter lets through."""
+    k = keys.view(np.uint64)
+    one = np.uint64(1)
+    bits = (one << ((k >> np.uint64(22)) & np.uint64(63))) | (one << ((k >> np.uint64(28)) & np.uint64(63)))
+    return slots[(k & np.uint64(len(slots) - 1)).astype(np.int64)] & bits == bits
+
+
+def bloom(keys: DataFrame, most: int = MAX_SLOTS):
+    """Broadcast filter of the column ``key``: at most ``most`` 64-bit words, about 16 bits a key."""
+    n = max(1, min(most, 1 << (keys.count() // 4).bit_length()))
+
+    def bit(shift):
+        at = F.shiftrightunsigned("key", shift).bitwiseAND(F.lit(63).cast("long")).cast("int")
+        return F.call_function("shiftleft", F.lit(1).cast("long"), at)
+
+    filled = keys.select(
+        F.col("key").bitwiseAND(F.lit(n - 1).cast("long")).alias("slot"), bit(22).bitwiseOR(bit(28)).alias("bits")
+    ).groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    slots = np.zeros(n, dtype=np.uint64)
+    slots[filled["slot"].to_numpy()] = filled["bits"].to_numpy().view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(slots)
+
+
+def _unit_list(texts: pa.Array) -> tuple[list, ...]:
+    """row, two halves of the digest, number, start, end and words of the units that are not blank."""
+    row, d1, d2, number, start, end, count = cols = [], [], [], [], [], [], []
+    for r, text in enumerate(texts.to_pylist()):
+        n = 0
+        for a, b, norm, words in cut_units(text):
+            if not any(map(str.isalnum, norm)):
+                continue
+            low, high = np.frombuffer(
+                hashlib.blake2b(norm.encode("utf-8", "surrogatepass"), digest_size=16).digest(), "<i8").tolist()
+            for c, v in zip(cols, (r, low, high, n, a, b, words)):
+                c.append(v)
+            n += 1
+    return cols
+
+
+def _slim(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    return docs.where(F.col(text) != "").select(
+        F.col(id_col).alias("id"), text_mark(F.col(text)).alias("mark"), F.col(text).alias("text"))
+
+
+def seen_twice(slim: DataFrame) -> DataFrame:
+    """``key``: half a digest of the units, and prints of the blocks, that stand at two places or more."""
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in by_bytes(whole, "text", 1 << 20)):
+            texts = batch.column(2)
+            units = np.array(_unit_list(texts)[1], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([units, Windows(texts).blocks()[1]]))], names=["key"])
+
+    return slim.mapInArrow(keys, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+
+
+def candidates(slim: DataFrame, shared) -> DataFrame:
+    """Units and blocks that pass the filter: kind, two keys, place, number, offsets, words."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = shared.value
+        for batch in (part for whole in batches for part in by_bytes(whole, "text", 1 << 20)):
+            ids, marks, texts = batch.columns
+            units = [np.array(c, dtype=np.int64) for c in _unit_list(texts)]
+            blocks = [*Windows(texts).blocks()]
+            blocks.append(np.zeros(len(blocks[0]), dtype=np.int64))
+            for kind, cols in ((UNITS, units), (BLOCKS, blocks)):
+                keep = passes(cols[1], slots)
+                row, k1, k2, number, start, end, words = [c[keep] for c in cols]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(row), kind), pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
+                     ids.take(pa.array(row)), marks.take(pa.array(row)),
+                     *[pa.array(c, pa.int32()) for c in (number, start, end, words)]],
+                    names=["kind", "k1", "k2", "id", "mark", "n", "start", "end", "words"])
+
+    kind = dict(slim.dtypes)["id"]
+    return slim.mapInArrow(
+        rows, f"kind int, k1 long, k2 long, id {kind}, mark long, n int, start int, end int, words int")
+
+
+def contested_windows(slim: DataFrame, shared) -> DataFrame:
+    """Every window of the blocks whose print and text pass the filter."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = shared.value
+        for batch in (part for whole in batches for part in by_bytes(whole, "text", 1 << 20)):
+            ids, marks, texts = batch.columns
+            w = Windows(texts)
+            keep = passes(w.print ^ marks.to_numpy()[w.row], slots)
+            row, at = w.row[keep], w.at[keep]
+            start, end = w.offsets(row, at, at + WINDOW)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(w.print[keep]), pa.array(w.span(at, WINDOW).view(np.int64)), ids.take(pa.array(row)),
+                 marks.take(pa.array(row)), pa.array(start, pa.int32()), pa.array(end, pa.int32())],
+                names=["k1", "k2", "id", "mark", "start", "end"])
+
+    return slim.mapInArrow(rows, f"k1 long, k2 long, id {dict(slim.dtypes)['id']}, mark long, start int, end int")
+
+
+def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """``id, mark, removed``: the spans that ``dedup_passages`` removes."""
+    slim = _slim(docs, id_col, text)
+    place = F.struct("id", "mark", "start")
+    found = candidates(slim, bloom(settle(seen_twice(slim))))
+    firsts = settle(
+        found.groupBy("kind", "k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+        .where((F.col("kind") == BLOCKS) | (F.col("first") < F.col("last"))))
+    again = firsts.where("first < last").select("kind", "k1", "k2", "first")
+    later = found.join(again, ["kind", "k1", "k2"]).where(place > F.col("first"))
+
+    blocks = firsts.where(F.col("kind") == BLOCKS)
+    several = blocks.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1")
+    contested = blocks.join(several, "k1", "left_semi").select(F.col("k1").bitwiseXOR(F.col("first.mark")).alias("key"))
+    windows = settle(contested_windows(slim, bloom(settle(contested))))
+    first = (
+        windows.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+        .where("first < last").drop("last")
+    )
+    late = windows.join(first, ["k1", "k2"]).where(place > F.col("first"))
+
+    @F.pandas_udf(SPANS)
+    def merge(parts: pd.Series) -> pd.Series:
+        def one(rows):
+            spans, run = [], []
+            for r in [*sorted({(r["n"], r["start"], r["end"], r["words"]) for r in rows if r["kind"] == UNITS}), None]:
+                if run and (r is None or r[0] != run[-1][0] + 1):
+                    if sum(x[3] for x in run) >= min_words:
+                        spans.append((run[0][1], run[-1][2]))
+                    run = []
+                if r is not None:
+                    run.append(r)
+            spans += [(r["start"], r["end"]) for r in rows if r["kind"] == BLOCKS]
+            out = []
+            for a, b in sorted(spans):
+                if out and a <= out[-1]["end"]:
+                    out[-1]["end"] = max(b, out[-1]["end"])
+                else:
+                    out.append({"start": a, "end": b})
+            return out
+        return parts.map(one)
+
+    parts = later.select("id", "mark", "kind", "n", "start", "end", "words").unionByName(
+        late.select("id", "mark", F.lit(BLOCKS).alias("kind"), F.lit(0).alias("n"), "start", "end", F.lit(0).alias("words")))
+    rows = parts.groupBy("id", "mark").agg(F.collect_list(F.struct("kind", "n", "start", "end", "words")).alias("u"))
+    return rows.select("id", "mark", merge("u").alias("removed")).where(F.size("removed") > 0)
+
+
+def dedup_passages(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS
+) -> DataFrame:
+    """As ``dedup_substrings``, and no repeat of ``WINDOW`` words stays, wherever it begins or ends."""
+    docs = docs.drop(*[c for c in RESULTS if c not in (id_col, text)])
+    return cut_out(docs, passages(docs, id_col, text, min_words), id_col, text)

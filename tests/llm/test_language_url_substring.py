@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -111,3 +112,55 @@ def test_substrings_as_a_single_pass(docs_of):
             assert r["text"] == keep + r["before"][at:]
     assert want[101, rows[51][1]] and want[100, rows[50][1]]
     assert substring_dedup.dedup_substrings(docs_of([])).count() == 0
+
+
+def brute_passages(rows, least, wide):
+    """Spans by looking at every window of words, and at units in order with blank ones passed over."""
+    seen_units, seen, out = set(), set(), {}
+    for i, text in sorted({r for r in rows if r[1]}, key=lambda r: (r[0] is not None, r[0] or 0)):
+        spans, run = [], []
+        for a, b, norm, words in [*((u for u in substring_dedup.cut_units(text) if any(map(str.isalnum, u[2])))), (0, 0, None, 0)]:
+            if norm in seen_units:
+                run.append((a, b, words))
+            else:
+                if run and sum(x[2] for x in run) >= least:
+                    spans.append((run[0][0], run[-1][1]))
+                run = []
+            seen_units |= {norm} - {None}
+        found = list(re.finditer("[^ \\t-\\r]+", text))
+        words = [m.group().lower() for m in found]
+        for k in range(len(words) - wide + 1):
+            key = tuple(words[k:k + wide])
+            if key in seen:
+                spans.append((found[k].start() if k else 0, found[k + wide].start() if k + wide < len(found) else len(text)))
+            seen.add(key)
+        merged = []
+        for a, b in sorted(spans):
+            if merged and a <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+            else:
+                merged.append((a, b))
+        out[i, text] = merged
+    return out
+
+
+def test_passages_glued_at_both_ends(docs_of):
+    rng = random.Random(9)
+    prose = lambda n, v=4000: " ".join(f"w{rng.randrange(v)}é" for _ in range(n))
+    bare, ended = prose(61), ". ".join(prose(20) for _ in range(4)) + "."
+    rows = [(1, f"{prose(30)} {bare} {prose(40)}"), (2, f"{prose(9)} {bare.upper()} {prose(70)}"), (3, f" \n{bare}"), (4, f"{prose(80)} {bare}"),
+            (5, f"{prose(20)} {ended} {prose(30)}"), (6, f"{prose(33)}\n{ended} {prose(12)}"), (7, "x " * 120), (8, prose(300)), (9, None), (10, "")]
+    rows += [(20 + k, " ".join([prose(rng.randrange(9)), *rng.choices(bare.split()[:56] + bare.split()[:3], k=3), bare[k:], prose(rng.randrange(60))])) for k in range(0, 60, 7)]
+    rows += [(40 + k, prose(200, 2)) for k in range(3)] + [(50, rows[7][1]), (51, rows[7][1][:500] + " changed " + rows[7][1][500:]), (None, rows[0][1]), (1, rows[0][1])]
+    short = "a b c d e f g h.\n...\nA b c d e f g i."
+    rows += [(60, short), (61, short), (62, "İ ẞ " + prose(3) + " " + bare + " tail")]
+    want = brute_passages(rows, substring_dedup.MIN_WORDS, 50)
+    out = substring_dedup.dedup_passages(docs_of(rows).withColumn("before", F.col("text"))).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        spans = [(s["start"], s["end"]) for s in r["removed"]]
+        assert spans == want.get((r["doc_id"], r["before"]), []), r["doc_id"]
+    texts = {r["doc_id"]: r["text"] for r in out}
+    assert texts[3] == "" and bare.lower() not in texts[2].lower() and len(texts[4].split()) == 80 and texts[61] == ""
+    assert len(texts[6].split()) == 45 and texts[7] == "x "
+    assert substring_dedup.dedup_passages(docs_of([])).count() == 0
