@@ -144,6 +144,22 @@ def test_knapsack_is_exact():
         assert sum(value[k] * b for k, b in config.items()) == pytest.approx(best)
 
 
+@pytest.mark.parametrize("lengths, times, least", [
+    ((2049, 1365, 680), (3000, 3000, 3000), 3000),      # no sequence holds two of the longest
+    ((1500, 1298), (2000, 4000), 2000),                 # tokens of 2000 full sequences
+    ((2049, 1365, 680), (3000, 1000, 5000), 3000),
+    ((2100, 1996, 1100, 896), (700, 1700, 500, 500), 1200 + 250),
+])
+def test_few_hot_lengths_come_near_the_bound(lengths, times, least):
+    counts = np.zeros(4097, dtype=np.int64)
+    counts[list(lengths)] = times
+    plan = packing.round_plan(counts, 4096)
+    assert sum(t for _, t in plan) <= least * 1.005 + 1
+    assert sum(x for _, x in packing.solve_lp(counts, 4096)) <= least * 1.01
+    for a, n in zip(lengths, times):
+        assert sum(t * c.get(a, 0) for c, t in plan) == n
+
+
 PAGES = [
     (1, "http://a/1", "<p>" + "long " * 40), (2, "http://a/2", "<p>" + "long " * 40), (3, "http://a/3", "short"), (4, "http://a/4", "short"),
     (5, None, None), (6, "http://a/6\r\nX: y", ""), (7, "http://a/é", "é" * 100_000), (0, "http://a/0", "<p>" + "long " * 40), (8, "http://a/8", "WARC/1.1\r\n\r\n\r\n" * 20),
