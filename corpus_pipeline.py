@@ -24,9 +24,13 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines are deleted; a document that loses all its text goes."""
-    out = line_winnow.dedup_lines(docs)
-    return out.where(F.col("text").rlike(r"\S"))
+    """Later repeated runs of lines are deleted; a document that loses all its text goes.
+
+    One whose text is null or blank from the start has lost nothing and stays.
+    """
+    (gone,) = fresh(docs, "_gone")
+    out = line_winnow.dedup_lines(docs, removed=gone)
+    return out.where((F.size(gone) == 0) | F.col("text").rlike(r"\S")).drop(gone)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,3 +51,11 @@ def test_stages_keep_the_columns(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).dtypes == docs.dtypes
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_line_stage_drops_only_what_it_emptied(spark, docs_of):
+    block = "\n".join(f"line {k}" for k in range(4))
+    docs = docs_of([(1, block), (2, block), (3, None), (4, ""), (5, " \n\t"), (6, block + "\nown")])
+    out = corpus_pipeline.remove_repeated_lines(spark, docs, "")
+    assert out.columns == docs.columns
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: block, 3: None, 4: "", 5: " \n\t", 6: "own"}
