@@ -1,11 +1,10 @@
-"""Removal of repeated runs of lines, found by winnowing over line hashes.
-
-Lines are trimmed; blank ones are left alone and do not count. Of every ``run`` consecutive lines
-the smallest line hash (the last one on ties) is a fingerprint, so two equal runs of that length
-select the same fingerprint at the same place: none is missed. Fingerprints seen at one place only
-end there. Around the others the run is extended both ways over the lines that selected them,
-and a run of which an earlier equal one exists anywhere is deleted. Longer matches are
-the union of such runs.
+"""Removal of repeated runs of lines, by the hash of every window of ``run`` lines.
+
+Lines are trimmed; blank ones are left alone and do not count. Every window of ``run`` consecutive
+lines becomes a row with the hash of its lines and, as its print, the smallest line hash in it. Nothing is
+selected as in winnowing: prints that only one window has are left out before windows are grouped,
+which saves work but never changes the result, since equal windows have equal prints.
+Neighbouring windows of one text can share a print. Longer matches are the union of windows.
 
 Rule: a line goes if it lies in ``run`` consecutive lines that also occur at an earlier place, in
 the order of id, text mark and line number. The first occurrence of a line therefore always stays.
