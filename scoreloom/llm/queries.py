@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, language_id, line_winnow, ngram_join, packing, quality_cascade, substring_dedup, token_counts, url_filter, warc
+from . import (
+    conversation_repair, decontaminate, language_id, line_winnow, ngram_join, packing, quality_cascade,
+    substring_dedup, token_counts, url_filter, warc,
+)
 from .common import table
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -250,3 +253,10 @@ def op2(spark, sf):
 def op6(spark, sf):
     found = decontaminate.find_matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), "item_id", "distance", "first_word", "end_word")
+
+
+@query("op12_conversation_repair")
+def op12(spark, sf):
+    spoilt = conversation_repair.damage(table(spark, sf, "conversations"))
+    report, prepared = conversation_repair.repair(spoilt, copies="copies")
+    return conversation_repair.repaired_digests(prepared, report)
