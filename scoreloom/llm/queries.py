@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from . import (
-    conversation_repair, decontaminate, language_id, line_winnow, ngram_join, packing, quality_cascade,
+    conversation_repair, decontaminate, language_id, line_winnow, metric_search, ngram_join, packing, quality_cascade,
     substring_dedup, token_counts, url_filter, warc,
 )
 from .common import table
@@ -260,3 +260,16 @@ def op12(spark, sf):
     spoilt = conversation_repair.damage(table(spark, sf, "conversations"))
     report, prepared = conversation_repair.repair(spoilt, copies="copies")
     return conversation_repair.repaired_digests(prepared, report)
+
+
+@query("op13_topk_search", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(c::DOUBLE * 256) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x::DOUBLE[], c.x::DOUBLE[]) AS BIGINT) AS score
+  FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5""")
+def op13(spark, sf):
+    return metric_search.top_k(table(spark, sf, "embeddings"))
