@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from . import (
     conversation_repair, decontaminate, language_id, line_winnow, metric_search, ngram_join, packing, quality_cascade,
-    substring_dedup, token_counts, url_filter, warc,
+    substring_dedup, token_counts, url_filter, warc, whitening,
 )
 from .common import table
 
@@ -273,3 +273,13 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY rank <= 5""")
 def op13(spark, sf):
     return metric_search.top_k(table(spark, sf, "embeddings"))
+
+
+@query("op11_embedding_whitening")
+def op11(spark, sf):
+    out = whitening.whiten(table(spark, sf, "embeddings"))
+    parts = F.posexplode(F.arrays_zip("whitened", "explained"))
+    return out.select("id", "n", "deviation", "identity_error", parts.alias("at", "c")).select(
+        F.col("id").alias("vec_id"), (F.col("at") + 1).alias("component"), "n",
+        F.expr("try_cast(deviation AS BIGINT)").alias("deviation"), F.col("c.whitened").alias("whitened"),
+        F.col("c.explained").alias("explained"), "identity_error")
