@@ -201,10 +201,10 @@ def holdout_predict(
 
 
 def item_qwk(preds: DataFrame, keys: list[str] = ("item",)) -> DataFrame:
-    """Agreement of predictions with scores per item, to 4 places."""
+    """Agreement of predictions with scores per item, to 4 places, never a negative zero."""
     known = preds.where(~F.isnan(F.col("pred").cast("double")))
     out = qwk_weighted_scale(known, list(keys), "score", "pred")
-    return out.withColumn("qwk", F.round("qwk", 4))
+    return out.withColumn("qwk", F.round("qwk", 4) + 0.0)
 
 
 def generate_predictions(

@@ -8,13 +8,15 @@ item stops at a coverage cutoff.
 The visiting order is a round-robin tournament over randomly placed records. Every unordered
 pair is met in exactly one round, and within a round each record is met at most once. So the
 pairs of one round cannot use up each other's degree, one round is a linear number of rows,
-and rounds after the cutoff are never produced: the quadratic set of pairs is never built.
+and rounds after the cutoff are never produced: the quadratic set of pairs is never built. Large items
+go by blocks of rounds, so many that a block holds a good number of pairs that pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,9 +30,12 @@ from .sampling import shuffle_rows, split_by_item
 from .scaling import BROADCAST_ROWS, GROUP_ROWS, dim_join, rank_within, running_totals
 
 ITEM_ROWS = 50_000   # items up to this size are finished inside one task
-TAIL_ROWS = 1_500    # so are the last open records of a larger item
+BLOCK_PAIRS = 500_000   # passing pairs of a block of rounds that one task accepts in order
+TILES = 64           # tiles of a larger item, unless they would exceed
+TILE_ROWS = 4_000_000
+MEETINGS = 1 << 20   # meetings of a tile that are looked at together
+REPEATS = 12         # of the acceptance in blocks that are too large for a task
 TASK_ROWS = 500_000  # records of small items per task
-ITEM_STATE = ("neg", "pos", "stop")
 PAIR_KEYS = ("split1", "idx1", "split2", "idx2")
 
 
@@ -132,7 +137,7 @@ def meet(placed: DataFrame, turn: Column) -> DataFrame:
         .groupBy("item", "round", "low")
         .agg(
             F.min(side).alias("a"), F.max(side).alias("b"), F.count(F.lit(1)).alias("met"),
-            *[F.first(c).alias(c) for c in ("n", "salt", *ITEM_STATE) if c in placed.columns],
+            *[F.first(c).alias(c) for c in ("n", "salt")],
         )
     )
 
@@ -299,34 +304,169 @@ def _finish(rows: DataFrame, p: MineParams, item_type: str) -> DataFrame:
     return rows.groupBy("item").applyInPandas(lambda pdf: _greedy(pdf, p), schema)
 
 
-# --- greedy acceptance spread over tasks, one round at a time ---------------------------------
+# --- greedy acceptance spread over tasks, a block of rounds at a time -------------------------
 
-def _accept_round(
-    met: DataFrame, p: MineParams, group_rows: int, pieced: bool, small: bool
-) -> DataFrame:
-    """Flag the accepted pairs of one round in every item.
+def _next_blocks(live: DataFrame, state: DataFrame, p: MineParams, block_pairs: int) -> DataFrame:
+    """State of the items in which an open pair could still be accepted, and how many rounds come next.
 
-    Whether a same-score pair is accepted depends on all pairs before it only through running
-    counts: with C the allowance after a pair and D the same-score pairs up to it, the accepted
-    count is D + min(start, lowest C - D so far). Both running values are computed per piece of
-    the visiting order and, where items have several pieces, shifted by the pieces before.
+    The open pairs are counted by class, so it is known how many of a round pass on average; a block
+    has as many rounds as ``block_pairs`` (or half the open records) passing pairs take. ``wide`` items have too
+    many in one round already.
+    """
+    classes = hardness_profile(live.withColumn("pred", F.col("score") + F.col("err")), p.blacklist)
+    passing = F.when(F.col("h") > 0, F.col("pairs")).otherwise(F.col("pairs") * F.lit(p.easy_prob))
+    weights = classes.where("NOT is_listed").groupBy("item").agg(
+        F.sum(F.when(~F.col("is_pos"), passing).otherwise(0.0)).alias("mixed"),
+        F.sum(F.when(F.col("is_pos"), passing).otherwise(0.0)).alias("alike"))
+    left = live.groupBy("item").agg(F.count(F.lit(1)).alias("left"))
+    ring = F.col("n") + F.col("n") % 2 - 1
+    room = (F.floor((F.col("neg") + 1) / F.lit(p.np_min)) > F.col("pos")) if p.np_min > 0 else F.lit(True)
+    rate = (F.col("mixed") + F.col("alike")) / ring
+    goal = F.greatest(F.lit(float(block_pairs)), F.col("left") / 2.0)
+    rounds = F.greatest(F.least(F.floor(goal / rate), ring - F.col("turn")), F.lit(1)).cast("bigint")
+    open_items = state.join(weights, "item").join(left, "item").where(
+        (F.col("neg") + F.col("pos") < F.col("stop")) & (F.col("turn") < ring)
+        & ((F.col("mixed") > 0) | ((F.col("alike") > 0) & room)))
+    return open_items.withColumn("rounds", rounds).select(
+        *state.columns, "rounds", (rate * F.col("rounds") > 2.0 * block_pairs).alias("wide"),
+        F.greatest(F.ceil(rate * F.col("rounds")), F.lit(1)).alias("expected"))
+
+
+def _block_meetings(live: DataFrame, plan: DataFrame, p: MineParams, small: bool) -> DataFrame:
+    """Passing pairs of open records that meet in the rounds of each item's block.
+
+    The places are cut into tiles. In a block of B rounds a place meets B neighbouring places of the ring,
+    so a record goes to its own tile and to those whose places it can meet, and a tile finds its meetings
+    by itself: as many rows move for a thousand rounds as for one.
+    """
+    ring = F.col("n") + F.col("n") % 2 - 1
+    rows = dim_join(live, plan.select("item", "n", "salt", "turn", "rounds"), ["item"], "inner", small=small)
+    width = F.least(F.greatest(
+        F.ceil(F.col("n") / F.lit(float(TILES))), F.ceil(F.col("rounds") / 16.0)), F.lit(TILE_ROWS)).cast("bigint")
+    rows = rows.withColumns({"ring": ring, "width": width})
+    first = F.pmod(F.col("turn") - F.col("slot"), F.col("ring"))
+    end = first + F.col("rounds")
+
+    def tiles(low: Column, high: Column) -> Column:
+        """Tiles of the places low..high-1 that are not beyond the record's own."""
+        last = F.least(F.floor((high - 1) / F.col("width")), F.floor(F.col("slot") / F.col("width")))
+        from_ = F.floor(low / F.col("width"))
+        return F.when((high > low) & (from_ <= last), F.sequence(from_, last)).otherwise(F.array().cast("array<bigint>"))
+
+    zero = F.lit(0).cast("bigint")
+    met = F.when(F.col("slot") == F.col("ring"), tiles(zero, F.col("ring"))).otherwise(F.array_union(
+        tiles(first, F.least(end, F.col("ring"))), tiles(zero, end - F.col("ring"))))
+    own = F.when(F.col("slot") < F.col("ring"), F.array(F.floor(F.col("slot") / F.col("width"))))
+    none = F.array().cast("array<bigint>")
+    sides = F.concat(
+        F.transform(F.coalesce(own, none), lambda t: F.struct(t.alias("tile"), F.lit(0).alias("side"))),
+        F.transform(met, lambda t: F.struct(t.alias("tile"), F.lit(1).alias("side"))))
+    dealt = rows.select(
+        "item", "n", "salt", "turn", "rounds", "slot", "score", "err", "deg", F.explode(sides).alias("at")
+    ).select("*", "at.tile", "at.side").drop("at")
+    item_type = dict(live.dtypes)["item"]
+    schema = f"item {item_type}, {MEETING}"
+    return dealt.groupBy("item", "tile").applyInPandas(lambda pdf: _tile(pdf, p), schema)
+
+
+MEETING = "round bigint, visit bigint, low bigint, high bigint, same boolean, deg1 int, deg2 int"
+
+
+def _tile(pdf: pd.DataFrame, p: MineParams) -> pd.DataFrame:
+    """Passing meetings of one tile: a record of it, and a later place."""
+    n, salt, turn, rounds = (int(pdf[c].iat[0]) for c in ("n", "salt", "turn", "rounds"))
+    ring = n + n % 2 - 1
+    pdf = pdf.sort_values("slot")
+    own, met = pdf[pdf["side"] == 0], pdf[(pdf["side"] == 1) & (pdf["slot"] < ring)]
+    seat = pdf[(pdf["side"] == 1) & (pdf["slot"] == ring)]
+    barred: dict[int, set[int]] = {}
+    for a, b in p.blacklist:
+        barred.setdefault(a, set()).add(b)
+        barred.setdefault(b, set()).add(a)
+    listed = own["score"].isin(list(barred))
+    parts = [(own[~listed], met)]
+    parts += [(own[own["score"] == s], met[~met["score"].isin(list(t))]) for s, t in barred.items()]
+    found = []
+    columns = ("slot", "score", "err", "deg")
+
+    def keep(one, two, i, j):
+        """Rows i of one meet rows j of two."""
+        u, w = one[0][i], two[0][j]
+        ok = u < w
+        u, w, i, j = u[ok], w[ok], i[ok], j[ok]
+        ok = (one[2][i] + two[2][j] > 0) | (pair_hash(u, w, luck_salt(salt)) < p.easy_prob * PRIME)
+        u, w, i, j = u[ok], w[ok], i[ok], j[ok]
+        ok = np.ones(len(u), dtype=bool)
+        s, t = np.minimum(one[1][i], two[1][j]), np.maximum(one[1][i], two[1][j])
+        for a, b in p.blacklist:
+            ok &= ~((s == min(a, b)) & (t == max(a, b)))
+        u, w, i, j, same = u[ok], w[ok], i[ok], j[ok], (s == t)[ok]
+        at = np.where(w == ring, 2 * u, u + w)
+        found.append((turn + (at - turn) % ring, pair_hash(u, w, salt), u, w, same, one[3][i], two[3][j]))
+
+    for mine, others in parts:
+        one, two = ([x[c].to_numpy(np.int64) for c in columns] for x in (mine, others))
+        if len(one[0]) and len(two[0]):
+            twice = np.concatenate([two[0], two[0] + ring])
+            start = (turn - one[0]) % ring
+            low, high = np.searchsorted(twice, start), np.searchsorted(twice, start + rounds)
+            ends = np.cumsum(high - low)
+            at = 0
+            while at < len(ends):
+                base = ends[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, base + MEETINGS, side="right")))
+                size = (high - low)[at:to]
+                i = np.repeat(np.arange(at, to), size)
+                j = np.arange(len(i)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low[at:to], size)
+                keep(one, two, i, j % len(two[0]))
+                at = to
+    if len(seat):
+        one, two = ([x[c].to_numpy(np.int64) for c in columns] for x in (own, seat))
+        i = np.nonzero((2 * one[0] - turn) % ring < rounds)[0]
+        keep(one, two, i, np.zeros(len(i), dtype=np.int64))
+    names = [c.split()[0] for c in MEETING.split(", ")]
+    found = [np.concatenate(c) for c in zip(*found)] if found else [[]] * len(names)
+    out = pd.DataFrame(dict(zip(names, found)))
+    out.insert(0, "item", pdf["item"].iat[0])
+    return out.astype({"same": bool})
+
+
+def _accept_block(pdf: pd.DataFrame, p: MineParams) -> pd.DataFrame:
+    """Accept pairs of one item's block in visiting order."""
+    negatives, positives, stop = (int(pdf[c].iat[0]) for c in ("neg", "pos", "stop"))
+    pdf = pdf.sort_values(["round", "visit", "low"])
+    low, high = pdf["low"].to_numpy(), pdf["high"].to_numpy()
+    slots, codes = np.unique(np.concatenate([low, high]), return_inverse=True)
+    start = np.zeros(len(slots), dtype=np.int64)
+    start[codes] = np.concatenate([pdf["deg1"].to_numpy(), pdf["deg2"].to_numpy()])
+    deg, taken = start.tolist(), np.zeros(len(pdf), dtype=bool)
+    for k, (a, b, alike) in enumerate(zip(codes[: len(low)].tolist(), codes[len(low):].tolist(), pdf["same"].tolist())):
+        if negatives + positives >= stop:
+            break
+        if deg[a] >= p.ct_max or deg[b] >= p.ct_max:
+            continue
+        if alike:
+            if (negatives + 1) / (positives + 1) < p.np_min:
+                continue
+            positives += 1
+        else:
+            negatives += 1
+        deg[a] += 1
+        deg[b] += 1
+        taken[k] = True
+    return pdf.loc[taken, ["item", "round", "visit", "low", "high", "same"]]
+
+
+def _gate(rows: DataFrame, p: MineParams, pieced: bool, small: bool) -> DataFrame:
+    """Flag the pairs that pass the class ratio and the cutoff, in every item.
+
+    ``e`` and ``d`` mark the different- and same-score pairs whose records are free. Whether a same-score pair is accepted
+    depends on all pairs before it only through running counts: with C the allowance after a pair and D the same-score
+    pairs up to it, the accepted count is D + min(start, lowest C - D so far). Both running values are computed per
+    piece of the visiting order and, where items have several pieces, shifted by the pieces before.
     """
-    low, high = F.least("a.slot", "b.slot"), F.greatest("a.slot", "b.slot")
-    passes = (
-        (F.col("met") == 2)
-        & ~blacklisted(F.col("a.score"), F.col("b.score"), p.blacklist)
-        & sample_easy(
-            F.col("a.err") + F.col("b.err"), pair_luck(low, high, F.col("salt")), p.easy_prob)
-    )
-    visit = priority_order(low, high, F.col("salt"))
-    pieces = F.ceil(F.col("n") / F.lit(float(group_rows)))
-    same = F.col("a.score") == F.col("b.score")
-    rows = met.select(
-        "*", visit.alias("visit"), F.floor(visit * pieces / F.lit(float(PRIME))).alias("piece"),
-        (passes & ~same).cast("int").alias("e"), (passes & same).cast("int").alias("d"),
-    )
     earlier = Window.partitionBy("item").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy("item", "piece").orderBy("visit", "low")
+    inside = Window.partitionBy("item", "piece").orderBy("round", "visit", "low")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     allowed = F.floor((F.col("cum_e") + 1) / F.lit(p.np_min)) if p.np_min > 0 else F.lit(1 << 60)
 
@@ -358,90 +498,114 @@ def _accept_round(
     total = F.col("cum_e") + F.col("cum_d") + F.least("before", "gap")
     fits = (F.col("e") == 1) | ((F.col("d") == 1) & (F.col("gap") >= F.col("before")))
     return seen.withColumn("before", before).select(
-        "item", "round", "low", "a", "b", "met", "n", "salt", "visit", "e", "d",
-        (fits & (total <= F.col("stop"))).alias("taken"),
-    ).checkpoint()
+        *rows.columns, (fits & (total <= F.col("stop"))).alias("fits"))
 
 
-def _still_open(live: DataFrame, state: DataFrame, p: MineParams) -> DataFrame:
-    """State rows of the items in which some open pair could still be accepted."""
-    classes = live.groupBy("item", "score").agg(
-        F.count(F.lit(1)).alias("c"), F.max("turn").alias("turn")
-    )
-    listed = classes.groupBy("item").agg(
-        F.collect_list(F.struct("score", "c")).alias("cls"), F.sum("c").alias("left"),
-        F.max("turn").alias("turn"),
-    )
-    mixed = F.exists("cls", lambda x: F.exists("cls", lambda y: (
-        (x["score"] < y["score"]) & ~blacklisted(x["score"], y["score"], p.blacklist))))
-    alike = F.exists("cls", lambda x: (x["c"] > 1) & ~blacklisted(x["score"], x["score"], p.blacklist))
-    room = (F.floor((F.col("neg") + 1) / F.lit(p.np_min)) > F.col("pos")) if p.np_min > 0 else F.lit(True)
-    return state.join(listed, "item").where(
-        (F.col("neg") + F.col("pos") < F.col("stop")) & (mixed | (alike & room))
-        & (F.col("turn") < F.col("n") + F.col("n") % 2 - 1)
-    ).drop("cls", "turn")
+def _accept_spread(
+    met: DataFrame, p: MineParams, group_rows: int, pieced: bool, small: bool, repeats: int
+) -> tuple[DataFrame, DataFrame]:
+    """Accepted pairs of blocks too large for a task, and the round up to which each item is settled.
+
+    From a guess of what is accepted follow the degrees before every pair, from these the free pairs, from
+    these by the gate what is accepted. Every decision depends on earlier ones only, so each repeat settles more
+    of the order, and what no longer changes is the greedy result: mostly the whole block after a few
+    repeats. What still changes at the end is left to the next block; the first round is always settled.
+    """
+    pieces = F.ceil(F.col("expected") / F.lit(float(group_rows)))
+    at = (F.col("round") - F.col("turn") + F.col("visit") / F.lit(float(PRIME))) / F.col("rounds")
+    key = ["item", "round", "low"]
+    rest = ["visit", "high", "same", "deg1", "deg2", "neg", "pos", "stop", "piece", "taken"]
+    rows = met.withColumns({
+        "piece": F.least(F.floor(at * pieces), pieces - 1).cast("bigint"), "taken": F.lit(False)}).select(*key, *rest).checkpoint()
+    before = Window.partitionBy("item", "slot").orderBy("round", "visit", "low").rowsBetween(Window.unboundedPreceding, -1)
+    for _ in range(max(2, repeats)):
+        ends = rows.select("*", F.explode(F.array(
+            F.struct(F.col("low").alias("slot"), F.col("deg1").alias("deg")),
+            F.struct(F.col("high").alias("slot"), F.col("deg2").alias("deg")))).alias("end")).select("*", "end.slot", "end.deg")
+        used = F.coalesce(F.sum(F.col("taken").cast("int")).over(before), F.lit(0))
+        free = ends.withColumn("free", F.col("deg") + used < p.ct_max).groupBy(*key).agg(
+            F.min("free").alias("free"), *[F.first(c).alias(c) for c in rest])
+        flags = free.select(
+            *key, *rest, (F.col("free") & ~F.col("same")).cast("int").alias("e"),
+            (F.col("free") & F.col("same")).cast("int").alias("d"))
+        now = _gate(flags, p, pieced, small).checkpoint()
+        changed = now.where(F.col("fits") != F.col("taken")).groupBy("item").agg(F.min("round").alias("changed")).checkpoint()
+        rows = now.withColumn("taken", F.col("fits")).select(*key, *rest)
+        if changed.isEmpty():
+            break
+    settled = dim_join(rows.where("taken"), changed, ["item"], small=small)
+    settled = settled.where(F.col("changed").isNull() | (F.col("round") < F.col("changed")))
+    return settled.select("item", "round", "visit", "low", "high", "same"), changed
 
 
-def _rounds(placed: DataFrame, p: MineParams, group_rows: int, tail_rows: int):
-    """Tables of accepted pairs of large items, round after round."""
+def _blocks(
+    placed: DataFrame, p: MineParams, group_rows: int, block_pairs: int, repeats: int = REPEATS
+) -> Iterator[DataFrame]:
+    """Tables of accepted pairs ``item, round, visit, low, high, same`` of large items, block after block."""
     item_type = dict(placed.dtypes)["item"]
     z = F.floor(F.lit(p.cutoff) * p.ct_max * F.col("n"))
     over = [(z + k) / (F.lit(p.ct_max) * F.col("n")) > p.cutoff for k in (0, 1)]
     stop = F.when(over[0], z).when(over[1], z + 1).otherwise(z + 2)
     zero = F.lit(0).cast("bigint")
-    state = placed.select("item", "n").distinct().select(
-        "item", "n", zero.alias("neg"), zero.alias("pos"), stop.alias("stop")
+    state = placed.select("item", "n", "salt").distinct().select(
+        "item", "n", "salt", zero.alias("neg"), zero.alias("pos"), stop.alias("stop"), zero.alias("turn")
     ).checkpoint()
     # Items and their pieces only become fewer, so their number is checked once.
-    sizes = state.agg(
-        F.sum(F.ceil(F.col("n") / F.lit(float(group_rows)))).alias("pieces"), F.max("n").alias("n")
-    ).head()
-    pieced, small = sizes["n"] > group_rows, sizes["pieces"] <= BROADCAST_ROWS
-    carried = ["item", "neg", "pos", "stop"]
-    start = placed.withColumns({"deg": F.lit(0), "turn": zero})
-    live = dim_join(start, state.select(carried), ["item"], small=small)
-    # The round number travels as a column: with a literal every round would be compiled anew.
+    sizes = state.agg(F.sum(F.ceil(F.col("n") / F.lit(float(group_rows)))).alias("pieces")).head()
+    small = (sizes["pieces"] or 0) <= BROADCAST_ROWS
+    live = placed.select("item", "slot", "score", "err", F.lit(0).alias("deg"))
+    fields = f"item {item_type}, round bigint, visit bigint, low bigint, high bigint, same boolean"
     while True:
-        done = _accept_round(meet(live, F.col("turn")), p, group_rows, pieced, small)
-        yield done.where("taken").select("item", "round", "visit", *_both_sides())
-        gained = done.groupBy("item").agg(
-            F.count_if(F.col("taken") & (F.col("e") == 1)).alias("gain_e"),
-            F.count_if(F.col("taken") & (F.col("d") == 1)).alias("gain_d"),
-        )
-        state = state.join(gained, "item").select(
-            "item", "n", (F.col("neg") + F.col("gain_e")).alias("neg"),
-            (F.col("pos") + F.col("gain_d")).alias("pos"), "stop",
-        )
-        sides = F.when(F.col("met") == 2, F.array("a", "b")).otherwise(F.array("a"))
-        live = done.select(
-            "item", "n", "salt", "taken", (F.col("round") + 1).alias("turn"), F.explode(sides).alias("r")
-        ).select(
-            "item", "n", "salt", "turn", "r.later", "r.idx", "r.slot", "r.score", "r.err",
-            (F.col("r.deg") + F.col("taken").cast("int")).alias("deg"),
-        ).where(F.col("deg") < p.ct_max)
-        open_items = _still_open(live, state, p).checkpoint()
-        ending = F.col("left") <= tail_rows
-        counts = open_items.agg(
-            F.count_if(ending).alias("tail"), F.count_if(~ending).alias("more")
-        ).head()
-        if counts["tail"]:
-            tail = open_items.where(ending).select("item", "neg", "pos")
-            rows = dim_join(live, tail, ["item"], "inner", small=small)
-            yield _finish(rows, p, item_type)
-        if not counts["more"]:
+        plan = _next_blocks(live, state, p, block_pairs).checkpoint()
+        left = plan.agg(
+            F.count(F.lit(1)).alias("items"), F.count_if("wide").alias("wide"), F.max("expected").alias("expected")).head()
+        if not left["items"]:
             return
-        state = open_items.where(~ending).drop("left")
-        live = dim_join(live, state.select(carried), ["item"], "inner", small=small)
+        carried = plan.select("item", "neg", "pos", "stop", "turn", "rounds", "wide", "expected")
+        met = dim_join(_block_meetings(live, plan, p, small), carried, ["item"], small=small)
+        if left["wide"]:
+            met = met.checkpoint()
+        inside = met.where("NOT wide").groupBy("item").applyInPandas(lambda pdf: _accept_block(pdf, p), fields)
+        if left["wide"]:
+            spread, changed = _accept_spread(
+                met.where("wide"), p, group_rows, left["expected"] > group_rows, small, repeats)
+            taken = inside.unionByName(spread).checkpoint()
+        else:
+            taken, changed = inside.checkpoint(), None
+        yield taken
+        gained = taken.groupBy("item").agg(
+            F.count_if(~F.col("same")).alias("gain_e"), F.count_if("same").alias("gain_d"))
+        ends = plan.join(gained, "item", "left")
+        ends = ends.withColumn("changed", F.lit(None).cast("bigint")) if changed is None else ends.join(changed, "item", "left")
+        state = ends.select(
+            "item", "n", "salt", (F.col("neg") + F.coalesce("gain_e", zero)).alias("neg"),
+            (F.col("pos") + F.coalesce("gain_d", zero)).alias("pos"), "stop",
+            F.coalesce("changed", F.col("turn") + F.col("rounds")).alias("turn")).checkpoint()
+        more = taken.select("item", F.explode(F.array("low", "high")).alias("slot")).groupBy("item", "slot").agg(
+            F.count(F.lit(1)).cast("int").alias("more"))
+        still = dim_join(live, state.select("item"), ["item"], "inner", small=small)
+        live = still.join(more, ["item", "slot"], "left").select(
+            "item", "slot", "score", "err", (F.col("deg") + F.coalesce("more", F.lit(0))).alias("deg")
+        ).where(F.col("deg") < p.ct_max).checkpoint()
+
+
+def _with_sides(taken: DataFrame, placed: DataFrame) -> DataFrame:
+    """Accepted places back to records, in load order."""
+    side = F.struct("later", "idx", "score", "err")
+    one, two = (placed.select("item", F.col("slot").alias(c), side.alias(f"at_{c}")) for c in ("low", "high"))
+    both = taken.join(one, ["item", "low"]).join(two, ["item", "high"])
+    return both.withColumns({"a": F.least("at_low", "at_high"), "b": F.greatest("at_low", "at_high")}).select(
+        "item", "round", "visit", *_both_sides())
 
 
 def greedy_pairs(
     df: DataFrame, p: MineParams = MineParams(), item_rows: int = ITEM_ROWS,
-    group_rows: int = GROUP_ROWS, tail_rows: int = TAIL_ROWS,
+    group_rows: int = GROUP_ROWS, block_pairs: int = BLOCK_PAIRS,
 ) -> DataFrame:
     """Accepted pairs of every item: degree cap, class ratio and coverage cutoff, exactly.
 
-    Small items take one task each. Items above ``item_rows`` go round by round over all
-    tasks, until cutoff or until few records are open, and give the same pairs.
+    Small items take one task each. Items above ``item_rows`` go by blocks of rounds over all
+    tasks, until cutoff or until no pair can pass any more, and give the same pairs.
     """
     shared_dir(df.sparkSession)
     df = df.where(minable())
@@ -460,9 +624,9 @@ def greedy_pairs(
         return _finish(placed.withColumns(start), p, item_type)
     placed = placed.checkpoint()
     out = _finish(placed.where(F.col("n") <= item_rows).withColumns(start), p, item_type)
-    for part in _rounds(placed.where(F.col("n") > item_rows), p, group_rows, tail_rows):
-        out = out.unionByName(part)
-    return out
+    large = placed.where(F.col("n") > item_rows)
+    taken = list(_blocks(large, p, group_rows, block_pairs))
+    return out.unionByName(_with_sides(reduce(DataFrame.unionByName, taken), large)) if taken else out
 
 
 # --- after acceptance ------------------------------------------------------------------------

@@ -157,7 +157,7 @@ CHECKPOINTS = b.CHECKPOINT_PREDS + """, r AS (
 c AS (SELECT checkpoint, item, score AS a, greatest(lo, least(hi, pred)) AS b FROM r),
 scores AS (
   SELECT checkpoint, item, count(*) AS n,
-    round(1 - avg((a - b) * (a - b)) / nullif(var_pop(a) + var_pop(b) + pow(avg(a) - avg(b), 2), 0), 4) AS qwk
+    round(1 - avg((a - b) * (a - b)) / nullif(var_pop(a) + var_pop(b) + pow(avg(a) - avg(b), 2), 0), 4) + 0.0 AS qwk
   FROM c GROUP BY checkpoint, item),
 board AS (
   SELECT checkpoint, round(avg(qwk), 4) AS mean_qwk, count(qwk) AS items FROM scores GROUP BY checkpoint)"""

@@ -1,6 +1,7 @@
 """Mining against a plain sequential replay of the same visiting order."""
 
 import itertools
+from functools import partial
 
 import numpy as np
 import pytest
@@ -66,6 +67,7 @@ def mined(df, p, **sizes):
     return set(keys)
 
 
+BLOCKS = pm._blocks
 PARAMS = [
     pm.MineParams(ct_max=3, np_min=2, easy_prob=0.01, blacklist=((0, 0),)),
     pm.MineParams(ct_max=1, np_min=2, easy_prob=0.3, blacklist=()),
@@ -81,11 +83,37 @@ def test_in_task_equals_replay(spark, p):
     assert mined(df, p) == replay(df, p)
 
 
-@pytest.mark.parametrize("p, group_rows", [(PARAMS[0], 11), (PARAMS[3], 1000)])
-def test_round_by_round_equals_replay(spark, p, group_rows):
-    df = records(spark, [9, 30, 41])
+@pytest.mark.parametrize("p, group_rows, block_pairs", [
+    (PARAMS[0], 11, 40), (PARAMS[1], 1000, 10 ** 6), (PARAMS[2], 1000, 90), (PARAMS[4], 1000, 30)])
+def test_blocks_equal_replay(spark, p, group_rows, block_pairs):
+    """In a task, over tasks (blocks of more than twice ``block_pairs``), and in several pieces."""
+    df = records(spark, [9, 30, 41, 64])
     want = replay(df, p)
-    assert mined(df, p, item_rows=20, group_rows=group_rows, tail_rows=22) == want
+    assert mined(df, p, item_rows=20, group_rows=group_rows, block_pairs=block_pairs) == want
+
+
+@pytest.mark.parametrize("p", [PARAMS[0], PARAMS[3]])
+def test_repeated_acceptance_equals_replay(spark, p, monkeypatch):
+    """Blocks of many rounds go over tasks; with few repeats some are settled in part only."""
+    plan = pm._next_blocks
+    monkeypatch.setattr(pm, "_next_blocks", lambda *a: plan(*a).withColumn("wide", F.lit(True)))
+    df = records(spark, [50, 37], seed=11)
+    want = replay(df, p)
+    for repeats in (2, 20):
+        monkeypatch.setattr(pm, "_blocks", partial(BLOCKS, repeats=repeats))
+        assert mined(df, p, item_rows=20, group_rows=25, block_pairs=60) == want
+
+
+def test_skewed_item_with_perfect_predictions_ends_in_few_blocks(spark, monkeypatch):
+    """Nine of ten scores are zero and every pair is easy: one pair in five hundred passes."""
+    blocks = []
+    monkeypatch.setattr(pm, "_blocks", lambda *a: (blocks.append(t) or t for t in BLOCKS(*a)))
+    df = records(spark, [3000], scores=4, right=1.1, skew=[0.9, 0.04, 0.03, 0.03])
+    p = pm.TRAIN_PARAMS
+    want = mined(df, p)
+    assert len(want) > 500
+    assert mined(df, p, item_rows=100, block_pairs=1000) == want
+    assert len(blocks) <= 12
 
 
 def test_hopeless_item_ends(spark):
@@ -93,7 +121,7 @@ def test_hopeless_item_ends(spark):
     p = pm.MineParams(ct_max=3, np_min=2, easy_prob=0.01, blacklist=((0, 0),))
     want = replay(df, p)
     assert mined(df, p) == want
-    assert mined(df, p, item_rows=10, group_rows=1000, tail_rows=4) == want
+    assert mined(df, p, item_rows=10, group_rows=1000, block_pairs=30) == want
 
 
 def test_every_pair_is_met_once(spark):
@@ -137,7 +165,7 @@ def test_records_without_prediction_are_not_minable(spark, item_rows):
     p = PARAMS[0]
     want = replay(gaps.where("pred IS NOT NULL"), p)
     assert len(want) > 10
-    assert mined(gaps, p, item_rows=item_rows, group_rows=1000, tail_rows=9) == want
+    assert mined(gaps, p, item_rows=item_rows, group_rows=1000, block_pairs=90) == want
     report = pm.pair_coverage_report(gaps, pm.greedy_pairs(gaps, p)).collect()
     assert sum(r["records"] for r in report) == 90
 
