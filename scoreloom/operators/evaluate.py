@@ -5,13 +5,15 @@ from __future__ import annotations
 import json
 import pickle
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
+import pyarrow as pa
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.hashing import hash32
 from ..functions.vectors import dot
@@ -19,99 +21,187 @@ from ..session import shared_dir
 from ..sources.readers import scan_predictions
 from ..sources.writers import exists, sink_predictions
 from .agreement import qwk_weighted_scale
-from .encode import Encoder, embed_table
+from .encode import Encoder, embed_many, embed_table
 from .items import skip_existing
-from .learners import BoostedTrees, Learner, Ridge, products  # noqa: F401
+from .learners import Learner, Ridge, products
 from .sampling import kfold_assign
 from .scaling import dim_join, rank_within
 
-TASK_VALUES = 8_000_000   # embedding values of an item that is fitted inside one task
-SUM_VALUES = 16_000_000   # partial sums a task keeps before passing them on
-FIT_ROWS = 20_000         # rows of an item above that size on which a learner without sums is fitted
+SUM_VALUES = 16_000_000   # values of sums a task keeps before passing them on
+SHARD_ROWS = 1 << 20      # rows of a group whose sums are merged together
+FIT_ROWS = 20_000         # rows of a group on which a learner without sums is fitted
+PART_ROWS = 100_000       # rows such a learner predicts at once
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64)
+# --- one grouped fit for items of any size -----------------------------------------------------
 
+class _Sums:
+    """Sums of products of (x, 1, y) over the rows of one group and fold.
 
-def _fit_in_task(df: DataFrame, learner: Learner) -> DataFrame:
-    """All folds of an item in one task: every fold is predicted from the other folds."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = _matrix(pdf["embedding"]), pdf["score"].to_numpy(np.float64)
-        fold = pdf["fold"].to_numpy()
-        pred = np.full(len(y), np.nan)
-        for f in np.unique(fold):
-            held = fold == f
-            if not held.all():
-                pred[held] = learner.predict(learner.fit(x[~held], y[~held]), x[held])
-        return pdf[["item", "idx", "split", "fold", "score"]].assign(pred=pred)
+    Few rows stay as they are; from ``width`` rows on their products take less room. So what is
+    shipped is never larger than the rows, and a row is only counted, never kept, in a long stream.
+    """
 
-    return df.groupBy("item").applyInPandas(run, _schema(df))
+    def __init__(self, width: int):
+        self.width, self.x, self.y, self.held, self.gram = width, [], [], 0, None
 
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.x.append(x)
+        self.y.append(y)
+        self.held += len(x)
+        if self.held >= self.width + 2:
+            self.fold()
 
-def _schema(df: DataFrame) -> str:
-    types = dict(df.dtypes)
-    return ", ".join(f"{c} {types[c]}" for c in ("item", "idx", "split", "fold", "score")) + ", pred double"
+    def fold(self) -> None:
+        if self.held:
+            self._plus(products(np.concatenate(self.x).astype(np.float64), np.concatenate(self.y)))
+            self.x, self.y, self.held = [], [], 0
 
+    def _plus(self, gram: np.ndarray) -> None:
+        self.gram = gram if self.gram is None else self.gram + gram
 
-def _fit_by_sums(df: DataFrame, ridge: Ridge) -> DataFrame:
-    """Ridge for items of any size: tasks send sums of products per (item, fold), not rows.
+    def values(self) -> int:
+        return self.held * (self.width + 1) + (0 if self.gram is None else self.gram.size)
+
+    def packed(self) -> tuple[int, int, bytes]:
+        """(rows, bytes of a value, data) of rows, or (0, 8, upper triangle) of products."""
+        if self.gram is None:
+            x = np.concatenate(self.x)
+            return len(x), x.itemsize, x.tobytes() + np.concatenate(self.y).tobytes()
+        self.fold()
+        return 0, 8, self.gram[np.triu_indices(self.width + 2)].tobytes()
+
+    def unpack(self, rows: int, size: int, data: bytes) -> None:
+        if rows:
+            x = np.frombuffer(data, dtype=f"f{size}", count=rows * self.width).reshape(rows, self.width)
+            self.add(x, np.frombuffer(data, dtype="f8", offset=x.nbytes))
+            return
+        gram = np.zeros((self.width + 2, self.width + 2))
+        gram[np.triu_indices(len(gram))] = np.frombuffer(data, dtype="f8")
+        self._plus(gram + np.triu(gram, 1).T)
+
+    def total(self) -> np.ndarray:
+        self.fold()
+        return self.gram
 
-    The other folds of an item are its total minus the fold itself.
-    """
-    item_type = dict(df.dtypes)["item"]
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+SHIPPED = "fold int, salt int, width int, rows int, size int, data binary"
+
+
+def _ship(df: DataFrame, group: list[str], shards: int) -> DataFrame:
+    """Each task's sums per group and fold; ``salt`` deals the tasks over the shards of a group."""
+    keys = [*group, "fold"]
+    slim = df.select(*group, F.col("fold").cast("int").alias("fold"), F.col("score").cast("double").alias("score"), "embedding")
+    schema = StructType([*slim.select(*group).schema, *StructType.fromDDL(SHIPPED)])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
+        salt = TaskContext.get().partitionId() % shards
 
         def flush():
-            keys = list(sums)
-            yield pd.DataFrame({
-                "item": [k[0] for k in keys], "fold": [k[1] for k in keys],
-                "products": [sums[k][np.triu_indices(len(sums[k]))] for k in keys],
-            })
+            for key, own in sums.items():
+                yield _record((*key, salt, own.width, *own.packed()), arrow)
             sums.clear()
 
-        for pdf in batches:
-            for key, g in pdf.groupby(["item", "fold"]):
-                gram = products(_matrix(g["embedding"]), g["score"].to_numpy(np.float64))
-                sums[key] = sums[key] + gram if key in sums else gram
-            if sum(gram.size for gram in sums.values()) > SUM_VALUES:
+        for batch in batches:
+            pdf = batch.to_pandas()
+            for key, g in pdf.groupby(keys, dropna=False):
+                x = np.stack(g["embedding"].to_numpy())
+                key = tuple(v.item() if isinstance(v, np.generic) else v for v in key)
+                if key not in sums:
+                    sums[key] = _Sums(x.shape[1])
+                sums[key].add(x, g["score"].to_numpy(np.float64))
+            if sum(own.values() for own in sums.values()) > SUM_VALUES:
                 yield from flush()
-        if sums:
-            yield from flush()
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        flat = pdf.pivot(index="fold", columns="pos", values="v").to_numpy()
-        size = int((np.sqrt(8 * flat.shape[1] + 1) - 1) / 2)
-        total = flat.sum(axis=0)
-        out = []
-        for f, row in zip(sorted(pdf["fold"].unique()), flat):
-            gram = np.zeros((size, size))
-            gram[np.triu_indices(size)] = total - row
-            out.append((pdf["item"].iat[0], f, ridge.weights(gram + np.triu(gram, 1).T)))
-        return pd.DataFrame(out, columns=["item", "fold", "w"])
-
-    parts = df.select("item", "fold", "score", "embedding").mapInPandas(
-        partial, f"item {item_type}, fold int, products array<double>"
-    )
-    summed = parts.select("item", "fold", F.posexplode("products").alias("pos", "v")).groupBy(
-        "item", "fold", "pos"
-    ).agg(F.sum("v").alias("v"))
-    weights = summed.groupBy("item").applyInPandas(solve, f"item {item_type}, fold int, w array<double>")
+        yield from flush()
+
+    return slim.mapInArrow(run, schema)
+
+
+def _record(row: tuple, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
+
+
+def _streamed(batches: Iterator[pa.RecordBatch], n: int):
+    """(key of n columns, width, rows, size, data) row by row."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = [c[i].as_py() for c in batch.columns]
+            yield tuple(row[:n]), *row[-4:]
+
+
+def _merge(shipped: DataFrame, group: list[str]) -> DataFrame:
+    """One sum per group, fold and shard: rows stream by in order, so a task holds one sum at a time."""
+    keys = [*group, "fold", "salt"]
+    arrow = to_arrow_schema(shipped.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, None
+        for key, width, *data in _streamed(batches, len(keys)):
+            if key != now:
+                if own is not None:
+                    yield _record((*now, own.width, *own.packed()), arrow)
+                now, own = key, _Sums(width)
+            own.unpack(*data)
+        if own is not None:
+            yield _record((*now, own.width, *own.packed()), arrow)
+
+    return shipped.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, shipped.schema)
+
+
+def fit_folds(df: DataFrame, ridge: Ridge, group: list[str], shards: int) -> DataFrame:
+    """``group, fold, w``: for every fold the coefficients fitted on the group's other folds.
+
+    Tasks send sums, not more bytes than the rows have; groups of many rows are merged in shards first. The other
+    folds are the group's total minus the fold. A task holds the sums of one group, k times (width + 2) squared.
+    """
+    shipped = _ship(df, group, shards)
+    if shards > 1:
+        shipped = _merge(shipped, group)
+    keys = [*group, "fold"]
+    schema = StructType([*df.select(*group).schema, *StructType.fromDDL("fold int, w array<double>")])
+    arrow = to_arrow_schema(schema)
+
+    def solved(now, folds):
+        total = sum(own.total() for own in folds.values())
+        for fold, own in folds.items():
+            yield _record((*now, fold, ridge.weights(total - own.total()).tolist()), arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, folds = None, {}
+        for key, width, *data in _streamed(batches, len(keys)):
+            if key[:-1] != now:
+                yield from solved(now, folds)
+                now, folds = key[:-1], {}
+            folds.setdefault(key[-1], _Sums(width)).unpack(*data)
+        yield from solved(now, folds)
+
+    dealt = shipped.repartition(*group).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run, schema)
+
+
+def _fit_ridge(df: DataFrame, ridge: Ridge, group: list[str], shards: int, width: int) -> DataFrame:
+    weights = fit_folds(df, ridge, group, shards)
     size = F.size("embedding")
-    joined = dim_join(df, weights, ["item", "fold"])
+    # Coefficients are broadcast up to a bounded number of values.
+    joined = dim_join(df, weights, [*group, "fold"], max_rows=SUM_VALUES // (width + 1))
     pred = dot("embedding", F.slice("w", F.lit(1), size)) + F.element_at("w", size + 1)
-    return joined.select("item", "idx", "split", "fold", "score", pred.alias("pred"))
+    return joined.select(*group, "idx", "split", "fold", "score", pred.alias("pred"))
+
 
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.float64)
 
-def _fit_bounded(df: DataFrame, learner: Learner, limit: int, fit_rows: int) -> DataFrame:
-    """Any learner for items of any size: one task fits the models of an item on a bounded draw of its
-    rows, and the rows are predicted in parts of about ``limit`` rows."""
+
+def _fit_drawn(df: DataFrame, learner: Learner, group: list[str], fit_rows: int, part_rows: int) -> DataFrame:
+    """Any learner for items of any size: one task fits the models of a group on at most ``fit_rows`` of its
+    rows, drawn by key hash, and the rows are predicted in parts of about ``part_rows`` rows."""
     types = dict(df.dtypes)
-    key = ["item", "fold"]
+    key = [*group, "fold"]
+    head = ", ".join(f"{c} {types[c]}" for c in group)
     drawn = rank_within(
-        df, ["item"], hash32("fit", "item", "split", "idx"), ["split", "idx"], "_rank", "_size"
+        df, group, hash32("fit", *group, "split", "idx"), ["split", "idx"], "_rank", "_size"
     ).where(F.col("_rank") <= fit_rows)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -120,57 +210,49 @@ def _fit_bounded(df: DataFrame, learner: Learner, limit: int, fit_rows: int) ->
         for f in json.loads(pdf["folds"].iat[0]):
             other = fold != f
             if other.any():
-                rows.append((pdf["item"].iat[0], f, cloudpickle.dumps(learner.fit(x[other], y[other]))))
-        return pd.DataFrame(rows, columns=["item", "fold", "model"])
+                rows.append((*pdf[group].iloc[0], f, cloudpickle.dumps(learner.fit(x[other], y[other]))))
+        return pd.DataFrame(rows, columns=[*key, "model"])
 
-    folds = df.groupBy("item").agg(F.to_json(F.sort_array(F.collect_set("fold"))).alias("folds"))
-    models = dim_join(drawn, folds, ["item"]).groupBy("item").applyInPandas(
-        fit, f"item {types['item']}, fold {types['fold']}, model binary")
-    parts = F.ceil(F.col("_n") / F.lit(float(limit))).cast("int")
-    rows = df.withColumn("_part", F.pmod(F.xxhash64("split", "idx"), parts).cast("int"))
-    sizes = df.groupBy(*key).agg(F.max(parts).alias("_parts"))
-    copies = models.join(sizes, key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    folds = df.groupBy(*group).agg(F.to_json(F.sort_array(F.collect_set("fold"))).alias("folds"))
+    models = dim_join(drawn, folds, group).groupBy(*group).applyInPandas(fit, f"{head}, fold {types['fold']}, model binary")
+    sizes = df.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(part_rows))).cast("int").alias("_parts"))
+    rows = dim_join(df, sizes, key).withColumn("_part", F.pmod(F.xxhash64("split", "idx"), F.col("_parts")).cast("int")).drop("_parts")
+    numbers = sizes.select(*key, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    copies = models.join(numbers, key).select(*key, "model", "_part")
 
     def predict(pdf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        out = pdf[["item", "idx", "split", "fold", "score"]]
+        out = pdf[[*group, "idx", "split", "fold", "score"]]
         if pdf.empty or model.empty:
             return out.assign(pred=np.nan)
         return out.assign(pred=learner.predict(pickle.loads(model["model"].iat[0]), _matrix(pdf["embedding"])))
 
-    return rows.groupBy(*key, "_part").cogroup(copies.groupBy(*key, "_part")).applyInPandas(predict, _schema(df))
+    schema = head + "".join(f", {c} {types[c]}" for c in ("idx", "split", "fold", "score")) + ", pred double"
+    return rows.groupBy(*key, "_part").cogroup(copies.groupBy(*key, "_part")).applyInPandas(predict, schema)
 
 
 def predict_folds(
-    df: DataFrame, learner: Learner | None = None, item_rows: int | None = None,
-    sizes: tuple[int, int] | None = None, fit_rows: int = FIT_ROWS,
+    df: DataFrame, learner: Learner | None = None, group: list[str] = ("item",), shards: int | None = None,
+    sizes: tuple[int, int] | None = None, fit_rows: int = FIT_ROWS, part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """Predict every fold of every item from the item's other folds.
+    """Predict every fold of every group from the group's other folds, in the same way at every size.
 
-    Items above ``item_rows`` (by default, above 8 million embedding values) are fitted from
-    sums where the learner is a Ridge. Other learners fit such an item on ``fit_rows`` of its rows, drawn
-    by key hash, less the fold in question; every row of every item is predicted.
+    A Ridge is fitted on all rows, from sums. Other learners fit a group on ``fit_rows`` of its rows, drawn
+    by key hash, less the fold in question; every row of every group is predicted.
     """
-    learner = learner or Ridge()
-    largest, width = sizes or _sizes(df)
-    limit = item_rows if item_rows is not None else TASK_VALUES // max(1, width)
-    if largest <= limit:
-        return _fit_in_task(df, learner)
-    counts = df.groupBy("item").agg(F.count(F.lit(1)).alias("_n"))
-    sized = dim_join(df, counts, ["item"])
-    small = _fit_in_task(sized.where(F.col("_n") <= limit).drop("_n"), learner)
-    large = sized.where(F.col("_n") > limit)
-    if isinstance(learner, Ridge):
-        return small.unionByName(_fit_by_sums(large.drop("_n"), learner))
-    return small.unionByName(_fit_bounded(large, learner, limit, fit_rows))
-
-
-def _sizes(df: DataFrame) -> tuple[int, int]:
-    """Rows of the largest item, and length of the longest embedding."""
-    per_item = df.groupBy("item").agg(
+    learner, group = learner or Ridge(), list(group)
+    if not isinstance(learner, Ridge):
+        return _fit_drawn(df, learner, group, fit_rows, part_rows)
+    largest, width = sizes or _sizes(df, group)
+    return _fit_ridge(df, learner, group, shards or max(1, -(-largest // SHARD_ROWS)), width)
+
+
+def _sizes(df: DataFrame, group: list[str] = ("item",)) -> tuple[int, int]:
+    """Rows of the largest group, and length of the longest embedding."""
+    per_group = df.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")
     )
-    row = per_item.agg(F.max("n").alias("n"), F.max("d").alias("d")).head()
-    return row["n"] or 0, row["d"] or 0
+    row = per_group.agg(F.max("n").alias("n"), F.max("d").alias("d")).head()
+    return row["n"] or 0, max(0, row["d"] or 0)
 
 
 def _with_split(df: DataFrame) -> DataFrame:
@@ -179,23 +261,23 @@ def _with_split(df: DataFrame) -> DataFrame:
 
 def oof_predict(
     df: DataFrame, k: int = 5, learner: Learner | None = None, seed=42,
-    item_rows: int | None = None, fit_rows: int = FIT_ROWS,
+    shards: int | None = None, fit_rows: int = FIT_ROWS,
 ) -> DataFrame:
     """K-fold out-of-fold predictions per item; every item has folds of its own."""
     df = _with_split(df)
     sizes = _sizes(df)
     folds = kfold_assign(df, k, seed, largest=sizes[0])
-    return predict_folds(folds, learner, item_rows, sizes, fit_rows)
+    return predict_folds(folds, learner, shards=shards, sizes=sizes, fit_rows=fit_rows)
 
 
 def holdout_predict(
-    df: DataFrame, learner: Learner | None = None, item_rows: int | None = None,
+    df: DataFrame, learner: Learner | None = None, shards: int | None = None,
     fit_rows: int = FIT_ROWS,
 ) -> DataFrame:
     """Fit on the training rows of an item, predict its validation rows."""
     known = df.where(F.col("split").startswith("train") | F.col("split").startswith("valid"))
     folds = known.withColumn("fold", F.col("split").startswith("valid").cast("int"))
-    return predict_folds(folds, learner, item_rows, fit_rows=fit_rows).where(
+    return predict_folds(folds, learner, shards=shards, fit_rows=fit_rows).where(
         (F.col("fold") == 1) & F.col("pred").isNotNull() & ~F.isnan("pred")
     )
 
@@ -240,13 +322,21 @@ def scan_checkpoints(
 ) -> DataFrame:
     """Embed, predict out of fold and measure agreement, for every checkpoint and item.
 
-    ``encoders`` holds one encoder per checkpoint number; each adds one pass over the texts.
+    ``encoders`` holds one encoder per checkpoint number. The texts are read and split once for all of
+    them, the vectors are stored once, folds are drawn once, and one grouped fit serves all
+    checkpoints, items and folds.
     """
-    parts = [
-        generate_predictions(df, encoder, k, learner, seed).withColumn("checkpoint", F.lit(number))
-        for number, encoder in sorted(encoders.items())
-    ]
-    return score_checkpoints(reduce(DataFrame.unionByName, parts))
+    shared_dir(df.sparkSession)
+    vectors = _with_split(embed_many(df, encoders).checkpoint())
+    longest = F.array_max(F.transform(F.map_values("vectors"), lambda v: F.size(v)))
+    per_item = vectors.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.max(longest).alias("d"))
+    size = per_item.agg(F.max("n").alias("n"), F.max("d").alias("d")).head()
+    sizes = size["n"] or 0, size["d"] or 0
+    folds = kfold_assign(vectors, k, seed, largest=sizes[0])
+    keys = ["item", "idx", "split", "fold", "score"]
+    rows = folds.select(*keys, F.explode("vectors").alias("checkpoint", "embedding"))
+    preds = predict_folds(rows, learner, ["checkpoint", "item"], sizes=sizes)
+    return score_checkpoints(preds.select("checkpoint", "item", "idx", "score", F.rint("pred").cast("int").alias("pred")))
 
 
 def score_checkpoints(preds: DataFrame) -> DataFrame:

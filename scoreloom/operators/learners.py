@@ -1,4 +1,4 @@
-"""Learners of the evaluator: a linear model and boosted trees, both small enough for a task."""
+"""Learners of the evaluator: the protocol, and a linear model that is fitted from sums."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ class Learner(Protocol):
 class Ridge:
     """Linear least squares with a penalty on everything but the intercept.
 
-    It needs only sums over rows, so it also fits items of any size on all their rows.
+    It needs only sums over rows, so it fits items of any size on all their rows.
     """
 
     def __init__(self, alpha: float = 0.1):
@@ -43,74 +43,3 @@ def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     z = np.column_stack([x, np.ones(len(x)), y])
     return z.T @ z
 
-
-class BoostedTrees:
-    """Squared-error boosting of shallow trees over binned features.
-
-    The splits of one level come from one pair of histograms over (node, feature, bin), so a tree costs
-    as many passes as it has levels. Draws depend on the seed alone.
-    """
-
-    # Settings of the evaluator.
-    def __init__(
-        self, trees: int = 200, depth: int = 3, rate: float = 0.05, row_share: float = 0.3,
-        column_share: float = 0.9, bins: int = 32, seed: int = 42,
-    ):
-        self.trees, self.depth, self.rate = trees, depth, rate
-        self.row_share, self.column_share, self.bins, self.seed = row_share, column_share, bins, seed
-
-    def fit(self, x, y):
-        rng = np.random.default_rng(self.seed)
-        cuts = np.quantile(x, np.linspace(0, 1, self.bins + 1)[1:-1], axis=0).T
-        codes = self._codes(cuts, x)
-        n, d = codes.shape
-        first = float(y.mean())
-        now = np.full(n, first)
-        grown = []
-        for _ in range(self.trees):
-            rows = np.sort(rng.choice(n, max(1, int(n * self.row_share)), replace=False))
-            columns = np.sort(rng.choice(d, max(1, int(d * self.column_share)), replace=False))
-            tree = self._grow(codes[np.ix_(rows, columns)], (y - now)[rows], columns)
-            grown.append(tree)
-            now += tree[2][self._leaves(tree, codes)]
-        return cuts, first, grown
-
-    def _grow(self, codes: np.ndarray, gap: np.ndarray, columns: np.ndarray):
-        """(features, limits, leaf values) of a full tree; a node that is not split sends all left."""
-        n, d = codes.shape
-        features, limits = np.zeros(2 ** self.depth - 1, np.int64), np.full(2 ** self.depth - 1, self.bins)
-        node, cell = np.zeros(n, np.int64), codes + np.arange(d) * self.bins
-        for level in range(self.depth):
-            width, at = 2 ** level, 2 ** level - 1
-            place = (node[:, None] * (d * self.bins) + cell).ravel()
-            count = np.bincount(place, minlength=width * d * self.bins).reshape(width, d, self.bins).cumsum(axis=2)
-            total = np.bincount(place, np.repeat(gap, d), minlength=width * d * self.bins).reshape(width, d, self.bins).cumsum(axis=2)
-            all_n, all_sum = count[:, :, -1:], total[:, :, -1:]
-            gain = total ** 2 / (count + 1) + (all_sum - total) ** 2 / (all_n - count + 1) - all_sum ** 2 / (all_n + 1)
-            gain[(count == 0) | (count == all_n)] = 0
-            flat = gain.reshape(width, -1)
-            best = flat.argmax(axis=1)
-            split = flat[np.arange(width), best] > 1e-12
-            features[at: at + width] = columns[best // self.bins]
-            limits[at: at + width] = np.where(split, best % self.bins, self.bins)
-            node = 2 * node + (codes[np.arange(n), (best // self.bins)[node]] > limits[at + node])
-        leaves = 2 ** self.depth
-        sums, sizes = np.bincount(node, gap, minlength=leaves), np.bincount(node, minlength=leaves)
-        return features, limits, self.rate * sums / (sizes + 1)
-
-    def _leaves(self, tree, codes: np.ndarray) -> np.ndarray:
-        features, limits, _ = tree
-        node = np.zeros(len(codes), np.int64)
-        for level in range(self.depth):
-            at = 2 ** level - 1 + node
-            node = 2 * node + (codes[np.arange(len(codes)), features[at]] > limits[at])
-        return node
-
-    @staticmethod
-    def _codes(cuts: np.ndarray, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(c, column, side="left") for c, column in zip(cuts, x.T)], axis=1)
-
-    def predict(self, model, x):
-        cuts, first, grown = model
-        codes = self._codes(cuts, x)
-        return first + sum(t[2][self._leaves(t, codes)] for t in grown)

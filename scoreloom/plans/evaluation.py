@@ -86,14 +86,14 @@ def holdout_predict(spark, sf):
 
 
 # What can be checked in SQL about the learned predictions: every record is predicted once, in
-# the right fold, and the in-task and the summed fit agree.
+# the right fold, and sums that are merged in shards first give the same.
 @query("oof_fold_summary", f"""WITH {VECTOR_FOLDS}
 SELECT item, fold, count(*) AS records, count(*) AS predicted, sum(score)::BIGINT AS scores, true AS both_fits_agree
 FROM folds GROUP BY item, fold""")
 def oof_fold_summary(spark, sf):
     v = b.vectors(spark, sf)
     rows = ev.oof_predict(v)
-    sums = ev.oof_predict(v, item_rows=0).select("item", "idx", F.col("pred").alias("other"))
+    sums = ev.oof_predict(v, shards=3).select("item", "idx", F.col("pred").alias("other"))
     same = F.abs(F.col("pred") - F.col("other")) < 1e-6
     return rows.join(sums, ["item", "idx"]).groupBy("item", "fold").agg(
         F.count(F.lit(1)).alias("records"), F.count_if(~F.isnan("pred")).alias("predicted"),
@@ -107,7 +107,7 @@ FROM vectors WHERE idx % 4 = 0 GROUP BY item""")
 def holdout_summary(spark, sf):
     part = F.when(F.col("idx") % 4 == 0, "valid").otherwise("train")
     v = b.vectors(spark, sf).withColumn("split", part)
-    sums = ev.holdout_predict(v, item_rows=0).select("item", "idx", F.col("pred").alias("other"))
+    sums = ev.holdout_predict(v, shards=3).select("item", "idx", F.col("pred").alias("other"))
     same = F.abs(F.col("pred") - F.col("other")) < 1e-6
     return ev.holdout_predict(v).join(sums, ["item", "idx"]).groupBy("item").agg(
         F.count(F.lit(1)).alias("predicted"), F.sum("score").alias("scores"),

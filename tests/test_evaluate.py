@@ -28,14 +28,49 @@ def preds(df):
     return {(r["item"], r["idx"]): r["pred"] for r in df.collect()}
 
 
-def test_folds_from_sums_equal_folds_from_rows(embedded):
+def test_shards_do_not_matter(embedded):
     small = preds(ev.oof_predict(embedded))
-    large = preds(ev.oof_predict(embedded, item_rows=10))
+    large = preds(ev.oof_predict(embedded.repartition(7), shards=4))
     assert small.keys() == large.keys() and len(small) == 133
     for key, value in small.items():
         assert large[key] == pytest.approx(value, abs=1e-6)
 
 
+@pytest.mark.parametrize("rows", [0, 1, 5, 7, 8, 9, 40])
+def test_shipped_sums_are_no_larger_than_rows(rows):
+    """Packed, unpacked and merged in any order, sums are those of all rows."""
+    rng = np.random.default_rng(rows)
+    x, y = rng.normal(size=(rows + 30, 6)).astype(np.float32), rng.normal(size=rows + 30)
+    merged = ev._Sums(6)
+    for part in (slice(0, rows), slice(rows, rows + 30)):
+        if len(x[part]):
+            own = ev._Sums(6)
+            for i in range(0, len(x[part]), 3):
+                own.add(x[part][i:i + 3], y[part][i:i + 3])
+            packed = own.packed()
+            assert len(packed[2]) <= max(x[part].nbytes + y[part].nbytes, 8 * 36)
+            merged.unpack(*packed)
+    assert np.allclose(merged.total(), ev.products(x.astype(float), y))
+
+
+def test_wide_embeddings_ship_less_than_their_rows(spark):
+    """The shipped bytes of many dimensions, and predictions that equal a plain fit."""
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(2500, 512)).astype(np.float32), rng.integers(0, 5, 2500)
+    df = spark.createDataFrame([(1, i, int(y[i]), x[i].tolist()) for i in range(2500)],
+                               "item int, idx bigint, score int, embedding array<float>").coalesce(1)
+    folds = df.withColumns({"fold": F.lit(0), "split": F.lit("train")})
+    shipped = ev._ship(folds, ["item"], 1).agg(F.sum(F.length("data"))).head()[0]
+    assert shipped < 0.5 * x.nbytes
+    out = {r["idx"]: r for r in ev.oof_predict(df, 2).collect()}
+    fold = np.array([out[i]["fold"] for i in range(2500)])
+    z = np.column_stack([x.astype(float), np.ones(2500)])
+    for f in (0, 1):
+        a = z[fold != f]
+        w = np.linalg.solve(a.T @ a + np.diag([0.1] * 512 + [0]), a.T @ y[fold != f])
+        assert np.allclose([out[i]["pred"] for i in np.nonzero(fold == f)[0]], z[fold == f] @ w, atol=1e-6)
+
+
 def test_fold_is_predicted_from_the_others(embedded):
     out = ev.oof_predict(embedded.where("item = 2")).toPandas().set_index("idx")
     data = embedded.where("item = 2").toPandas().set_index("idx")
@@ -50,7 +85,7 @@ def test_fold_is_predicted_from_the_others(embedded):
 
 
 def test_holdout(embedded):
-    small, large = (ev.holdout_predict(embedded, item_rows=n) for n in (1000, 10))
+    small, large = (ev.holdout_predict(embedded, shards=n) for n in (1, 3))
     assert {r["split"] for r in small.collect()} == {"valid"}
     a, b = preds(small), preds(large)
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-6) for k in a)
@@ -69,27 +104,58 @@ def mean_learner():
     return Mean()
 
 
-def test_other_learners_at_any_size(embedded):
-    want = {(r["item"], r["idx"]): r["pred"] for r in ev.oof_predict(embedded, learner=mean_learner()).collect()}
-    assert len(want) == 133
-    got = {(r["item"], r["idx"]): r["pred"] for r in ev.oof_predict(embedded, learner=mean_learner(), item_rows=10).collect()}
-    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], nan_ok=True) for k in want)
-    some = ev.oof_predict(embedded, learner=mean_learner(), item_rows=10, fit_rows=7).where("pred IS NOT NULL AND NOT isnan(pred)")
-    assert some.count() >= 130
-
-
-def test_boosted_trees(embedded):
-    trees = ev.BoostedTrees(trees=60)
-    out = ev.holdout_predict(embedded.where("item = 1"), trees)
-    assert ev.item_qwk(out).head()["qwk"] > 0.5
-    large = ev.oof_predict(embedded.where("item = 1"), learner=trees, item_rows=20).collect()
-    small = {r["idx"]: r["pred"] for r in ev.oof_predict(embedded.where("item = 1"), learner=trees).collect()}
-    assert len(large) == len(small)
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(400, 5))
-    y = np.where(x[:, 1] > 0, 3.0, 1.0) + np.where(x[:, 3] > 1, 2.0, 0.0)
-    full = ev.BoostedTrees()
-    assert np.abs(full.predict(full.fit(x, y), x) - y).mean() < 0.1
+def test_other_learners(embedded):
+    """All rows of a small item are drawn; a bounded draw still predicts every row."""
+    got = preds(ev.oof_predict(embedded, learner=mean_learner()))
+    rows = {(r["item"], r["idx"]): r for r in ev.oof_predict(embedded).collect()}
+    assert got.keys() == rows.keys()
+    for (item, idx), value in got.items():
+        others = [r["score"] for r in rows.values() if r["item"] == item and r["fold"] != rows[item, idx]["fold"]]
+        assert value == pytest.approx(np.mean(others))
+    some = ev.predict_folds(
+        embedded.withColumn("fold", (F.col("idx") % 4).cast("int")), mean_learner(), fit_rows=7, part_rows=5)
+    assert some.count() == 133 and some.where("pred IS NOT NULL AND NOT isnan(pred)").count() >= 130
+
+
+def test_batches_by_length():
+    sizes = np.array([5, 1, 900, 2, 2, 700, 1, 40])
+    parts = list(en.batches_by_length(sizes, 100))
+    assert sorted(i for p in parts for i in p) == list(range(8))
+    assert all(len(p) * sizes[p].max() <= 100 or len(p) == 1 for p in parts)
+    assert len(parts) == 4
+    assert list(en.batches_by_length(sizes[:0], 100)) == []
+
+
+def test_vectors_do_not_depend_on_batches(spark):
+    """Texts from one word to a megabyte; the encoder sees a bounded number of words, or one text."""
+    class Watched(en.HashEncoder):
+        def encode_prepared(self, prepared):
+            if prepared[0] > 1 and prepared[0] * np.bincount(prepared[1]).max() > 3000:
+                raise AssertionError("too many words at once")
+            return super().encode_prepared(prepared)
+
+    rows = [(1, i, 0, f"w{i} " * n) for i, n in enumerate([1, 200_000, 3, 0, 50, 2000, 7, 1, 900])]
+    df = spark.createDataFrame([(a, b, c, t.strip()) for a, b, c, t in rows], "item int, idx int, score int, text string")
+    got = {r["idx"]: r["embedding"] for r in en.embed_table(df, Watched(16), batch_tokens=3000).collect()}
+    for _, i, _, text in rows:
+        assert np.allclose(got[i], en.HashEncoder(16).encode([text])[0])
+
+
+def test_one_pass_for_all_checkpoints(spark):
+    rows = [(i % 2, i, i % 3, f"word{i % 3} and {i % 5} more {i}") for i in range(80)]
+    df = spark.createDataFrame(rows, "item int, idx bigint, score int, text string")
+    encoders = {50: en.HashEncoder(4), 100: en.HashEncoder(8), 150: en.HashEncoder(8)}
+    many = {r["idx"]: r["vectors"] for r in en.embed_many(df, encoders).collect()}
+    for number, encoder in encoders.items():
+        assert all(np.allclose(many[i][number], encoder.encode([t])[0]) for _, i, _, t in rows)
+    got = {(r["checkpoint"], r["item"]): (r["n"], r["qwk"]) for r in ev.scan_checkpoints(df, encoders).collect()}
+    want = {}
+    for number, encoder in encoders.items():
+        scores = ev.item_qwk(ev.generate_predictions(df, encoder))
+        want |= {(number, r["item"]): (r["n"], r["qwk"]) for r in scores.collect()}
+    assert got == want and len(got) == 6
+    plan = en.embed_many(df, encoders)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1
 
 
 def test_saved_predictions_are_not_made_again(spark, embedded):
