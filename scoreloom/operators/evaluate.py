@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,8 +19,8 @@ from pyspark.sql.types import StructType
 from ..functions.hashing import hash32
 from ..functions.vectors import dot
 from ..session import shared_dir
-from ..sources.readers import scan_predictions
-from ..sources.writers import exists, sink_predictions
+from ..sources.readers import finished_items
+from ..sources.writers import manifest, present, sink_predictions
 from .agreement import qwk_weighted_scale
 from .encode import Encoder, embed_many, embed_table
 from .items import skip_existing
@@ -291,28 +292,36 @@ def item_qwk(preds: DataFrame, keys: list[str] = ("item",)) -> DataFrame:
 
 def generate_predictions(
     df: DataFrame, encoder: Encoder | None = None, k: int = 5, learner: Learner | None = None,
-    seed=42, done: DataFrame | None = None, overwrite: bool = False,
-    root: str | None = None, model: str = "default", trait: str | None = None,
+    seed=42, done: DataFrame | None = None, overwrite: bool = False, root: str | None = None,
+    model: str = "default", trait: str | None = None, step: int | None = None, batches: int = 1,
 ) -> DataFrame:
     """Embed, predict out of fold and round, for items without results so far.
 
-    With a ``root`` the predictions are saved there by model, trait and item, and items that it already holds
-    count as done; a second call does nothing new. The embeddings are stored once: encoding is the costly
-    part and must survive lost executors.
+    With a ``root`` the predictions are saved there by model, trait and item, and items that its manifest calls
+    finished count as done: a second call does nothing new, one after a broken run makes what is missing.
+    Items are saved in ``batches`` parts, so that a run that is stopped keeps the parts it has ended. The embeddings
+    are stored once: encoding is the costly part and must survive lost executors.
     """
     spark = df.sparkSession
     shared_dir(spark)
-    if root is not None and exists(spark, root):
-        saved = scan_predictions(spark, root, model, trait).select("item")
+    if root is not None and present(spark, manifest(root)):
+        # Stored, so that no later plan over the same files is taken for what they held before.
+        saved = finished_items(spark, root, model, trait).select("item").checkpoint()
         done = saved if done is None else done.select("item").unionByName(saved)
     todo = df if done is None else skip_existing(df, done, overwrite)
-    preds = oof_predict(embed_table(todo, encoder).checkpoint(), k, learner, seed)
-    out = preds.select("item", "idx", "score", F.rint("pred").cast("int").alias("pred"))
+
+    def predicted(part: DataFrame) -> DataFrame:
+        preds = oof_predict(embed_table(part, encoder).checkpoint(), k, learner, seed)
+        return preds.select("item", "idx", "score", F.rint("pred").cast("int").alias("pred"))
+
     if root is None:
-        return out
-    out = out.checkpoint()
-    sink_predictions(out, root, model, trait)
-    return out
+        return predicted(todo)
+    parts = []
+    for n in range(batches):
+        part = todo if batches == 1 else todo.where(F.pmod(F.xxhash64("item"), F.lit(batches)) == n)
+        parts.append(predicted(part).checkpoint())
+        sink_predictions(parts[-1], root, model, trait, step)
+    return reduce(DataFrame.unionByName, parts)
 
 
 # --- checkpoints -------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash32
-from .scaling import dim_join, rank_within, running_totals
+from .scaling import dim_join, numbered, rank_within, running_totals
 
 RADIX = 1 << 16
 
@@ -120,27 +120,13 @@ def kfold_assign(
     return ranked.withColumn("fold", fold.cast("int")).drop("_rank", "_size")
 
 
-def load_positions(df: DataFrame, group_rows: int | None = None) -> DataFrame:
+def load_positions(df: DataFrame) -> DataFrame:
     """0-based position in load order: items ascending, training rows first, then by index."""
-    sizes = df.groupBy("item").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("idx").alias("_lo"), F.max("idx").alias("_hi")
-    )
-    placed = running_totals(sizes, "item", ["_n"]).select(
-        "item", "_lo", "_hi", (F.col("cum__n") - F.col("_n")).alias("_start")
-    )
-    rows = dim_join(df, placed, ["item"])
-    half = float(1 << 31)
-    inside = F.floor((F.col("idx") - F.col("_lo")) * half / (F.col("_hi") - F.col("_lo") + 1))
     later = (F.col("split") != "train").cast("int")
-    ranked = rank_within(
-        rows, ["item"], later * F.lit(1 << 31) + inside, ["idx"], "_rank", "_size", group_rows
-    )
-    return ranked.withColumn("position", F.col("_start") + F.col("_rank") - 1).drop(
-        "_lo", "_hi", "_start", "_rank", "_size"
-    )
+    keyed = df.withColumn("_later", later)
+    return numbered(keyed, ["item", "_later", "idx"]).drop("_later")
 
 
-def batch_assign(df: DataFrame, batch_size: int = 8, group_rows: int | None = None) -> DataFrame:
+def batch_assign(df: DataFrame, batch_size: int = 8) -> DataFrame:
     """Batch number of each record over the flattened items."""
-    placed = load_positions(df, group_rows)
-    return placed.withColumn("batch_index", F.floor(F.col("position") / batch_size))
+    return load_positions(df).withColumn("batch_index", F.floor(F.col("position") / batch_size))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
@@ -10,9 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..session import shared_dir
+from .scaling import numbered
 
-VOCABULARY = 32_000
 PAD_ID = 0
+UNKNOWN = 1
+FIRST_ID = 16                # ids below are for padding and special tokens
+FREQUENT_BYTES = 16 << 20    # words and ids that are broadcast, about
+WORD_BYTES = 32              # what a word takes besides its characters
 IGNORED = -100
 
 
@@ -22,22 +28,59 @@ class Tokenizer(Protocol):
     def encode_batch(self, texts: list[str]) -> list[list[int]]: ...
 
 
-def hashed_ids(tokens: Column, vocabulary: int = VOCABULARY) -> Column:
-    """Words to hashed ids 1..vocabulary-1, all inside the JVM."""
-    return F.transform(
-        tokens,
-        lambda w: (
-            F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % (vocabulary - 1) + 1
-        ).cast("int"),
-    )
-
+def build_vocabulary(df: DataFrame, *texts: str) -> DataFrame:
+    """``word, n, id`` of every word of the texts: ids are dense from ``FIRST_ID``, the most frequent first, equals by word.
 
-def token_ids(text: Column, tokenizer: Tokenizer | None = None, max_length: int | None = None) -> Column:
-    """Ids of a text, at most ``max_length``; whitespace words with hashed ids by default."""
-    if tokenizer is None:
-        tokens = words(text)
-        return hashed_ids(F.slice(tokens, 1, max_length) if max_length else tokens)
+    Words are counted with partial sums and numbered by ranges of the count, so the dictionary stays
+    distributed whatever its size.
+    """
+    found = [df.select(F.explode(words(t)).alias("word")) for t in texts or ("text",)]
+    counts = reduce(DataFrame.unionByName, found).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    ranked = numbered(counts, [F.desc("n"), F.asc("word")], "_rank")
+    return ranked.select("word", "n", (F.col("_rank") + FIRST_ID).cast("int").alias("id"))
+
+
+def frequent_below(vocabulary: DataFrame, limit: int = FREQUENT_BYTES) -> int:
+    """The largest power of two below which all ids' words together take at most ``limit`` bytes."""
+    band = F.floor(F.log2("id")).cast("int")     # at most 31 bands
+    sizes = vocabulary.groupBy(band.alias("band")).agg(F.sum(F.octet_length("word") + WORD_BYTES).alias("bytes")).collect()
+    total, below = 0, 1
+    for r in sorted(sizes):
+        total += r["bytes"]
+        if total > limit:
+            break
+        below = 2 << r["band"]
+    return below
+
+
+def vocabulary_ids(
+    df: DataFrame, vocabulary: DataFrame, text: str, out: str, max_length: int | None = None, limit: int = FREQUENT_BYTES
+) -> DataFrame:
+    """Add the ids of a text's words; words that the vocabulary lacks get ``UNKNOWN``, a null text null.
 
+    Frequent words are joined by a broadcast of bounded bytes; the rest, of which none is frequent, by a
+    shuffle. Only (row, place, id) travels back to the text.
+    """
+    shared_dir(df.sparkSession)
+    below = frequent_below(vocabulary, limit)
+    slim = vocabulary.select("word", "id")
+    rows = df.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
+    all_words = words(text)
+    kept = F.slice(all_words, 1, max_length) if max_length else all_words
+    tokens = rows.select("_row", F.posexplode(kept).alias("_place", "word"))
+    found = tokens.join(F.broadcast(slim.where(F.col("id") < below)), "word", "left")
+    rare = slim.where(F.col("id") >= below)
+    if not rare.isEmpty():
+        missed = found.where("id IS NULL").drop("id").join(rare, "word", "left")
+        found = found.where("id IS NOT NULL").unionByName(missed)
+    placed = F.struct("_place", F.coalesce("id", F.lit(UNKNOWN)).alias("id"))
+    ids = found.groupBy("_row").agg(F.sort_array(F.collect_list(placed)).alias("_ids"))
+    listed = F.coalesce(F.transform("_ids", lambda t: t["id"]), F.array().cast("array<int>"))
+    return rows.join(ids, "_row", "left").withColumn(out, F.when(F.col(text).isNotNull(), listed)).drop("_row", "_ids")
+
+
+def token_ids(text: Column, tokenizer: Tokenizer, max_length: int | None = None) -> Column:
+    """Ids of a text by a tokenizer, at most ``max_length``."""
     @F.pandas_udf("array<int>")
     def encode(texts: pd.Series) -> pd.Series:
         return pd.Series(tokenizer.encode_batch(texts.fillna("").tolist()))
@@ -48,24 +91,33 @@ def token_ids(text: Column, tokenizer: Tokenizer | None = None, max_length: int
 
 def tokenize_text(
     df: DataFrame, text: str = "text", tokenizer: Tokenizer | None = None,
-    max_length: int | None = None, suffix: str = "",
+    max_length: int | None = None, suffix: str = "", vocabulary: DataFrame | None = None,
 ) -> DataFrame:
-    """Add input_ids and attention_mask; a table that has them is returned as it is."""
+    """Add input_ids and attention_mask; a table that has them is returned as it is.
+
+    Without a tokenizer, words get the ids of the vocabulary, by default the table's own.
+    """
     ids, mask = f"input_ids{suffix}", f"attention_mask{suffix}"
     if ids in df.columns and mask in df.columns:
         return df
-    coded = df.withColumn(ids, token_ids(F.col(text), tokenizer, max_length))
+    if tokenizer is not None:
+        coded = df.withColumn(ids, token_ids(F.col(text), tokenizer, max_length))
+    else:
+        coded = vocabulary_ids(df, build_vocabulary(df, text) if vocabulary is None else vocabulary, text, ids, max_length)
     return coded.withColumn(mask, F.transform(ids, lambda t: F.lit(1)))
 
 
 def tokenize_pairs(
-    df: DataFrame, texts: tuple[str, str] = ("txt1", "txt2"), tokenizer: Tokenizer | None = None
+    df: DataFrame, texts: tuple[str, str] = ("txt1", "txt2"), tokenizer: Tokenizer | None = None,
+    vocabulary: DataFrame | None = None,
 ) -> DataFrame:
-    """Both texts of a pair, with the label columns and nothing else."""
+    """Both texts of a pair, with the label columns and nothing else; one vocabulary serves both."""
     labels = [c for c in ("diff_abs", "diff", "diff_norm") if c in df.columns]
     out = df
+    if tokenizer is None and vocabulary is None:
+        vocabulary = build_vocabulary(df, *texts)
     for i, text in enumerate(texts, 1):
-        out = tokenize_text(out, text, tokenizer, suffix=f"_{i}")
+        out = tokenize_text(out, text, tokenizer, suffix=f"_{i}", vocabulary=vocabulary)
     names = [f"{c}_{i}" for i in (1, 2) for c in ("input_ids", "attention_mask")]
     if "diff_abs" not in labels and "diff" in labels:
         out = out.withColumn("diff_abs", F.col("diff"))

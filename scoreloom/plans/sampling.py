@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import sampling as sm
+from ..session import scratch_path
+from ..sources import readers, writers
 from . import bindings as b
 from .catalog import query
 
@@ -18,6 +20,15 @@ def shuffle_rows(spark, sf):
     return sm.shuffled_positions(b.ratings(spark, sf), SEED, KEYS)
 
 
+@query("stored_shuffle", f"""WITH {SEEDED}
+SELECT item, idx, score, row_number() OVER (ORDER BY u, item, idx) - 1 AS position FROM seeded""")
+def stored_shuffle(spark, sf):
+    """The table written in its seeded order and read back."""
+    path = scratch_path(spark, "shuffled")
+    writers.sink_shuffled(b.ratings(spark, sf), path, SEED, KEYS)
+    return readers.scan_shuffled(spark, path).select("item", "idx", "score", "position")
+
+
 @query("split_by_item", f"""WITH {b.RATINGS}, i AS (
   SELECT item, row_number() OVER (ORDER BY {b.u32(f"'{SEED}|' || item")}, item) AS r, count(*) OVER () AS n
   FROM (SELECT DISTINCT item FROM ratings))

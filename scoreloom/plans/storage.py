@@ -92,9 +92,22 @@ FROM item_qwk, (SELECT unnest([20, 40]) AS s)""")
 def metrics_log(spark, sf):
     path = scratch_path(spark, "metrics")
     per_item = ag.qwk(b.ratings(spark, sf), ["item"], "score", "pred")
-    for step in (20, 40):
+    for step in (20, 40, 20):   # a step that is logged again does not double
         writers.metrics_log(per_item.select(
             F.concat(F.lit("QWK_"), F.col("item").cast("string")).alias("metric"),
             F.round("qwk", 4).alias("value"), F.lit(step).alias("step"),
         ), path)
-    return spark.read.schema(schemas.METRICS).parquet(path)
+    return readers.scan_metrics(spark, path)
+
+
+@query("finished_items", f"""WITH {b.RATINGS}
+SELECT CAST(item AS INT) AS item, count(*) AS rows, CAST(7 AS BIGINT) AS step FROM ratings WHERE item % 3 <> 1 GROUP BY item""")
+def finished_items(spark, sf):
+    """Items written twice count once; those whose rows changed behind the manifest do not count."""
+    path = scratch_path(spark, "preds")
+    r = b.ratings(spark, sf)
+    for _ in range(2):
+        writers.sink_predictions(r, path, "weak", step=7)
+    more = r.where("item % 3 = 1").select("idx", "score", "pred", F.lit("weak").alias("model"), F.lit("none").alias("trait"), "item")
+    more.write.partitionBy("model", "trait", "item").mode("append").csv(path)
+    return readers.finished_items(spark, path, "weak")

@@ -9,22 +9,36 @@ from . import bindings as b
 from .catalog import query
 
 WORDS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')"
-IDS = f"list_transform({WORDS}, lambda w: {b.u32('w')} % {tk.VOCABULARY - 1} + 1)"
-TOKENS = f"tokens AS (SELECT doc_id, {IDS} AS ids FROM documents)"
+TOKENS = f"""split_words AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+vocabulary AS (
+  SELECT w, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, w) + {tk.FIRST_ID - 1} AS INT) AS id
+  FROM (SELECT unnest(ws) AS w FROM split_words) GROUP BY w),
+coded AS (
+  SELECT doc_id, list(id ORDER BY i) AS ids
+  FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM split_words) JOIN vocabulary USING (w)
+  GROUP BY doc_id),
+tokens AS (SELECT doc_id, coalesce(ids, []) AS ids FROM split_words LEFT JOIN coded USING (doc_id))"""
 
 
 def digest(ids):
     return F.md5(F.array_join(F.transform(ids, lambda t: t.cast("string")), ","))
 
 
+@query("build_vocabulary", f"WITH {TOKENS} SELECT w AS word, n, id FROM vocabulary")
+def build_vocabulary(spark, sf):
+    return tk.build_vocabulary(b.documents(spark, sf))
+
+
 @query("tokenize_text", f"""WITH {TOKENS}
 SELECT doc_id, CAST(len(ids) AS INT) AS n, CAST(len(ids) AS BIGINT) AS mask_sum,
        md5(array_to_string(ids, ',')) AS ids,
        md5(array_to_string(ids[1:64], ',')) AS cut_ids FROM tokens""")
 def tokenize_text(spark, sf):
-    docs = tk.tokenize_text(b.documents(spark, sf))
+    source = b.documents(spark, sf).select("doc_id", "text")
+    known = tk.build_vocabulary(source)
+    docs = tk.tokenize_text(source, vocabulary=known)
     again = tk.tokenize_text(docs)   # already tokenized: unchanged
-    cut = tk.tokenize_text(again, max_length=64, suffix="_cut")
+    cut = tk.tokenize_text(again, max_length=64, suffix="_cut", vocabulary=known)
     return cut.select(
         "doc_id", F.size("input_ids").alias("n"),
         F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, m: a + m).alias("mask_sum"),
@@ -64,7 +78,8 @@ SELECT md5(array_to_string(ids1, ',')) AS ids1, md5(array_to_string(ids2, ','))
        CAST(len(ids1) AS INT) AS mask1, CAST(len(ids2) AS INT) AS mask2, CAST(diff AS INT) AS diff_abs
 FROM pair_tokens""")
 def tokenize_pairs(spark, sf):
-    return tk.tokenize_pairs(text_pairs(spark, sf)).select(
+    known = tk.build_vocabulary(b.documents(spark, sf))
+    return tk.tokenize_pairs(text_pairs(spark, sf), vocabulary=known).select(
         digest(F.col("input_ids_1")).alias("ids1"), digest(F.col("input_ids_2")).alias("ids2"),
         F.size("attention_mask_1").alias("mask1"), F.size("attention_mask_2").alias("mask2"), "diff_abs",
     )

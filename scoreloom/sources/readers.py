@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.items import item_agreement, last_predictions
-from . import schemas
+from . import schemas, writers
 
 
 SPREAD_BYTES = 32 << 20
@@ -67,8 +67,36 @@ def scan_predictions(
 
     No file for an item means no rows for it.
     """
-    rows = (
-        spark.read.schema(f"{schemas.PREDICTIONS}, model string, trait string, item int")
-        .csv(root).where((F.col("model") == model) & (F.col("trait") == (trait or "none")))
-    )
-    return last_predictions(rows.withColumn("pos", listing_order()))
+    return last_predictions(prediction_rows(spark, root, model, trait).withColumn("pos", listing_order()))
+
+
+def prediction_rows(spark: SparkSession, root: str, model: str, trait: str | None = None) -> DataFrame:
+    rows = spark.read.schema(f"{schemas.PREDICTIONS}, model string, trait string, item int").csv(root)
+    return rows.where((F.col("model") == model) & (F.col("trait") == (trait or "none")))
+
+
+def finished_items(spark: SparkSession, root: str, model: str, trait: str | None = None) -> DataFrame:
+    """``item, rows, step`` of the items whose stored predictions agree with the manifest."""
+    listed = spark.read.schema("rows bigint, step bigint, model string, trait string, item int").parquet(writers.manifest(root))
+    listed = listed.where((F.col("model") == model) & (F.col("trait") == (trait or "none")))
+    stored = prediction_rows(spark, root, model, trait).groupBy("item").agg(F.count(F.lit(1)).alias("stored"))
+    return listed.join(stored, "item").where("rows = stored").select("item", "rows", "step")
+
+
+def scan_metrics(spark: SparkSession, root: str, run: str | None = None) -> DataFrame:
+    """(metric, value, step) of one run or of all."""
+    rows = spark.read.schema(f"{schemas.METRICS}, run string").parquet(root)
+    return (rows if run is None else rows.where(F.col("run") == run)).select("metric", "value", "step")
+
+
+def scan_shuffled(spark: SparkSession, root: str, start: int = 0, stop: int | None = None) -> DataFrame:
+    """Rows of a table stored in shuffled order, with their ``position``; of positions start..stop-1 only, if
+    given, from the ranges that hold them."""
+    root = root.rstrip("/")
+    rows = spark.read.parquet(f"{root}/rows")
+    if start > 0 or stop is not None:
+        wanted = F.col("last") >= start if stop is None else (F.col("last") >= start) & (F.col("first") < stop)
+        held = [r["range"] for r in spark.read.parquet(f"{root}/ranges").where(wanted).collect()]
+        rows = rows.where(F.col("range").isin(held) & (F.col("position") >= start))
+        rows = rows if stop is None else rows.where(F.col("position") < stop)
+    return rows.drop("range")

@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.hashing import hash32
+from ..operators.scaling import numbered
 from ..session import shared_dir
+from . import readers
 
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Has a finished table been written at the path?"""
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
-    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+    return present(spark, f"{path.rstrip('/')}/_SUCCESS")
+
+
+def present(spark: SparkSession, path: str) -> bool:
+    """Is there a file or folder? Writes that replace folders one by one leave no mark of success."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def balanced(df: DataFrame, *keys: str) -> DataFrame:
@@ -27,18 +35,30 @@ def sink_item_split_jsonl(df: DataFrame, root: str, mode: str = "errorifexists")
 
 
 def sink_predictions(
-    df: DataFrame, root: str, model: str, trait: str | None = None, mode: str = "append"
+    df: DataFrame, root: str, model: str, trait: str | None = None, step: int | None = None
 ) -> None:
-    """idx, score, rounded pred as headerless CSV below ``model=*/trait=*/item=*``."""
+    """idx, score, rounded pred as headerless CSV below ``model=*/trait=*/item=*``, and a manifest.
+
+    Items that are written again are replaced as a whole, others stay. When the rows are in place, the
+    manifest gets a row per item with their number as read back: an item counts as finished
+    only if its rows agree with it, so what a broken run left is recognised.
+    """
     out = df.select(
         "idx", F.col("score").cast("int").alias("score"),
         F.rint(F.col("pred")).cast("int").alias("pred"),
         F.lit(model).alias("model"), F.lit(trait or "none").alias("trait"), "item",
     )
-    (
-        balanced(out, "model", "trait", "item").sortWithinPartitions("item", "idx")
-        .write.partitionBy("model", "trait", "item").mode(mode).csv(root)
-    )
+    keys = ["model", "trait", "item"]
+    _replace(balanced(out, *keys).sortWithinPartitions("item", "idx"), root, keys, "csv")
+    written = out.select(*keys).distinct()
+    stored = readers.prediction_rows(df.sparkSession, root, model, trait).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    listed = stored.join(written.withColumn("item", F.col("item").cast("int")), keys, "left_semi")
+    _replace(listed.withColumn("step", F.lit(step).cast("bigint")).select("rows", "step", *keys), manifest(root), keys, "parquet")
+
+
+def manifest(root: str) -> str:
+    """Spark's readers of ``root`` pass over names with an underscore."""
+    return f"{root.rstrip('/')}/_manifest"
 
 
 def sink_pair_dataset(df: DataFrame, root: str, mode: str = "errorifexists") -> None:
@@ -61,9 +81,24 @@ def materialize_once(
     return spark.read.parquet(path)
 
 
-def metrics_log(metrics: DataFrame, root: str) -> None:
-    """Append (metric, value, step) rows."""
-    metrics.select(
-        "metric", F.col("value").cast("double"), F.col("step").cast("bigint")
-    ).write.mode("append").parquet(root)
+def metrics_log(metrics: DataFrame, root: str, run: str = "default") -> None:
+    """(metric, value, step) rows of a run; a step that is logged again is replaced."""
+    rows = metrics.select(
+        "metric", F.col("value").cast("double"), F.lit(run).alias("run"), F.col("step").cast("bigint"))
+    _replace(balanced(rows, "run", "step"), root, ["run", "step"], "parquet")
+
+
+def _replace(df: DataFrame, root: str, keys: list[str], kind: str) -> None:
+    """Write below ``keys`` folders; those that the table holds are replaced as a whole, others stay."""
+    df.write.partitionBy(*keys).mode("overwrite").option("partitionOverwriteMode", "dynamic").format(kind).save(root)
+
+
+def sink_shuffled(df: DataFrame, root: str, seed, keys: list[str]) -> None:
+    """Store a table in its seeded random order: one folder a range, rows in order inside, and beside them
+    the first position of every range."""
+    u = hash32(seed, *keys)
+    rows = numbered(df.withColumn("_u", u), ["_u", *keys], part="range").drop("_u")
+    rows.sortWithinPartitions("position").write.partitionBy("range").mode("errorifexists").parquet(f"{root.rstrip('/')}/rows")
+    starts = rows.groupBy("range").agg(F.min("position").alias("first"), F.max("position").alias("last"))
+    starts.coalesce(1).write.mode("errorifexists").parquet(f"{root.rstrip('/')}/ranges")
 

@@ -172,6 +172,32 @@ def test_saved_predictions_are_not_made_again(spark, embedded):
     assert ev.generate_predictions(df, root=root, model="other").count() == 60
 
 
+def test_a_stopped_run_resumes(spark):
+    """The encoder fails at one item: batches before it stay, the next run makes only the rest."""
+    from scoreloom.session import scratch_path
+    from scoreloom.sources.readers import finished_items, scan_predictions
+
+    class Fails(en.HashEncoder):
+        def encode_prepared(self, prepared):
+            raise ValueError("stopped")
+
+    df = spark.createDataFrame([(i % 6, i, i % 4, f"word{i % 4} text {i}") for i in range(120)],
+                               "item int, idx long, score int, text string")
+    at = {r["item"]: r["n"] for r in df.select("item", F.pmod(F.xxhash64("item"), F.lit(3)).alias("n")).distinct().collect()}
+    root = scratch_path(spark, "resumed")
+    first = df.where(F.col("item").isin([i for i, n in at.items() if n == at[0]]))
+    ev.generate_predictions(first, root=root, model="m", step=1)
+    with pytest.raises(Exception, match="stopped"):
+        ev.generate_predictions(df, Fails(64), root=root, model="m", batches=3)
+    assert {r["item"] for r in finished_items(spark, root, "m").collect()} == {i for i, n in at.items() if n == at[0]}
+    rest = ev.generate_predictions(df, root=root, model="m", batches=3)
+    assert {r["item"] for r in rest.collect()} == {i for i, n in at.items() if n != at[0]}
+    want = {(r["item"], r["idx"]): r["pred"] for r in ev.generate_predictions(df).collect()}
+    assert {(r["item"], r["idx"]): r["pred"] for r in scan_predictions(spark, root, "m").collect()} == want
+    assert {r["item"]: r["step"] for r in finished_items(spark, root, "m").collect()} == {
+        i: 1 if n == at[0] else None for i, n in at.items()}
+
+
 def test_hash_encoder_and_registry(spark):
     model = en.make_encoder("hash", dim=16)
     got = model.encode(["a b a", "", "b a a"])
@@ -205,6 +231,32 @@ def test_tokenizers(spark):
     assert tk.tokenize_text(once) is once
 
 
+@pytest.mark.parametrize("limit", [0, 150, 1 << 20])
+def test_vocabulary(spark, limit):
+    """Frequent words by broadcast, rare ones by shuffle, or all either way: the same dense ids."""
+    texts = ["b a a c", "a  b\tz", "", None, "c " * 300, "new a", "b a a c"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    known = tk.build_vocabulary(df.where("id <> 5"))
+    table = {r["word"]: (r["n"], r["id"]) for r in known.collect()}
+    assert table == {"c": (302, 16), "a": (5, 17), "b": (3, 18), "z": (1, 19)}
+    assert tk.frequent_below(known, limit) == (1 if limit == 0 else 32)
+    got = {r["id"]: r["ids"] for r in tk.vocabulary_ids(df, known, "text", "ids", limit=limit).collect()}
+    ids = {w: i for w, (_, i) in table.items()}
+    assert got == {i: None if t is None else [ids.get(w, tk.UNKNOWN) for w in t.split()] for i, t in enumerate(texts)}
+    cut = tk.vocabulary_ids(df, known, "text", "ids", max_length=2, limit=limit).where("id = 4").head()
+    assert cut["ids"] == [16, 16]
+
+
+def test_vocabulary_in_bands(spark):
+    """A bound between two bands splits the words; ids do not change."""
+    df = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i))) for i in range(120)], "id int, text string")
+    known = tk.build_vocabulary(df)
+    below = tk.frequent_below(known, 60 * (tk.WORD_BYTES + 3))
+    assert below == 64
+    rows = tk.vocabulary_ids(df, known, "text", "ids", limit=60 * (tk.WORD_BYTES + 3)).collect()
+    assert all(r["ids"] == [16 + j for j in range(r["id"])] for r in rows)
+
+
 def test_padding(spark):
     df = spark.createDataFrame([(0, [1, 2, 3], [1] * 3), (0, [4] * 5, [1] * 5), (1, [6], [1])],
                                "batch int, input_ids array<int>, attention_mask array<int>")

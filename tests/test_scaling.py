@@ -61,8 +61,8 @@ def test_running_totals_of_an_empty_table(skewed):
 def test_load_positions(skewed):
     order = sorted((r["item"], r["split"] != "train", r["idx"]) for r in skewed.collect())
     want = {(i, x): p for p, (i, _, x) in enumerate(order)}
-    for group_rows in (None, 11):
-        got = sm.load_positions(skewed, group_rows).collect()
+    for parts in (1, 7):
+        got = sm.load_positions(skewed.repartition(parts)).collect()
         assert {(r["item"], r["idx"]): r["position"] for r in got} == want
 
 
@@ -148,3 +148,43 @@ def test_a_cluster_needs_a_shared_folder():
     assert shared_dir(FakeSession("yarn", "hdfs://x/y")) == "hdfs://x/y"
     local = FakeSession("local[4]")
     assert shared_dir(local) == local.sparkContext.folder == shared_dir(local)
+
+
+def keep_partitions(spark, request):
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    request.addfinalizer(lambda: spark.conf.set(key, "true"))
+
+
+def test_positions_spread_in_spite_of_an_outlying_index(spark, request):
+    """One index of 10**15 in an item that holds most rows: every range still has its share."""
+    rows = [(1, "train", 10 ** 15)] + [(1, "train" if i % 3 else "valid", i) for i in range(20_000)] + [(0, "valid", -5), (2, "train", 1)]
+    df = spark.createDataFrame(rows, "item int, split string, idx bigint")
+    keep_partitions(spark, request)
+    got = sm.load_positions(df).withColumn("part", F.spark_partition_id())
+    want = {r: n for n, r in enumerate(sorted(rows, key=lambda r: (r[0], r[1] != "train", r[2])))}
+    found = got.collect()
+    assert {(r["item"], r["split"], r["idx"]): r["position"] for r in found} == want
+    sizes = {}
+    for r in found:
+        sizes[r["part"]] = sizes.get(r["part"], 0) + 1
+    assert len(sizes) > 2 and max(sizes.values()) < 2 * len(rows) / len(sizes)
+
+
+def test_written_order_is_the_seeded_order(spark, request):
+    from scoreloom.session import scratch_path
+    from scoreloom.sources import readers, writers
+
+    df = spark.range(5000).select((F.col("id") % 3).alias("item"), "id", F.lit("x").alias("text"))
+    root = scratch_path(spark, "order")
+    keep_partitions(spark, request)
+    writers.sink_shuffled(df, root, 7, ["id"])
+    want = [r["id"] for r in sm.shuffled_positions(df, 7, ["id"]).orderBy("position").collect()]
+    got = readers.scan_shuffled(spark, root)
+    assert [r["id"] for r in got.orderBy("position").collect()] == want
+    part = readers.scan_shuffled(spark, root, 1200, 1300)
+    assert [r["id"] for r in part.orderBy("position").collect()] == want[1200:1300]
+    files = spark.read.parquet(f"{root}/ranges").collect()
+    assert len(files) > 4 and sum(r["last"] >= 1200 and r["first"] < 1300 for r in files) <= 2
+    assert "PartitionFilters: [range#" in part._jdf.queryExecution().executedPlan().toString()
+    assert readers.scan_shuffled(spark, root, 5000).count() == 0
