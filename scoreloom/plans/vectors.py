@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import losses as ls
 from ..functions import vectors as vc
+from ..operators import pooling as pl
 from . import bindings as b
 from .catalog import query
 
@@ -86,6 +87,26 @@ def multi_pool(spark, sf):
     return exploded(out, "x")
 
 
+@query("pool_token_rows", by_dim(
+    f"round({mean_sql('5 - real', '4')}, 6) + 0.0 AS l, round({mean_sql('1', 'real')}, 6) + 0.0 AS r, "
+    f"round({mean_sql('1', 'real - 1')}, 6) + 0.0 AS r_off, round(hidden[4][d + 1], 6) + 0.0 AS last_l, "
+    "round(hidden[real][d + 1], 6) + 0.0 AS last_r, round(hidden[real - 1][d + 1], 6) + 0.0 AS last_r_off"))
+def pool_token_rows(spark, sf):
+    """The poolings once more, from one row per token."""
+    states = token_states(spark, sf)
+    left, right = (pl.token_rows(states, ["idx"], mask=f"{side}_mask") for side in ("left", "right"))
+    parts = {
+        "l": pl.mean_pool_rows(left, ["idx"]), "r": pl.mean_pool_rows(right, ["idx"], "right"),
+        "r_off": pl.mean_pool_rows(right, ["idx"], "right", 1),
+        "last_l": pl.last_token_pool_rows(left, ["idx"]), "last_r": pl.last_token_pool_rows(right, ["idx"], "right"),
+        "last_r_off": pl.last_token_pool_rows(right, ["idx"], "right", 1),
+    }
+    out = states.select("idx")
+    for name, pooled in parts.items():
+        out = out.join(pooled.withColumnRenamed("pooled", name), "idx")
+    return exploded(out, *parts)
+
+
 @query("select_layer", by_dim(
     "round(h4[d + 1], 6) + 0.0 AS last, round(h2[d + 1], 6) + 0.0 AS second"))
 def select_layer(spark, sf):
