@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fresh
+from .wordhash import by_bytes
 
 BUCKETS = 1 << 13
 ORDERS = (1, 2, 3)
@@ -125,7 +126,7 @@ class Model:
 def _count_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Gram counts per language of a whole partition: one row per language."""
     sums: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in (part for whole in batches for part in by_bytes(whole, whole.schema.names[1])):
         for lang, text in zip(*[c.to_pylist() for c in batch.columns]):
             counts = gram_counts(text)
             if counts is not None:

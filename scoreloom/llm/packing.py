@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle
+from .wordhash import by_bytes
 
 CAPACITY = 4096
 END = 1
@@ -44,7 +45,8 @@ ROUNDS = 4 * CAPACITY    # configurations priced at most
 WORK = 400_000           # lengths offered to all pricings together, at most
 RATE = 0.01              # smallest rate at which weights fall with the cover; it begins at 0.5
 GAP = 0.001              # relative distance from the dual bound that is near enough
-CACHE = 600_000          # chunks of text a worker remembers, and half as many parts
+CACHE_BYTES = 96 << 20   # chunks and parts of text a worker remembers, about
+ENTRY_BYTES = 240        # what one of them takes besides its characters
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -55,16 +57,16 @@ def default_vocabulary() -> str:
 
 
 class _Words(dict):
-    """Ids of words; a missing one is made, and remembered while there is room."""
+    """Ids of words; a missing one is made, and remembered while there is room, in bytes."""
 
-    def __init__(self, make, room: int):
+    def __init__(self, make, size: int):
         super().__init__()
-        self.make, self.room = make, room
+        self.make, self.room = make, size
 
     def __missing__(self, word: str) -> bytes:
         found = self.make(word)
         if self.room > 0 and len(word) <= 40:
-            self.room -= 1
+            self.room -= ENTRY_BYTES + len(word) + len(found)
             self[word] = found
         return found
 
@@ -93,8 +95,8 @@ class WordEncoder:
         for k, b in enumerate(b for b in range(256) if b not in shown):
             shown[b] = chr(256 + k)
         self.shown = shown
-        self.parts = _Words(self._part, CACHE // 2)
-        self.chunks = _Words(self._chunk, CACHE)
+        self.parts = _Words(self._part, CACHE_BYTES // 3)
+        self.chunks = _Words(self._chunk, CACHE_BYTES // 3 * 2)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -134,7 +136,7 @@ def token_pieces(
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         step, tail = 4 * capacity, np.array([end], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole, "text")):
             rows, cols = [], ([], [], [], [])
             for row, value in enumerate(batch.column(1).to_pylist()):
                 data = (encoder.encode(value) if value else b"") + tail

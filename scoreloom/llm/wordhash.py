@@ -73,7 +73,10 @@ class Words:
 
 
 def by_bytes(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``most`` bytes of text each; one row at least."""
+    """Slices of a batch with about ``most`` bytes of text each; one row at least.
+
+    After a batch, what Arrow has freed goes back to the system: workers stay alive between tasks.
+    """
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
@@ -81,6 +84,7 @@ def by_bytes(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterato
         to = max(at + 1, int(np.searchsorted(sizes, base + most, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
