@@ -150,7 +150,8 @@ def language_model(docs: DataFrame) -> language_id.Model:
 def op5(spark, sf):
     docs = table(spark, sf, "documents")
     found = language_id.identify(docs.select("doc_id", "text"), language_model(docs))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+    held = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 URL_RULES = [
