@@ -135,7 +135,10 @@ def filter_urls(
         can, F.when(F.col("rule").isNull(), canonical(F.col(url))))
     hits = listed_rows(df.select(can).where(F.col(can).isNotNull()).distinct(), can, known, "canonical")
     hits = hits.withColumn(hit, F.lit(True))
-    out = df.join(hits, can, "left").withColumn("listed", F.coalesce(F.col(hit), F.lit(False)))
+    # Pages that a rule decides, or that have no canonical URL, are not looked up: they share no key in the join.
+    looked_up = df.where(F.col(can).isNotNull()).join(hits, can, "left")
+    rest = df.where(F.col(can).isNull()).withColumn(hit, F.lit(None).cast("boolean"))
+    out = looked_up.unionByName(rest).withColumn("listed", F.coalesce(F.col(hit), F.lit(False)))
     return out.withColumn("verdict", F.coalesce(
         fitting_rule(F.col("host"), F.col("path"), rules)[1],
         F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))).drop(can, hit)
