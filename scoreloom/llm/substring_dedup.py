@@ -12,12 +12,14 @@ if it lies in ``WINDOW`` consecutive words that also occur at an earlier place,
 mark and offset; so does a later stretch of units as above, where units without a letter or digit
 do not end a stretch. It never compares all windows:
 
+0. Texts are cut once; digests, prints and offsets are kept as lists per text in the shared folder.
 1. The smallest hash of the ``GRAM`` word runs inside a window is its print. Equal windows have equal
    prints at the same place, so none is missed. Digests of units and prints are counted by hash
    alone; those seen more than once make up a Bloom filter of bounded size, and only what passes it
    is compared (above the bound more passes, with the same result).
 2. Neighbouring windows with one print are a block. A block with an equal one at an earlier place goes.
-3. The first places of different blocks with one print are compared window by window.
+3. The first places of different blocks with one print are compared window by window, hashes first; only
+   windows whose hash is seen twice become rows.
 
 Words of windows are parted by blanks, tabs, line and page breaks and compared in lower case. A removed
 part reaches to the first character of the next word.
@@ -25,7 +27,8 @@ part reaches to the first character of the next word.
 Removed parts are offsets of the original text, in code points, each from the first character of
 a unit to the first of the next; the text without them is the result.
 
-Defined cases: a null text stays null with no removals; an empty text has no units. Units without
+Defined cases: a null text stays null with no removals; an empty text has no units. A very long text is
+cut whole, in a batch of its own; its lists are one row. Units without
 a letter or digit are never removed and end a stretch. Null ids come first. Rows that share id and text
 are one place and get the same result. Columns pass through, except that those named like a
 result are replaced; an empty table gives an empty result.
@@ -35,6 +38,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,14 +48,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, settle, text_mark
+from .common import fresh, stored, text_mark
 from .wordhash import Words, _powers, by_bytes, mix
 
 MIN_WORDS = 15
 WINDOW, GRAM = 50, 15
 MAX_SLOTS = 1 << 22      # 64-bit words of the filter at most, 32 MB
 UNITS, BLOCKS = 0, 1
-UNIT = re.compile(r"(?:[^\n.!?]|[.!?](?![ \t]))*(?:\n|[.!?][ \t]+|$)")
+HALVES = "<qq"
+UNIT = re.compile(r"(?:[^\n.!?]++|[.!?](?![ \t]))*+(?:\n|[.!?][ \t]+|$)")
 RESULTS = ("n_units", "removed")
 SPANS = "array<struct<start:int,end:int>>"
 
@@ -242,10 +247,9 @@ def _unit_list(texts: pa.Array) -> tuple[list, ...]:
     for r, text in enumerate(texts.to_pylist()):
         n = 0
         for a, b, norm, words in cut_units(text):
-            if not any(map(str.isalnum, norm)):
+            if not (norm[:1].isalnum() or any(map(str.isalnum, norm))):
                 continue
-            low, high = np.frombuffer(
-                hashlib.blake2b(norm.encode("utf-8", "surrogatepass"), digest_size=16).digest(), "<i8").tolist()
+            low, high = struct.unpack(HALVES, hashlib.blake2b(norm.encode("utf-8", "surrogatepass"), digest_size=16).digest())
             for c, v in zip(cols, (r, low, high, n, a, b, words)):
                 c.append(v)
             n += 1
@@ -257,74 +261,129 @@ def _slim(docs: DataFrame, id_col: str, text: str) -> DataFrame:
         F.col(id_col).alias("id"), text_mark(F.col(text)).alias("mark"), F.col(text).alias("text"))
 
 
-def seen_twice(slim: DataFrame) -> DataFrame:
-    """``key``: half a digest of the units, and prints of the blocks, that stand at two places or more."""
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lists(row: np.ndarray, n: int, cols) -> list[pa.Array]:
+    """Columns of ``n`` lists each from values in the order of their rows."""
+    bounds = pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32())
+    return [pa.ListArray.from_arrays(bounds, pa.array(c, kind)) for c, kind in cols]
+
+
+def _values(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number in the row and value of the entries of a column of lists."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(column)), sizes)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes), column.flatten().to_numpy(zero_copy_only=False)
+
+
+LONGS, INTS = pa.int64(), pa.int32()
+UNIT_COLS, BLOCK_COLS = ("u1", "u2", "us", "ue", "uw"), ("b1", "b2", "bs", "be")
+
+
+def cut_texts(slim: DataFrame) -> DataFrame:
+    """Per text the lists of its units (digest halves, offsets, words) and blocks (print, digest, offsets).
+
+    The one pass that reads all texts in Python; what follows counts and filters these lists.
+    """
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in by_bytes(whole, "text", 1 << 20)):
-            texts = batch.column(2)
-            units = np.array(_unit_list(texts)[1], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([units, Windows(texts).blocks()[1]]))], names=["key"])
+            ids, marks, texts = batch.columns
+            row, low, high, _, start, end, words = [np.array(c, dtype=np.int64) for c in _unit_list(texts)]
+            units = _lists(row, len(texts), [(low, LONGS), (high, LONGS), (start, INTS), (end, INTS), (words, INTS)])
+            row, prints, digest, _, start, end = Windows(texts).blocks()
+            blocks = _lists(row, len(texts), [(prints, LONGS), (digest, LONGS), (start, INTS), (end, INTS)])
+            yield pa.RecordBatch.from_arrays([ids, marks, *units, *blocks], names=["id", "mark", *UNIT_COLS, *BLOCK_COLS])
+
+    kinds = ["long", "long", "int", "int", "int", "long", "long", "int", "int"]
+    lists = ", ".join(f"{c} array<{k}>" for c, k in zip(UNIT_COLS + BLOCK_COLS, kinds))
+    return slim.mapInArrow(rows, f"id {dict(slim.dtypes)['id']}, mark long, {lists}")
 
-    return slim.mapInArrow(keys, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
 
+def seen_twice(keys: DataFrame) -> DataFrame:
+    """``key`` of the rows that have an equal one."""
+    return keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
 
-def candidates(slim: DataFrame, shared) -> DataFrame:
+
+def candidates(cut: DataFrame, shared) -> DataFrame:
     """Units and blocks that pass the filter: kind, two keys, place, number, offsets, words."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = shared.value
-        for batch in (part for whole in batches for part in by_bytes(whole, "text", 1 << 20)):
-            ids, marks, texts = batch.columns
-            units = [np.array(c, dtype=np.int64) for c in _unit_list(texts)]
-            blocks = [*Windows(texts).blocks()]
-            blocks.append(np.zeros(len(blocks[0]), dtype=np.int64))
-            for kind, cols in ((UNITS, units), (BLOCKS, blocks)):
-                keep = passes(cols[1], slots)
-                row, k1, k2, number, start, end, words = [c[keep] for c in cols]
+        for batch in batches:
+            ids, marks = batch.columns[:2]
+            for kind, names in ((UNITS, UNIT_COLS), (BLOCKS, BLOCK_COLS)):
+                row, number, k1 = _values(batch.column(names[0]))
+                keep = passes(k1, slots)
+                rest = [pa.array(_values(batch.column(c))[2][keep]) for c in names[1:]]
+                if kind == BLOCKS:
+                    rest.append(pa.array(np.zeros(int(keep.sum())), INTS))
+                take = pa.array(row[keep])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(row), kind), pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
-                     ids.take(pa.array(row)), marks.take(pa.array(row)),
-                     *[pa.array(c, pa.int32()) for c in (number, start, end, words)]],
+                    [pa.array(np.full(len(take), kind), INTS), pa.array(k1[keep]), rest[0], ids.take(take), marks.take(take),
+                     pa.array(number[keep], INTS), *rest[1:]],
                     names=["kind", "k1", "k2", "id", "mark", "n", "start", "end", "words"])
+            pa.default_memory_pool().release_unused()
 
-    kind = dict(slim.dtypes)["id"]
-    return slim.mapInArrow(
+    kind = dict(cut.dtypes)["id"]
+    return cut.mapInArrow(
         rows, f"kind int, k1 long, k2 long, id {kind}, mark long, n int, start int, end int, words int")
 
 
 def contested_windows(slim: DataFrame, shared) -> DataFrame:
-    """Every window of the blocks whose print and text pass the filter."""
+    """Per text the lists of every window of the blocks whose print and text pass the filter, if there are any."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = shared.value
         for batch in (part for whole in batches for part in by_bytes(whole, "text", 1 << 20)):
+            batch = batch.filter(pa.array(passes(batch.column(1).to_numpy(), slots)))
             ids, marks, texts = batch.columns
             w = Windows(texts)
             keep = passes(w.print ^ marks.to_numpy()[w.row], slots)
             row, at = w.row[keep], w.at[keep]
             start, end = w.offsets(row, at, at + WINDOW)
+            lists = _lists(row, len(texts), [
+                (w.print[keep], LONGS), (w.span(at, WINDOW).view(np.int64), LONGS), (start, INTS), (end, INTS)])
+            yield pa.RecordBatch.from_arrays([ids, marks, *lists], names=["id", "mark", *BLOCK_COLS])
+
+    lists = "b1 array<long>, b2 array<long>, bs array<int>, be array<int>"
+    return slim.mapInArrow(rows, f"id {dict(slim.dtypes)['id']}, mark long, {lists}").where(F.size("b1") > 0)
+
+
+def repeated_windows(contested: DataFrame, shared) -> DataFrame:
+    """Windows whose hash passes the filter, a row each."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = shared.value
+        for batch in batches:
+            ids, marks = batch.columns[:2]
+            row, _, k2 = _values(batch.column("b2"))
+            keep = passes(k2, slots)
+            k1, start, end = [pa.array(_values(batch.column(c))[2][keep]) for c in ("b1", "bs", "be")]
+            take = pa.array(row[keep])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(w.print[keep]), pa.array(w.span(at, WINDOW).view(np.int64)), ids.take(pa.array(row)),
-                 marks.take(pa.array(row)), pa.array(start, pa.int32()), pa.array(end, pa.int32())],
+                [k1, pa.array(k2[keep]), ids.take(take), marks.take(take), start, end],
                 names=["k1", "k2", "id", "mark", "start", "end"])
+            pa.default_memory_pool().release_unused()
 
-    return slim.mapInArrow(rows, f"k1 long, k2 long, id {dict(slim.dtypes)['id']}, mark long, start int, end int")
+    return contested.mapInArrow(
+        rows, f"k1 long, k2 long, id {dict(contested.dtypes)['id']}, mark long, start int, end int")
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``id, mark, removed``: the spans that ``dedup_passages`` removes."""
     slim = _slim(docs, id_col, text)
     place = F.struct("id", "mark", "start")
-    found = candidates(slim, bloom(settle(seen_twice(slim))))
-    firsts = settle(
+    cut = stored(cut_texts(slim), "units")
+    keys = cut.select(F.explode(F.concat("u1", "b1")).alias("key"))
+    found = candidates(cut, bloom(stored(seen_twice(keys), "keys")))
+    firsts = stored(
         found.groupBy("kind", "k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-        .where((F.col("kind") == BLOCKS) | (F.col("first") < F.col("last"))))
-    again = firsts.where("first < last").select("kind", "k1", "k2", "first")
+        .withColumn("again", F.col("first") < F.col("last")).drop("last")
+        .where((F.col("kind") == BLOCKS) | F.col("again")), "firsts")
+    again = firsts.where("again").select("kind", "k1", "k2", "first")
     later = found.join(again, ["kind", "k1", "k2"]).where(place > F.col("first"))
 
     blocks = firsts.where(F.col("kind") == BLOCKS)
     several = blocks.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1")
-    contested = blocks.join(several, "k1", "left_semi").select(F.col("k1").bitwiseXOR(F.col("first.mark")).alias("key"))
-    windows = settle(contested_windows(slim, bloom(settle(contested))))
+    marks = blocks.join(several, "k1", "left_semi").select("k1", F.col("first.mark").alias("mark"))
+    contested = stored(marks.select(F.explode(F.array("mark", F.col("k1").bitwiseXOR(F.col("mark")))).alias("key")).distinct(), "contested")
+    lists = stored(contested_windows(slim, bloom(contested)), "windows")
+    windows = repeated_windows(lists, bloom(stored(seen_twice(lists.select(F.explode("b2").alias("key"))), "keys")))
     first = (
         windows.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
         .where("first < last").drop("last")
