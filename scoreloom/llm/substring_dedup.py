@@ -364,23 +364,70 @@ def repeated_windows(contested: DataFrame, shared) -> DataFrame:
         rows, f"k1 long, k2 long, id {dict(contested.dtypes)['id']}, mark long, start int, end int")
 
 
+def found_lists(cut: DataFrame, shared) -> DataFrame:
+    """Per text the units and blocks that pass the filter, as lists."""
+    names = ["un", "us", "ue", "uw", "bs", "be"]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = shared.value
+        for batch in batches:
+            row, number, k1 = _values(batch.column("u1"))
+            keep = passes(k1, slots)
+            units = [number[keep], *[_values(batch.column(c))[2][keep] for c in ("us", "ue", "uw")]]
+            lists = _lists(row[keep], batch.num_rows, [(c, INTS) for c in units])
+            row, _, k1 = _values(batch.column("b1"))
+            keep = passes(k1, slots)
+            blocks = [_values(batch.column(c))[2][keep] for c in ("bs", "be")]
+            lists += _lists(row[keep], batch.num_rows, [(c, INTS) for c in blocks])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *lists], names=["id", "mark", *names])
+            pa.default_memory_pool().release_unused()
+
+    lists = ", ".join(f"{c} array<int>" for c in names)
+    return cut.mapInArrow(rows, f"id {dict(cut.dtypes)['id']}, mark long, {lists}").where((F.size("us") > 0) | (F.size("bs") > 0))
+
+
+def span_merger(min_words: int):
+    """Spans of a text from its candidates, the places among them that are the first of their kind, and late windows."""
+    @F.pandas_udf(SPANS)
+    def merge(un: pd.Series, us: pd.Series, ue: pd.Series, uw: pd.Series, bs: pd.Series, be: pd.Series,
+              firsts: pd.Series, late_start: pd.Series, late_end: pd.Series) -> pd.Series:
+        def one(un, us, ue, uw, bs, be, firsts, late_start, late_end):
+            firsts = np.asarray([] if firsts is None else firsts, dtype=np.int64)
+            later = ~np.isin(us.astype(np.int64) * 2 + UNITS, firsts)
+            n, start, end, words = un[later], us[later], ue[later], uw[later]
+            head = np.nonzero(np.diff(n, prepend=-2) != 1)[0]      # first units of the stretches
+            tail = np.append(head[1:], len(n))[: len(head)] - 1
+            total = np.concatenate([[0], np.cumsum(words.astype(np.int64))])
+            long = total[tail + 1] - total[head] >= min_words
+            blocks = ~np.isin(bs.astype(np.int64) * 2 + BLOCKS, firsts)
+            none = np.zeros(0, dtype=np.int32)
+            low = np.concatenate([start[head[long]], bs[blocks], none if late_start is None else late_start])
+            high = np.concatenate([end[tail[long]], be[blocks], none if late_end is None else late_end])
+            order = np.argsort(low, kind="stable")
+            low, reach = low[order], np.maximum.accumulate(high[order]) if len(high) else high
+            new = np.ones(len(low), dtype=bool)
+            new[1:] = low[1:] > reach[:-1]
+            at = np.nonzero(new)[0]
+            last = np.append(at[1:], len(low))[: len(at)] - 1
+            return [{"start": int(x), "end": int(y)} for x, y in zip(low[at], reach[last])]
+        return pd.Series([one(*r) for r in zip(un, us, ue, uw, bs, be, firsts, late_start, late_end)], dtype=object)
+
+    return merge
+
+
 def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``id, mark, removed``: the spans that ``dedup_passages`` removes."""
     slim = _slim(docs, id_col, text)
     place = F.struct("id", "mark", "start")
     cut = stored(cut_texts(slim), "units")
-    keys = cut.select(F.explode(F.concat("u1", "b1")).alias("key"))
-    found = candidates(cut, bloom(stored(seen_twice(keys), "keys")))
+    shared = bloom(stored(seen_twice(cut.select(F.explode(F.concat("u1", "b1")).alias("key"))), "keys"))
     firsts = stored(
-        found.groupBy("kind", "k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-        .withColumn("again", F.col("first") < F.col("last")).drop("last")
-        .where((F.col("kind") == BLOCKS) | F.col("again")), "firsts")
-    again = firsts.where("again").select("kind", "k1", "k2", "first")
-    later = found.join(again, ["kind", "k1", "k2"]).where(place > F.col("first"))
+        candidates(cut, shared).groupBy("kind", "k1", "k2").agg(F.min(place).alias("first"))
+        .select("kind", "k1", "first.*"), "firsts")
 
     blocks = firsts.where(F.col("kind") == BLOCKS)
     several = blocks.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1")
-    marks = blocks.join(several, "k1", "left_semi").select("k1", F.col("first.mark").alias("mark"))
+    marks = blocks.join(several, "k1", "left_semi").select("k1", "mark")
     contested = stored(marks.select(F.explode(F.array("mark", F.col("k1").bitwiseXOR(F.col("mark")))).alias("key")).distinct(), "contested")
     lists = stored(contested_windows(slim, bloom(contested)), "windows")
     windows = repeated_windows(lists, bloom(stored(seen_twice(lists.select(F.explode("b2").alias("key"))), "keys")))
@@ -390,31 +437,19 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_wo
     )
     late = windows.join(first, ["k1", "k2"]).where(place > F.col("first"))
 
-    @F.pandas_udf(SPANS)
-    def merge(parts: pd.Series) -> pd.Series:
-        def one(rows):
-            spans, run = [], []
-            for r in [*sorted({(r["n"], r["start"], r["end"], r["words"]) for r in rows if r["kind"] == UNITS}), None]:
-                if run and (r is None or r[0] != run[-1][0] + 1):
-                    if sum(x[3] for x in run) >= min_words:
-                        spans.append((run[0][1], run[-1][2]))
-                    run = []
-                if r is not None:
-                    run.append(r)
-            spans += [(r["start"], r["end"]) for r in rows if r["kind"] == BLOCKS]
-            out = []
-            for a, b in sorted(spans):
-                if out and a <= out[-1]["end"]:
-                    out[-1]["end"] = max(b, out[-1]["end"])
-                else:
-                    out.append({"start": a, "end": b})
-            return out
-        return parts.map(one)
-
-    parts = later.select("id", "mark", "kind", "n", "start", "end", "words").unionByName(
-        late.select("id", "mark", F.lit(BLOCKS).alias("kind"), F.lit(0).alias("n"), "start", "end", F.lit(0).alias("words")))
-    rows = parts.groupBy("id", "mark").agg(F.collect_list(F.struct("kind", "n", "start", "end", "words")).alias("u"))
-    return rows.select("id", "mark", merge("u").alias("removed")).where(F.size("removed") > 0)
+    # A candidate that is not the first of its kind is a later one: only the firsts go back to their texts.
+    none = F.lit(None)
+    known = firsts.select(
+        F.col("id").alias("i"), F.col("mark").alias("m"), (F.col("start").cast("long") * 2 + F.col("kind")).alias("code"),
+        none.cast("int").alias("start"), none.cast("int").alias("end")
+    ).unionByName(late.select(F.col("id").alias("i"), F.col("mark").alias("m"), none.cast("long").alias("code"), "start", "end"))
+    known = known.groupBy("i", "m").agg(
+        F.collect_list("code").alias("firsts"), F.collect_list("start").alias("late_start"), F.collect_list("end").alias("late_end"))
+    rows = found_lists(cut, shared).join(known, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left")
+    spans = rows.select("id", "mark", span_merger(min_words)(
+        "un", "us", "ue", "uw", "bs", "be", "firsts", "late_start", "late_end").alias("removed"))
+    # Rows that share id and text have equal spans; one of them serves all.
+    return spans.where(F.size("removed") > 0).groupBy("id", "mark").agg(F.any_value("removed").alias("removed"))
 
 
 def dedup_passages(
