@@ -13,7 +13,7 @@ from . import (
     conversation_repair, decontaminate, language_id, line_winnow, metric_search, ngram_join, packing, quality_cascade,
     substring_dedup, token_counts, url_filter, warc, whitening,
 )
-from .common import table
+from .common import NO_SPACE, table
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -95,8 +95,6 @@ def op3(spark, sf):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-RUN = line_winnow.RUN
-
 LINES_SQL = f"""
 WITH docs AS (
   SELECT row_number() OVER () AS row_no, doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
@@ -104,14 +102,16 @@ lines AS (
   SELECT row_no, doc_id, text, unnest(range(len(parts))) AS n, unnest(parts) AS raw FROM docs WHERE text IS NOT NULL),
 full_lines AS (
   SELECT row_no, doc_id, n, trim(raw, ' ' || chr(9) || chr(13)) AS line,
+         len(regexp_extract_all(raw, '{NO_SPACE}+')) AS words,
          row_number() OVER (PARTITION BY row_no ORDER BY n) AS k
   FROM lines WHERE trim(raw, ' ' || chr(9) || chr(13)) <> ''),
-windows AS (
-  SELECT row_no, doc_id, k, list(line) OVER w AS g, list(n) OVER w AS ns
+runs AS ({" UNION ALL ".join(f"""
+  SELECT row_no, doc_id, k, {size} AS size, list(line) OVER w AS g, list(n) OVER w AS ns, sum(words) OVER w AS words
   FROM full_lines
-  WINDOW w AS (PARTITION BY row_no ORDER BY k ROWS BETWEEN CURRENT ROW AND {RUN - 1} FOLLOWING)),
+  WINDOW w AS (PARTITION BY row_no ORDER BY k ROWS BETWEEN CURRENT ROW AND {size - 1} FOLLOWING)"""
+  for size in range(1, line_winnow.RUN + 1))}),
 later AS (
-  SELECT row_no, ns FROM windows WHERE len(g) = {RUN}
+  SELECT row_no, ns FROM runs WHERE len(g) = size AND (size = {line_winnow.RUN} OR words >= {line_winnow.WORDS})
   QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, k) > 1),
 gone AS (SELECT DISTINCT row_no, unnest(ns) AS n FROM later),
 per_doc AS (
