@@ -5,11 +5,10 @@
 2. Spark counts pieces by length: at most ``capacity`` numbers, whatever the size of the corpus.
    From this histogram the configuration LP (fewest sequences so that every length is covered) is
    solved by multiplicative weights: lengths well covered lose weight, a knapsack dynamic
-   program over all lengths prices the best configuration, and the rounds are averaged. Where best fit
-   alone already takes as few sequences as the tokens need, there is nothing to solve.
+   program over all lengths prices the best configuration, and the later half of the rounds is averaged.
 3. The fractional counts are rounded down; what is left is packed by taking the
    configurations once more while they fit, then best fit by decreasing length. Best fit of the whole
-   histogram stays if it takes no more sequences. All this is on counts, not on pieces.
+   histogram is a check: it stays if it takes fewer sequences. All this is on counts, not on pieces.
 4. The plan is a table of slots per length (bounded by the configurations, not by rows). Pieces
    are ranked within their length, in salted groups shifted by the counts before them, so that a
    length that a third of all pieces share is spread over many tasks; the rank gives sequence and
@@ -42,6 +41,7 @@ CAPACITY = 4096
 END = 1
 SALTS = 64
 ROUNDS = 4 * CAPACITY    # configurations priced at most
+FIRST = 64               # rounds before the first rounding; then after each doubling
 WORK = 400_000           # lengths offered to all pricings together, at most
 RATE = 0.01              # smallest rate at which weights fall with the cover; it begins at 0.5
 GAP = 0.001              # relative distance from the dual bound that is near enough
@@ -184,12 +184,13 @@ def price(lengths: np.ndarray, worth: np.ndarray, most: np.ndarray, capacity: in
 def solve_lp(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
     """Configurations with fractional counts that together cover the histogram.
 
-    Multiplicative weights for covering: a length weighs exponentially less the more of its demand is
-    covered. A round prices the best configuration from all lengths and uses it as often as covers its
-    scarcest length once; the sum of all rounds, divided by the smallest cover, covers everything. It
-    begins with best fit as the first cover. The weights of a round are a dual solution, so it ends
-    when no better whole number of sequences is possible or the gap is below ``GAP``; with very many
-    lengths ``WORK`` ends it earlier, with the best cover so far.
+    Multiplicative weights for covering: a length is worth its tokens, and exponentially less the more of
+    its demand is covered. A round prices the best configuration from all lengths and uses it as often as covers
+    its scarcest length once; the sum of rounds, divided by the smallest cover, covers everything. The sum begins
+    anew whenever the rounds have doubled, so early rounds leave it. The worths of a round are a
+    dual solution, so it ends when the gap is below ``GAP`` or no better whole number of
+    sequences is possible, for the fractions or for what they round to. With very many lengths ``WORK`` ends it
+    earlier, with the better of the smallest cover and the rounded plan.
     """
     sizes = np.nonzero(counts)[0]
     if not len(sizes):
@@ -198,44 +199,49 @@ def solve_lp(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tu
     need = most.astype(np.float64)
     spot = {int(a): k for k, a in enumerate(sizes)}
     used: dict[tuple, float] = {}
-    for config, times in best_fit(counts.astype(np.int64), capacity):
-        key = tuple(sorted(config.items(), reverse=True))
-        used[key] = used.get(key, 0.0) + times
-    total, cover = sum(used.values()), np.ones(len(sizes))
-    best, found = total, dict(used)
+    total, part, cover = 0.0, np.zeros(len(sizes)), np.zeros(len(sizes))
+    best, found = np.inf, {}
     bound = float(need @ sizes) / capacity
-    for t in range(min(rounds, WORK // len(sizes))):
+    restart = FIRST
+    for t in range(max(min(rounds, WORK // len(sizes)), 1)):
+        if t == restart:
+            plan = round_up(counts, list(used.items()), capacity)
+            if sum(times for _, times in plan) < best:
+                best, found = sum(times for _, times in plan), _merged(plan)
+            used, total, part, restart = {}, 0.0, np.zeros(len(sizes)), 2 * restart
         if np.ceil(best - 1e-6) <= np.ceil(bound - 1e-6) or best <= bound * (1 + GAP):
             break
-        weight = np.exp((cover.min() - cover) * max(RATE, 1 / np.sqrt(t + 4)))
-        worth = weight / need
+        worth = sizes * np.exp((cover.min() - cover) * max(RATE, 1 / np.sqrt(t + 4)))
         config = price(sizes, worth, most, capacity)
         at = np.array([spot[a] for a in config])
         copies = np.array(list(config.values()), dtype=np.float64)
-        bound = max(bound, weight.sum() / (worth[at] @ copies))
+        bound = max(bound, (worth @ need) / (worth[at] @ copies))
         step = (need[at] / copies).min()
         key = tuple(sorted(config.items(), reverse=True))
         used[key] = used.get(key, 0.0) + step
         total += step
         cover[at] += copies * step / need[at]
-        if total / cover.min() < best:
-            best, low = total / cover.min(), cover.min()
-            found = {k: v / low for k, v in used.items()}
+        part[at] += copies * step / need[at]
+        low = part.min()
+        if low > 0 and total / low < best:
+            best, found = total / low, {k: v / low for k, v in used.items()}
+    if not found:
+        found = _merged(round_up(counts, list(used.items()), capacity))
     return [(dict(key), x) for key, x in found.items()]
 
 
-def round_plan(
-    counts: np.ndarray, capacity: int, rounds: int = ROUNDS
-) -> list[tuple[dict[int, int], int]]:
-    """Whole numbers of configurations that hold every piece exactly once: the LP rounded, or best fit
-    if that takes no more sequences."""
-    plain = best_fit(counts.astype(np.int64), capacity)
-    least = -(-int(np.arange(capacity + 1) @ counts.astype(np.int64)) // capacity)
-    if sum(times for _, times in plain) <= least:
-        return plain
+def _merged(plan: list[tuple[dict[int, int], int]]) -> dict[tuple, float]:
+    out: dict[tuple, float] = {}
+    for config, times in plan:
+        key = tuple(sorted(config.items(), reverse=True))
+        out[key] = out.get(key, 0.0) + times
+    return out
+
+
+def round_up(counts: np.ndarray, mass: list[tuple[tuple, float]], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Whole numbers of the configurations, as far as pieces are left; best fit for the rest."""
     left = counts.astype(np.int64).copy()
     plan: list[tuple[dict[int, int], int]] = []
-    mass = {tuple(config.items()): x for config, x in solve_lp(counts, capacity, rounds)}
 
     def use(key: tuple, times: int) -> None:
         times = min([times, *[int(left[a]) // b for a, b in key]])
@@ -244,12 +250,21 @@ def round_plan(
                 left[a] -= b * times
             plan.append((dict(key), times))
 
-    for key in sorted(mass, key=lambda k: -mass[k]):
-        use(key, int(mass[key] + 1e-6))
-    for key in sorted(mass, key=lambda k: -(mass[k] % 1)):
+    for key, x in sorted(mass, key=lambda kx: -kx[1]):
+        use(key, int(x + 1e-6))
+    for key, x in sorted(mass, key=lambda kx: -(kx[1] % 1)):
         use(key, 1)
-    plan += best_fit(left, capacity)
-    return plan if sum(t for _, t in plan) < sum(t for _, t in plain) else plain
+    return plan + best_fit(left, capacity)
+
+
+def round_plan(
+    counts: np.ndarray, capacity: int, rounds: int = ROUNDS
+) -> list[tuple[dict[int, int], int]]:
+    """Whole numbers of configurations that hold every piece exactly once: the LP rounded, or best fit
+    if that takes fewer sequences."""
+    mass = [(tuple(config.items()), x) for config, x in solve_lp(counts, capacity, rounds)]
+    plan, plain = round_up(counts, mass, capacity), best_fit(counts.astype(np.int64), capacity)
+    return plain if sum(t for _, t in plain) < sum(t for _, t in plan) else plan
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:

@@ -225,3 +225,20 @@ def test_no_pages(spark):
     path = scratch_path(spark, "warc-empty")
     warc.write_warc(warc.page_records(spark.createDataFrame([], "page_id long, url string, html string")), path)
     assert warc.read_warc(spark, path).count() == 0
+
+
+def test_plan_of_few_hot_lengths_stays_near_the_linear_program():
+    for seed, k, low, high in ((1, 6, 500, 2100), (2, 8, 500, 2100), (4, 12, 1100, 2200)):
+        rng = np.random.default_rng(seed)
+        counts = np.zeros(4097, dtype=np.int64)
+        counts[rng.choice(np.arange(low, high), k, replace=False)] = rng.integers(100, 2000, k)
+        lp = packing.solve_lp(counts, 4096)
+        cover = np.zeros(4097)
+        for config, x in lp:
+            assert sum(a * b for a, b in config.items()) <= 4096
+            for a, b in config.items():
+                cover[a] += b * x
+        assert (cover >= counts * (1 - 1e-9)).all()
+        plan = sum(t for _, t in packing.round_plan(counts, 4096))
+        plain = sum(t for _, t in packing.best_fit(counts, 4096))
+        assert plan <= np.ceil(sum(x for _, x in lp)) + len(lp) and plan < plain
