@@ -15,7 +15,7 @@
 Two texts that reach the threshold are missed only if no band agrees (probability (1 - t^4)^24, or
 3e-6, at t = 0.8) or by the tolerance.
 
-Defined cases: texts of fewer than ``WIDTH`` words have one shingle of all their words; texts that are
+Defined cases: a very long text is one row with the set of all its shingles. Texts of fewer than ``WIDTH`` words have one shingle of all their words; texts that are
 null or without a word are alone. Words are compared in lower case. Rows with equal id and text get equal
 results. Input columns other than id and text are not read, so they cannot clash. An empty table
 gives an empty result.

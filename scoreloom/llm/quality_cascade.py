@@ -5,7 +5,7 @@ measured on a bounded sample; the rules then run as one CASE expression, the one
 rejections per second first, so that later rules are evaluated only on what is left. The order
 changes the time, never the verdict.
 
-Defined cases: a null text counts as no words, fails the base rule and is not kept; an empty text
+Defined cases: a very long text is judged whole, within its row. A null text counts as no words, fails the base rule and is not kept; an empty text
 likewise. Repeated rows and repeated ids are judged row by row. Other columns pass through,
 except that those named like a result are replaced; working columns take names the table does not
 have. An empty table gives an empty result.

@@ -13,7 +13,7 @@ Sections may come in any order and keep their place in the array. They are clipp
 where two overlap, the one that starts later begins where the earlier ends. Empty ones count
 nothing. Without given sections, the lines of the text are its sections, without their breaks.
 
-Defined cases: a null or empty text has no tokens; null sections are no sections, a null section
+Defined cases: a very long text is encoded whole, in one task. A null or empty text has no tokens; null sections are no sections, a null section
 or bound is an empty section. Rows are counted one by one, so repeated rows and ids do no harm.
 Columns pass through, except that those named like a result are replaced; an empty table gives an
 empty result.

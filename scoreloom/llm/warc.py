@@ -14,7 +14,7 @@ Deduplication. Payload digests are grouped over all pages; of equal payloads of
 ``MIN_REVISIT`` bytes the page with the smallest id is written as a response, others as revisits
 that name it. Only digests that occur more than once are joined back.
 
-Defined cases: a null payload is an empty one; a null URL is left out of the headers and read as
+Defined cases: a very long payload is one record, held whole by the task that writes or decodes it. A null payload is an empty one; a null URL is left out of the headers and read as
 null. Line breaks in header values are percent-encoded. Null page ids sort first. Repeated pages
 are written as often as they come; those that share the smallest id and the payload are all
 responses. Extra columns are not archived. No rows write no records; an empty folder reads as an
