@@ -161,3 +161,48 @@ def test_names_and_single_build(spark):
     for _ in range(2):
         assert writers.materialize_once(spark, "t", build, root).count() == 3
     assert len(calls) == 1
+
+
+def test_many_items_share_folders(spark, monkeypatch):
+    """Above the bound the item stands in the records: no folder an item, the same rows."""
+    monkeypatch.setattr(writers, "FOLDERS", 10)
+    df = spark.range(80).select((F.col("id") % 40).alias("item"), F.col("id").alias("idx"),
+                                F.when(F.col("id") % 4 == 0, "valid").otherwise("train").alias("split"))
+    root = scratch_path(spark, "items")
+    writers.sink_item_split_jsonl(df, root)
+    writers.sink_item_split_jsonl(df.where("item < 2"), root, "append")   # few items follow the layout that is there
+    back = readers.scan_clean_items(spark, root, "idx bigint")
+    assert back.select("_metadata.file_path").distinct().count() < 40
+    rows = [tuple(r) for r in back.select("item", "idx", "split").collect()]
+    want = [tuple(r) for r in df.collect()]
+    assert sorted(rows) == sorted(want + [r for r in want if r[0] < 2])
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        writers.sink_item_split_jsonl(df, root)
+
+
+def test_predictions_of_many_items_are_replaced(spark, monkeypatch):
+    """Folders first, shared writes above the bound: the last write of an item counts in either."""
+    monkeypatch.setattr(writers, "FOLDERS", 10)
+    root = scratch_path(spark, "preds")
+
+    def rows(items, n, pred):
+        return spark.range(n).selectExpr("id AS idx", "1 AS score", f"{pred} AS pred", f"explode(array{items}) AS item")
+
+    def stored():
+        got = readers.scan_predictions(spark, root, "m").groupBy("item").agg(F.count("idx").alias("n"), F.max("pred").alias("p")).collect()
+        return {r["item"]: (r["n"], r["p"]) for r in got}
+
+    def finished():
+        return {r["item"]: r["step"] for r in readers.finished_items(spark, root, "m").collect()}
+
+    writers.sink_predictions(rows((1, 2), 3, 1), root, "m", step=1)
+    assert stored() == {1: (3, 1), 2: (3, 1)} and not writers.present(spark, writers.shared(root))
+    writers.sink_predictions(rows(tuple(range(2, 30)), 2, 2), root, "m", step=2)
+    writers.sink_predictions(rows((2, 3), 5, 0), root, "other")
+    assert len(writers.folders(spark, f"{root}/model=*/trait=*/item=*")) == 2
+    want = {1: (3, 1)} | {i: (2, 2) for i in range(2, 30)}
+    assert stored() == want and finished() == {i: 1 if i == 1 else 2 for i in range(1, 30)}
+    writers.sink_predictions(rows((1, 4), 1, 3), root, "m", step=3)
+    writers.store_predictions(rows((5, 6), 4, 4), root, "m")      # ended before its manifest
+    assert stored() == want | {1: (1, 3), 4: (1, 3), 5: (4, 4), 6: (4, 4)}
+    assert finished() == {i: 3 if i in (1, 4) else 2 for i in range(1, 30) if i not in (5, 6)}
