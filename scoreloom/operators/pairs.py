@@ -20,6 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -220,15 +221,16 @@ def _hopeless(scores: np.ndarray, negatives: int, positives: int, p: MineParams)
 def _meetings(
     slots: np.ndarray, n: int, first: int, size: int = 1 << 14
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Round and row positions of the meetings from round ``first`` on, in blocks of rounds."""
+    """Round and row positions of the meetings from round ``first`` on, in blocks of rounds: few at first, since
+    most items stop after few."""
     seats = n + n % 2
     ring = seats - 1
     rows = np.arange(len(slots))
     if len(slots) == n:
         at = np.full(seats, -1)
         at[slots] = rows
-        step = max(1, size // n)
-        for start in range(first, ring, step):
+        start, step, most = first, min(8, max(1, size // n)), max(1, size // n)
+        while start < ring:
             turn = np.arange(start, min(start + step, ring))[:, None]
             met = (turn - slots) % ring
             met = np.where(met == slots, ring, met)
@@ -236,6 +238,7 @@ def _meetings(
             other = at[met]
             t, left = np.nonzero(other > rows)
             yield t + start, left, other[t, left]
+            start, step = start + step, min(2 * step, most)
         return
     i, j = np.triu_indices(len(slots), 1)
     low, high = np.minimum(slots[i], slots[j]), np.maximum(slots[i], slots[j])
@@ -244,19 +247,20 @@ def _meetings(
     yield turn[later], i[later], j[later]
 
 
-def _greedy(pdf: pd.DataFrame, p: MineParams) -> pd.DataFrame:
-    """Accept pairs among the open records of one item, from its current state on.
+def _greedy(
+    slots: np.ndarray, score: np.ndarray, err: np.ndarray, salt: int, p: MineParams
+) -> list[tuple[int, int, int, int]]:
+    """Accept pairs among the records of one item: round, visiting number and the rows of both records.
 
     What a pair is by itself is computed for a block of rounds at once; only the running
     counts are walked through pair by pair.
     """
-    n, salt = int(pdf["n"].iat[0]), int(pdf["salt"].iat[0])
-    negatives, positives = int(pdf["neg"].iat[0]), int(pdf["pos"].iat[0])
+    n = len(slots)
+    negatives = positives = 0
     stop = _stop_at(p.ct_max, p.cutoff, n)
-    slots, score = pdf["slot"].to_numpy(np.int64), pdf["score"].to_numpy(np.int64)
-    err, deg = pdf["err"].to_numpy(np.int64), pdf["deg"].tolist()
+    deg = [0] * n
     found: list[tuple[int, int, int, int]] = []
-    for turn, i, j in _meetings(slots, n, int(pdf["turn"].iat[0])):
+    for turn, i, j in _meetings(slots, n, 0):
         spare = np.array(deg) < p.ct_max
         if negatives + positives >= stop or _hopeless(score[spare], negatives, positives, p):
             break
@@ -284,24 +288,57 @@ def _greedy(pdf: pd.DataFrame, p: MineParams) -> pd.DataFrame:
             found.append((r, v, a, b))
             if negatives + positives >= stop:
                 break
-    turn, visit, i, j = np.array(found, dtype=np.int64).reshape(-1, 4).T
-    later, idx = pdf["later"].to_numpy(np.int64), pdf["idx"].to_numpy(np.int64)
+    return found
+
+
+def _greedy_items(batches: Iterator[pa.RecordBatch], p: MineParams) -> Iterator[pa.RecordBatch]:
+    """Accepted pairs of whole items, whose ``n`` rows follow one another; an item may run over several batches."""
+    held, rows = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held, rows = [*held, batch], rows + batch.num_rows
+        if rows < held[0].column("n")[0].as_py():
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        sizes, salts, slots, score, err = (
+            table.column(c).to_numpy().astype(np.int64) for c in ("n", "salt", "slot", "score", "err"))
+        start, found = 0, []
+        while start < rows and start + sizes[start] <= rows:
+            end = start + int(sizes[start])
+            pairs = _greedy(slots[start:end], score[start:end], err[start:end], int(salts[start]), p)
+            found += [(r, v, start + a, start + b) for r, v, a, b in pairs]
+            start = end
+        if found:
+            yield _pair_batch(table, np.array(found, dtype=np.int64).T, score, err)
+        held = table.slice(start).to_batches() if start < rows else []
+        rows -= start
+
+
+def _pair_batch(table: pa.Table, found: np.ndarray, score: np.ndarray, err: np.ndarray) -> pa.RecordBatch:
+    """Accepted pairs of rows, the sides in load order."""
+    turn, visit, i, j = found
+    later = table.column("later").to_numpy().astype(np.int64)
+    idx = table.column("idx").fill_null(np.iinfo(np.int64).min).to_numpy()
     swap = (later[i] > later[j]) | ((later[i] == later[j]) & (idx[i] > idx[j]))
     i, j = np.where(swap, j, i), np.where(swap, i, j)
-    names = np.array(["train", "valid"], dtype=object)
-    return pd.DataFrame({
-        "item": pdf["item"].iat[0], "round": turn, "visit": visit,
-        "split1": names[later[i]], "idx1": idx[i], "score1": score[i],
-        "split2": names[later[j]], "idx2": idx[j], "score2": score[j], "h": err[i] + err[j],
-    })
+    splits = pa.array(["train", "valid"])
+    columns = {"item": table.column("item").take(pa.array(i)), "round": turn, "visit": visit}
+    for k, side in ((1, i), (2, j)):
+        columns |= {
+            f"split{k}": splits.take(pa.array(later[side])), f"idx{k}": table.column("idx").take(pa.array(side)),
+            f"score{k}": score[side].astype(np.int32)}
+    columns["h"] = (err[i] + err[j]).astype(np.int32)
+    return pa.Table.from_pydict(columns).combine_chunks().to_batches()[0]
 
 
 def _finish(rows: DataFrame, p: MineParams, item_type: str) -> DataFrame:
+    """Accepted pairs of items that lie whole in a partition. A call per item would cost more than its pairs."""
     schema = (
         f"item {item_type}, round bigint, visit bigint, split1 string, idx1 bigint, score1 int,"
         " split2 string, idx2 bigint, score2 int, h int"
     )
-    return rows.groupBy("item").applyInPandas(lambda pdf: _greedy(pdf, p), schema)
+    return rows.sortWithinPartitions("item").mapInArrow(lambda batches: _greedy_items(batches, p), schema)
 
 
 # --- greedy acceptance spread over tasks, a block of rounds at a time -------------------------
@@ -618,12 +655,12 @@ def greedy_pairs(
         df = df.repartition(max(tasks, (total["rows"] or 0) // TASK_ROWS), "item")
     placed = place_records(df, p.seed, group_rows, largest)
     item_type = dict(placed.dtypes)["item"]
-    zero = F.lit(0).cast("bigint")
-    start = {"deg": F.lit(0), "neg": zero, "pos": zero, "turn": F.lit(0)}
-    if largest <= item_rows:
-        return _finish(placed.withColumns(start), p, item_type)
+    if largest <= min(item_rows, group_rows):
+        return _finish(placed, p, item_type)   # the window has left items whole
     placed = placed.checkpoint()
-    out = _finish(placed.where(F.col("n") <= item_rows).withColumns(start), p, item_type)
+    out = _finish(placed.where(F.col("n") <= item_rows).repartition("item"), p, item_type)
+    if largest <= item_rows:
+        return out
     large = placed.where(F.col("n") > item_rows)
     taken = list(_blocks(large, p, group_rows, block_pairs))
     return out.unionByName(_with_sides(reduce(DataFrame.unionByName, taken), large)) if taken else out
@@ -640,7 +677,12 @@ def rank_by_hardness(pairs: DataFrame, seed) -> DataFrame:
 
 
 def cap_easy(pairs: DataFrame, easy_max: int, seed, group_rows: int | None = None) -> DataFrame:
-    """All hard pairs of an item and at most min(easy_max, hard) random easy ones."""
+    """All hard pairs of an item and at most min(easy_max, hard) random easy ones.
+
+    The pairs are read several times, here and by what follows, so they are stored once.
+    """
+    shared_dir(pairs.sparkSession)
+    pairs = pairs.checkpoint()
     hard = pairs.where("h > 0")
     if easy_max <= 0:
         return hard
@@ -679,14 +721,11 @@ def mine_pairs(
 ) -> DataFrame:
     """Pairs of both splits: items are divided, mined with the parameters of their split and
     capped. ``split`` names the split of a pair, ``split1``/``split2`` those of its records.
-
-    The accepted pairs are stored once, since capping and shuffling read them repeatedly.
     """
     records = split_by_item(df.select("item", "split", "idx", "score", "pred"), seed, valid_share)
     parts = []
     for name, p in (("train", train), ("validation", valid)):
         pairs = greedy_pairs(records.where(F.col("part") == name).drop("part"), p, **sizes)
-        pairs = pairs.checkpoint()
         parts.append(cap_easy(pairs, p.easy_max, seed).withColumn("split", F.lit(name)))
     return parts[0].unionByName(parts[1])
 

@@ -204,3 +204,30 @@ def test_pair_hash_is_even_and_draws_are_independent():
         assert (luck[visit < 0.1] < 0.1).mean() == pytest.approx(0.1, abs=0.01)
         mine = np.bincount(np.r_[low[luck < 0.05], high[luck < 0.05]], minlength=900)
         assert mine.std() == pytest.approx((899 * 0.05 * 0.95) ** 0.5, rel=0.2)
+
+
+def test_items_over_several_batches(spark):
+    """Tasks walk over the items of a partition, with no call per item, wherever the batches end."""
+    df = records(spark, [1, 2, 3, 10, 47, 80, 5, 9], seed=3)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert "InPandas" not in pm.greedy_pairs(df, PARAMS[0])._jdf.queryExecution().executedPlan().toString()
+        assert mined(df, PARAMS[0]) == mined(df, PARAMS[0], group_rows=8) == replay(df, PARAMS[0])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_cap_easy_makes_its_pairs_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    schema = "item int, split1 string, idx1 bigint, split2 string, idx2 bigint, h int"
+    rows = [(i % 3, "train", i, "valid", i + 1, int(i % 10 == 0)) for i in range(60)]
+    pairs = spark.createDataFrame(rows, schema).mapInPandas(count, schema)
+    assert pm.cap_easy(pairs, 1, 7).count() == 9
+    assert seen.value == 60
