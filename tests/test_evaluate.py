@@ -343,3 +343,14 @@ def test_checkpoints(spark):
                               "checkpoint int, qwk double")
     assert tuple(ev.next_checkpoint(q).head()) == (150, 0.9)
     assert ev.next_checkpoint(q.where("qwk IS NULL")).count() == 0
+
+
+def test_known_words_do_not_move(spark):
+    """With a vocabulary that fits the bound, ids need no shuffle; rare words keep their places among frequent ones."""
+    df = spark.createDataFrame([(1, "a b a"), (2, None), (3, ""), (4, "z a y b x a")], "id int, text string")
+    known = spark.createDataFrame([("a", 9, 16), ("b", 5, 17), ("x", 1, 32), ("y", 1, 33)], "word string, n bigint, id int")
+    want = {1: [16, 17, 16], 2: None, 3: [], 4: [tk.UNKNOWN, 16, 33, 17, 32, 16]}
+    light = tk.vocabulary_ids(df, known, "text", "ids")
+    assert "Exchange" not in light._jdf.queryExecution().executedPlan().toString()
+    split = tk.vocabulary_ids(df, known, "text", "ids", limit=2 * (tk.WORD_BYTES + 1))
+    assert all({r["id"]: r["ids"] for r in d.collect()} == want for d in (light, split))
