@@ -26,12 +26,13 @@ from .encode import Encoder, embed_many, embed_table
 from .items import skip_existing
 from .learners import Learner, Ridge, products
 from .sampling import kfold_assign
-from .scaling import dim_join, rank_within
+from .scaling import dim_join, numbered, rank_within
 
 SUM_VALUES = 16_000_000   # values of sums a task keeps before passing them on
 SHARD_ROWS = 1 << 20      # rows of a group whose sums are merged together
 FIT_ROWS = 20_000         # rows of a group on which a learner without sums is fitted
 PART_ROWS = 100_000       # rows such a learner predicts at once
+LINE_ITEMS = 1 << 14      # neighbouring items whose values become text together
 
 
 # --- one grouped fit for items of any size -----------------------------------------------------
@@ -366,19 +367,41 @@ def leaderboard_lines(scores: DataFrame) -> DataFrame:
     """Tab-separated text per checkpoint: name, mean over all items, and the value of every item in
     ascending order of items; ``nan`` where a checkpoint has no value for an item.
 
-    A line holds one number per item, so lines grow with the items, not with the records.
+    A line holds one number per item, so lines grow with the items, not with the records. Items are numbered once;
+    the values of a checkpoint become text in pieces of neighbouring items, and the pieces lines, so no value is
+    searched for among the others. A null item, or an item twice in a checkpoint, is an error.
     """
     def number(value):
         return F.when(value.isNull(), "nan").otherwise(F.format_string("%.4f", value))
 
-    names = scores.agg(F.array_sort(F.collect_set("item")).alias("names")).withColumn("_all", F.lit(1))   # one row
-    own = scores.groupBy("checkpoint").agg(
-        F.avg("qwk").alias("mean"),
-        F.map_from_entries(F.collect_list(F.struct("item", "qwk"))).alias("own"))
-    values = F.transform("names", lambda i: number(F.try_element_at("own", i)))
-    return own.withColumn("_all", F.lit(1)).join(F.broadcast(names), "_all").select("checkpoint", F.concat(
-        F.lit("checkpoint-"), F.col("checkpoint").cast("string"), F.lit("\t"), number(F.col("mean")),
-        F.lit("\t\t"), F.array_join(values, "\t")).alias("line")).orderBy("checkpoint")
+    own = scores.groupBy("item").agg(F.collect_list(F.struct("checkpoint", "qwk")).alias("own"))
+    placed = numbered(own, ["item"], "place")
+    items = placed.count()
+    values = placed.select("item", "place", F.explode("own").alias("own")).select(
+        "own.checkpoint", F.floor(F.col("place") / LINE_ITEMS).alias("_piece"),
+        F.col("place").alias("first"), F.col("place").alias("last"),
+        F.col("own.qwk").cast("double").alias("sum"), F.col("own.qwk").isNotNull().cast("bigint").alias("n"),
+        F.when(F.col("item").isNull(), F.raise_error(F.lit("a score without an item")))
+        .otherwise(number(F.col("own.qwk"))).alias("text"))
+    lines = _side_by_side(_side_by_side(values, ["checkpoint", "_piece"]), ["checkpoint"])
+    return lines.select("checkpoint", F.concat(
+        F.lit("checkpoint-"), F.col("checkpoint").cast("string"), F.lit("\t"),
+        number(F.col("sum") / F.nullif(F.col("n"), F.lit(0))), F.lit("\t\t"),
+        F.repeat(F.lit("nan\t"), F.col("first").cast("int")), F.col("text"),
+        F.repeat(F.lit("\tnan"), (items - 1 - F.col("last")).cast("int"))).alias("line")).orderBy("checkpoint")
+
+
+def _side_by_side(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """Texts that cover the places ``first`` to ``last``, joined per group, with ``nan`` for the places between them."""
+    before = F.lag("last").over(Window.partitionBy(*keys).orderBy("first"))
+    gap = F.coalesce(F.col("first") - before - 1, F.lit(0)).cast("int")
+    text = F.when(gap < 0, F.raise_error(F.lit("an item has two scores at one checkpoint"))).otherwise(
+        F.concat(F.repeat(F.lit("nan\t"), gap), F.col("text")))
+    inner = pieces.withColumn("text", text)
+    ordered = F.sort_array(F.collect_list(F.struct("first", "text")))
+    return inner.groupBy(*keys).agg(
+        F.array_join(F.transform(ordered, lambda t: t["text"]), "\t").alias("text"),
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("sum").alias("sum"), F.sum("n").alias("n"))
 
 
 def next_checkpoint(board: DataFrame) -> DataFrame:

@@ -345,6 +345,38 @@ def test_checkpoints(spark):
     assert ev.next_checkpoint(q.where("qwk IS NULL")).count() == 0
 
 
+@pytest.mark.parametrize("piece", [1, 3, 1 << 14])
+def test_lines_search_no_value_among_all_items(spark, monkeypatch, piece):
+    """Gaps before, inside, between and after pieces of items; the work does not grow with the square of the items."""
+    monkeypatch.setattr(ev, "LINE_ITEMS", piece, raising=False)
+    values = {(50, "a"): 0.5, (50, "k"): -0.25, (100, "c"): None, (100, "d"): 1.0, (150, "e"): None, (150, "k"): 0.12344}
+    values |= {(200, i): 0.1 for i in "bfghij"}
+    df = spark.createDataFrame([(c, i, q) for (c, i), q in values.items()], "checkpoint int, item string, qwk double")
+    out = ev.leaderboard_lines(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "element_at" not in plan and "collect_set" not in plan
+
+    def shown(q):
+        return "nan" if q is None else f"{q:.4f}"
+
+    want = []
+    for c in (50, 100, 150, 200):
+        known = [q for (d, _), q in values.items() if d == c and q is not None]
+        line = "\t".join(shown(values.get((c, i))) for i in "abcdefghijk")
+        want.append((c, f"checkpoint-{c}\t{shown(sum(known) / len(known) if known else None)}\t\t{line}"))
+    assert [tuple(r) for r in out.collect()] == want
+    assert ev.leaderboard_lines(df.where("item IS NULL")).count() == 0
+    unknown = ev.leaderboard_lines(df.where("item = 'c'")).head()
+    assert unknown["line"] == "checkpoint-100\tnan\t\tnan"
+
+
+def test_lines_take_one_score_per_item(spark):
+    for rows in ([(50, 1, 0.5), (50, 1, 0.5), (50, 2, 0.1)], [(50, None, 0.5), (50, 2, 0.1)]):
+        df = spark.createDataFrame(rows, "checkpoint int, item int, qwk double")
+        with pytest.raises(Exception):
+            ev.leaderboard_lines(df).collect()
+
+
 def test_known_words_do_not_move(spark):
     """With a vocabulary that fits the bound, ids need no shuffle; rare words keep their places among frequent ones."""
     df = spark.createDataFrame([(1, "a b a"), (2, None), (3, ""), (4, "z a y b x a")], "id int, text string")
