@@ -1,5 +1,6 @@
 """Token sequences."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
@@ -8,6 +9,8 @@ from ..session import shared_dir
 from . import bindings as b
 from .catalog import query
 
+PAIR_BLOCK = 6     # bits of an id inside its block
+ID_ROWS = 64           # rows of an id up to which their texts meet those of the id before in one list
 WORDS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')"
 TOKENS = f"""split_words AS (SELECT doc_id, {WORDS} AS ws FROM documents),
 vocabulary AS (
@@ -47,11 +50,25 @@ def tokenize_text(spark, sf):
 
 
 def text_pairs(spark, sf):
-    """Each document beside its successor by id."""
-    docs = b.documents(spark, sf).select("doc_id", "text")
-    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("txt2"))
-    return docs.withColumnRenamed("text", "txt1").join(after, "doc_id").withColumn(
-        "diff", (F.col("doc_id") % 4).cast("int"))
+    """Each document beside its successor by id.
+
+    A text travels once, to the block of its id; the first of a block also to the block before it. Tables where an
+    id has very many rows are joined instead.
+    """
+    docs = b.table(spark, sf, "documents").select("doc_id", "text").where("doc_id IS NOT NULL")
+    rows = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"), F.max("doc_id").alias("last")).head()
+    if (rows["n"] or 0) <= ID_ROWS and (rows["last"] or 0) < (1 << 63) - 1:
+        own = F.shiftright("doc_id", PAIR_BLOCK)
+        blocks = F.array_distinct(F.array(own, F.shiftright(F.col("doc_id") - 1, PAIR_BLOCK)))
+        after = Window.partitionBy("_block").orderBy("doc_id").rangeBetween(1, 1)
+        texts = docs.select("doc_id", F.struct("text").alias("_own"), F.explode(blocks).alias("_block"))
+        beside = texts.withColumn("_after", F.collect_list("_own").over(after)).where(F.col("_block") == own)
+        pairs = beside.select("doc_id", F.col("_own.text").alias("txt1"), F.explode("_after").alias("_next"))
+        pairs = pairs.select("doc_id", "txt1", F.col("_next.text").alias("txt2"))
+    else:
+        after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("txt2"))
+        pairs = docs.withColumnRenamed("text", "txt1").join(after, "doc_id")
+    return pairs.withColumn("diff", (F.col("doc_id") % 4).cast("int"))
 
 
 PAIR_TOKENS = TOKENS + """, pair_tokens AS (

@@ -386,3 +386,74 @@ def test_known_words_do_not_move(spark):
     assert "Exchange" not in light._jdf.queryExecution().executedPlan().toString()
     split = tk.vocabulary_ids(df, known, "text", "ids", limit=2 * (tk.WORD_BYTES + 1))
     assert all({r["id"]: r["ids"] for r in d.collect()} == want for d in (light, split))
+
+
+def test_packed_ids_come_back():
+    import pyarrow as pa
+
+    edges = [None, -1, 0, 1, 126, 127, 128, 16382, 16383, 1 << 21, 1 << 28, (1 << 31) - 1, -(1 << 31)]
+    lists = [None, [], edges, [None], *[[i, None, i + 1] for i in range(2 * tk.PACKED_ROWS)], None, edges[::-1]]
+    for cut in (lists, lists[:1], lists[1:2], []):
+        plain = pa.array([[5], *cut], pa.list_(pa.int32())).slice(1)
+        held = tk.packed(plain, plain.flatten())
+        held.validate(full=True)
+        assert tk.unpacked(held).to_pylist() == cut
+
+
+def test_pairs_store_no_texts(spark, monkeypatch):
+    """With words that must be joined, rows wait with packed ids only, and the shuffles that made them are gone."""
+    import glob
+    import time
+
+    from scoreloom import session
+
+    def shuffled():
+        dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*.data")}
+
+    rng = np.random.default_rng(5)
+
+    def text():
+        return None if rng.random() < 0.1 else " ".join(f"w{j}" for j in rng.integers(0, 400, rng.integers(0, 30)))
+
+    rows = [(text(), text(), i % 5) for i in range(600)]
+    df = spark.createDataFrame(rows, "txt1 string, txt2 string, diff int").repartition(3)
+    known = tk.build_vocabulary(df.where("diff < 4"), "txt1", "txt2")
+    ids = {r["word"]: r["id"] for r in known.collect()}
+    monkeypatch.setattr(tk, "frequent_below", lambda *_: 40)
+    made = []
+    monkeypatch.setattr(tk, "stored", lambda *parts: made.append(session.stored(*parts)) or made[-1], raising=False)
+    before = shuffled()
+    out = tk.tokenize_pairs(df, vocabulary=known)
+    for _ in range(50):   # they are deleted in the background
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert [m.columns for m in made] == [["diff", "_row", "_ids_0", "_ids_1"], ["_row", "_others_0", "_others_1"]]
+    assert spark.conf.get(session.RELEASE) == "false" and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+    def coded(t):
+        return None if t is None else [ids.get(w, tk.UNKNOWN) for w in t.split()]
+
+    def ones(t):
+        return None if t is None else [1] * len(t.split())
+
+    assert out.columns == ["input_ids_1", "attention_mask_1", "input_ids_2", "attention_mask_2", "diff_abs"]
+    want = [(coded(a), ones(a), coded(b), ones(b), d) for a, b, d in rows]
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("most", [0, 64])
+def test_text_pairs_of_repeated_ids(spark, monkeypatch, tmp_path, most):
+    """Each row of an id beside each of the next, null texts too, over the borders of blocks; null ids have no pair."""
+    from scoreloom.plans import tokens as pt
+
+    monkeypatch.setattr(pt, "ID_ROWS", most, raising=False)
+    ids = [-65, -64, -1, 0, 0, 62, 63, 63, 64, 64, 64, 65, 127, 128, 300, None, None]
+    rows = [(d, None if n % 4 == 0 else f"text {n}") for n, d in enumerate(ids)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    pairs = pt.text_pairs(spark, str(tmp_path))
+    assert pairs.columns == ["doc_id", "txt1", "txt2", "diff"]
+    want = [(d, a, b, int(np.fmod(d, 4))) for d, a in rows for e, b in rows if d is not None and e == d + 1]
+    assert sorted(map(repr, map(tuple, pairs.collect()))) == sorted(map(repr, want))
