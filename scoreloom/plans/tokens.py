@@ -10,7 +10,7 @@ from . import bindings as b
 from .catalog import query
 
 PAIR_BLOCK = 6     # bits of an id inside its block
-ID_ROWS = 64           # rows of an id up to which their texts meet those of the id before in one list
+ID_ROWS = 64       # rows of an id up to which their texts meet those of the id before in one list
 WORDS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')"
 TOKENS = f"""split_words AS (SELECT doc_id, {WORDS} AS ws FROM documents),
 vocabulary AS (
